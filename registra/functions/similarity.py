@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PREFIX_WEIGHT = 0.1
 PREFIX_LENGTH = 4
@@ -65,7 +66,7 @@ def jaro_winkler_codes(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndar
     return np.where(jaro > BOOST_ABOVE, jaro + prefix * PREFIX_WEIGHT * (1.0 - jaro), jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
     known = left.notna() & right.notna()
     scores = similarities(left.fillna("").to_numpy(dtype=object), right.fillna("").to_numpy(dtype=object))

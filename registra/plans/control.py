@@ -349,7 +349,7 @@ class ControlResult:
     def control_table(self) -> DataFrame:
         """Lines with their own registry data, before substitution."""
         frame = self._filled(self._on_list(own_data(self.decided, self.registry)))
-        names = _list_names(list(self.list_columns), set(frame.columns) - set(self.list_columns))
+        names = _list_names(list(self.list_columns), set(frame.columns))
         return frame.select(
             "row_id",
             *[F.col(f"_list.`{c}`").alias(names[c]) for c in self.list_columns],
