@@ -32,15 +32,23 @@ def luhn_valid(number: Column) -> Column:
 
 
 def _postal_valid(number: Column) -> Column:
-    # A sum of substrings instead of a lambda over an array keeps the stage in generated code.
-    total = reduce(add, [F.substring(number, i, 1).try_cast("int") for i in range(1, 15)])
+    # The first nine digits are fixed, so only the last five are summed. Substrings instead of a lambda
+    # over an array keep the stage in generated code.
+    head = sum(int(digit) for digit in POSTAL_SIREN)
+    total = reduce(add, [F.substring(number, i, 1).try_cast("int") for i in range(10, 15)], F.lit(head))
     return (F.length(number) == 14) & number.startswith(POSTAL_SIREN) & (total % POSTAL_SUM_STEP == 0)
 
 
 def key_valid(number: Column) -> Column:
-    return luhn_valid(number) | F.coalesce(
-        number.rlike("^[0-9]+$") & _postal_valid(number), F.lit(False)
-    )
+    plausible = number.rlike("^0*[1-9][0-9]*$")
+    return F.coalesce(plausible & (F.call_function("luhn_check", number) | _postal_valid(number)), F.lit(False))
+
+
+def identifier_valid(column: Column) -> Column:
+    """Whether a raw value holds a valid SIRET or, failing that, a valid SIREN."""
+    number = digits(column)
+    cut, head = F.substring(number, 1, 14), F.substring(number, 1, 9)
+    return ((F.length(cut) == 14) & key_valid(cut)) | ((F.length(head) == 9) & key_valid(head))
 
 
 def check_identifiers(df: DataFrame, column: str) -> DataFrame:

@@ -8,8 +8,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registra.functions.identifiers import key_valid
-from registra.functions.text import digits
+from registra.functions.identifiers import identifier_valid
 from registra.operators.scoping import HOME, country_scope
 
 
@@ -92,12 +91,9 @@ def profile_columns(df: DataFrame) -> DataFrame:
     aggregates = [F.count("*").alias("rows")]
     for i, name in enumerate(df.columns):
         value = F.col(f"`{name}`").cast("string")
-        number = digits(value)
-        head, cut = F.substring(number, 1, 9), F.substring(number, 1, 14)
-        valid = ((F.length(cut) == 14) & key_valid(cut)) | ((F.length(head) == 9) & key_valid(head))
         aggregates += [
             F.count_if(value.rlike(r"\S")).alias(f"filled_{i}"),
-            F.count_if(valid).alias(f"valid_{i}"),
+            F.count_if(identifier_valid(value)).alias(f"valid_{i}"),
             F.count_if(country_scope(value) == HOME).alias(f"home_{i}"),
         ]
     counted = df.agg(*aggregates)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registra.functions.identifiers import check_identifiers
+from registra.functions.identifiers import identifier_valid
 from registra.functions.text import digits, fold
 
 # Spellings of the home country after folding.
@@ -26,9 +26,10 @@ def country_scope(country: Column) -> Column:
 
 def with_country_scope(df: DataFrame, country_column: str, identifier_column: str) -> DataFrame:
     """Add `country_scope` and whether the row would pass as foreign with a valid identifier."""
-    checked = check_identifiers(df, identifier_column)
-    return checked.withColumn("country_scope", country_scope(F.col(f"`{country_column}`"))).withColumn(
-        "foreign_valid", (F.col("country_scope") == FOREIGN) & F.col("siret_format_ok")
+    scope = country_scope(F.col(f"`{country_column}`"))
+    valid = identifier_valid(F.col(f"`{identifier_column}`"))
+    return df.withColumn("country_scope", scope).withColumn(
+        "foreign_valid", (F.col("country_scope") == FOREIGN) & valid
     )
 
 

@@ -301,7 +301,11 @@ def _list_names(columns: list[str], taken: set[str]) -> dict[str, str]:
 
 @dataclass(frozen=True)
 class ControlResult:
-    """Lazy results of a run. `matched` is already written to the shared folder."""
+    """Lazy results of a run.
+
+    What is decided per distinct identifier is written to the shared folder as soon as it is known, so the
+    list itself is read twice only: once for its identifiers and once for the final join.
+    """
 
     checked: DataFrame
     matched: DataFrame
@@ -312,7 +316,8 @@ class ControlResult:
 
     @cached_property
     def decided(self) -> DataFrame:
-        return decide(self.matched, self.registry, self.options.max_depth)
+        """Decisions per identifier, written too: the wide read and the list join start from it."""
+        return held(decide(self.matched, self.registry, self.options.max_depth), "decided")
 
     def _on_list(self, decisions: DataFrame) -> DataFrame:
         """Bring per-identifier results back to the lines of the list."""
@@ -478,5 +483,6 @@ def run_control(
         F.col(f"`{identifier_column}`").alias("_identifier"),
     )
     checked = check_identifiers(packed, "_identifier").drop("_identifier")
-    matched = held(match(identifier_keys(checked), registry), "matched")
+    keys = held(identifier_keys(checked), "keys")
+    matched = held(match(keys, registry), "matched")
     return ControlResult(checked, matched, registry, options, identifier_column, tuple(lines.columns))
