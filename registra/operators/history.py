@@ -23,15 +23,17 @@ def history_summary(history: DataFrame, key: str = "siret", has_start: bool = Tr
     An open period (no end) is the current one, so it leaves the latest end empty. A date column the
     table does not have gives null.
     """
-    end = F.col("dateFin")
-    is_open = F.coalesce(F.trim(end) == "", F.lit(True))
-    latest_end = F.when(F.count_if(is_open) == 0, F.max(end))
+    # Maxima of dates, not of text: fixed-width values keep the partial aggregate in a hash table,
+    # text would be sorted first. The registry publishes ISO dates, so nothing changes in the output.
+    start, end = F.col("dateDebut").try_cast("date"), F.col("dateFin").try_cast("date")
+    is_open = F.coalesce(F.trim("dateFin") == "", F.lit(True))
+    latest_end = F.when(F.count_if(is_open) == 0, F.max(end)).cast("string")
     return (
         history.filter(F.col(key).isNotNull())
         .groupBy(key)
         .agg(
             F.count("*").alias(SUMMARY[0]),
-            (F.max("dateDebut") if has_start else F.lit(None).cast("string")).alias(SUMMARY[1]),
+            (F.max(start).cast("string") if has_start else F.lit(None).cast("string")).alias(SUMMARY[1]),
             (latest_end if has_end else F.lit(None).cast("string")).alias(SUMMARY[2]),
         )
     )

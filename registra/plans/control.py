@@ -83,6 +83,26 @@ OVERVIEW_COLUMNS = (
     *COUNTS,
     *SUMMARY,
 )
+# Overview columns that belong to the line, not to its identifier.
+LINE_COLUMNS = {
+    "siret_entree": "siret_input",
+    "siret_normalise": "siret_normalized",
+    "identifiant_recherche": "siret_lookup_key",
+    "siret_format_valide": "siret_format_ok",
+}
+INVALID_NOTE = "Identifier fails validation."
+# What a line without a valid identifier shows; it has no row among the decisions.
+INVALID_LINE = {
+    "siret_doublon_entree": "Non",
+    "siren_doublon_entree": "Non",
+    "siret_status": rules.STATUS_LABELS[rules.INVALID],
+    "cleaning_action": rules.ACTION_LABELS[rules.INVALID],
+    "analysis_historique_disponible": "Non",
+    "analysis_nd_detecte": "Non",
+    "analysis_priority": rules.PRIORITY_LABELS["HIGH"],
+    "analysis_status_note": INVALID_NOTE,
+    "analysis_data_applied": rules.OWN_DATA,
+}
 MASKED_MARK = r"(?i)\[\s*ND\s*\]"
 FORMAT_COLUMNS = OVERVIEW_COLUMNS[1:6]
 SITUATION_COLUMNS = ("siret_status", "cleaning_action", "siret_remplacement_recommande")
@@ -221,7 +241,7 @@ def own_data(decided: DataFrame, registry: Registry) -> DataFrame:
     """Decisions with the matched establishment's own data, before any substitution."""
     establishments = by_siret(registry.establishments, decided.select("siret").filter("siret is not null"))
     data = one_per_siret(establishments).select("siret", *ESTABLISHMENT_DATA)
-    units = one_per_siren(by_siren(registry.legal_units, decided.select("siren").filter("siren is not null")))
+    units = one_per_siren(by_siren(registry.legal_units, siren_keys(decided)))
     frame = _joined(decided.drop(*ESTABLISHMENT_DATA), data, F.col("siret"), "siret")
     frame = _joined(frame, units, F.col("siren"), "siren")
     frame = _with_history(frame, registry, F.col("siret"))
@@ -244,7 +264,7 @@ def shown_data(decided: DataFrame, registry: Registry, load_replacements: bool =
     aimed = decided.withColumn(
         "_shown", F.when(closed, F.col("siret_remplacement_recommande")).otherwise(F.col("siret"))
     )
-    found = decided.select("siren").filter("siren is not null")
+    found = siren_keys(decided)
     wide = by_siret(registry.establishments, aimed.select(F.col("_shown").alias("siret")).filter("siret is not null"))
     if not load_replacements:
         wide = by_siren(wide, found)
@@ -270,7 +290,7 @@ def shown_data(decided: DataFrame, registry: Registry, load_replacements: bool =
     described = ~closed | F.col("siren").isNotNull()
     frame = frame.withColumns({c: F.when(described, F.col(c)) for c in (*COUNTS, *SUMMARY)})
 
-    units = one_per_siren(by_siren(registry.legal_units, frame_keys(frame)))
+    units = one_per_siren(by_siren(registry.legal_units, found))
     frame = _joined(frame, units, F.col("siren"), "siren")
     frame = frame.withColumns(
         {
@@ -285,7 +305,7 @@ def shown_data(decided: DataFrame, registry: Registry, load_replacements: bool =
     )
 
 
-def frame_keys(decided: DataFrame) -> DataFrame:
+def siren_keys(decided: DataFrame) -> DataFrame:
     return decided.select("siren").filter("siren is not null")
 
 
@@ -363,43 +383,45 @@ class ControlResult:
 
     @cached_property
     def overview(self) -> DataFrame:
-        """One row per analysed line, numbered by `row_id`, text columns without nulls."""
-        frame = self._filled(self._on_list(shown_data(self.decided, self.registry, self.options.load_replacements)))
-        invalid = F.col("siret_status") == rules.INVALID
-        frame = frame.withColumns(
-            {
-                "siret_entree": F.col("siret_input"),
-                "siret_normalise": F.col("siret_normalized"),
-                "identifiant_recherche": F.col("siret_lookup_key"),
-                "siret_format_valide": F.col("siret_format_ok"),
-                "siret_doublon_entree": yes_no(F.col("siret_duplicate")),
-                "siren_doublon_entree": yes_no(F.col("siren_duplicate")),
-                "cleaning_action": F.when(invalid, rules.ACTION_LABELS[rules.INVALID]).otherwise(F.col("cleaning_action")),
-                "analysis_priority": rules.priority_label(
-                    F.when(invalid, "HIGH").otherwise(F.col("analysis_priority"))
-                ),
-                "analysis_status_note": F.when(invalid, "Identifier fails validation.").otherwise(
-                    F.col("analysis_status_note")
-                ),
-                "analysis_data_applied": F.coalesce("analysis_data_applied", F.lit(rules.OWN_DATA)),
-                "analysis_historique_disponible": F.coalesce("analysis_historique_disponible", F.lit("Non")),
-                "analysis_nd_detecte": F.coalesce("analysis_nd_detecte", F.lit("Non")),
-            }
-        ).withColumn("siret_status", rules.status_label(F.col("siret_status")))
+        """One row per analysed line, numbered by `row_id`, text columns without nulls.
+
+        Result columns are finished per identifier, so the join with the list carries those only.
+        """
+        data = shown_data(self.decided, self.registry, self.options.load_replacements)
         rest = [c for c in (*ESTABLISHMENT_DATA, *LEGAL_UNIT_DATA) if c not in OVERVIEW_COLUMNS]
         produced = [*OVERVIEW_COLUMNS, *rest]
+        finished = {
+            "siret_doublon_entree": yes_no(F.col("siret_duplicate")),
+            "siren_doublon_entree": yes_no(F.col("siren_duplicate")),
+            "siret_status": rules.status_label(F.col("siret_status")),
+            "analysis_priority": rules.priority_label(F.col("analysis_priority")),
+        }
+        carried = [c for c in produced if c not in LINE_COLUMNS]
+        per_key = data.select("siret_normalized", *[finished.get(c, F.col(c)).alias(c) for c in carried])
+
+        frame = self._on_list(per_key)
+        types = dict(frame.dtypes)
         shown = [c for c in self.list_columns if c != self.identifier_column]
         if self.options.list_columns is not None:
             shown = [c for c in shown if c in self.options.list_columns]
         names = _list_names(shown, {"row_id", *produced})
-        types = dict(frame.dtypes)
+
+        def finish(name: str) -> Column:
+            if name in LINE_COLUMNS:
+                return F.col(LINE_COLUMNS[name])
+            if name in COUNTS:
+                return F.when(F.col("siret_format_ok"), F.col(name)).otherwise(F.lit(0).cast("bigint"))
+            if types[name] != "string":
+                return F.col(name)
+            absent = F.lit("")
+            if name in INVALID_LINE:
+                absent = F.when(F.col("siret_format_ok"), "").otherwise(INVALID_LINE[name])
+            return F.coalesce(F.col(name), absent)
+
         return frame.select(
             "row_id",
             *[_tagged(F.coalesce(F.col(f"_list.`{c}`"), F.lit("")), names[c], "list") for c in shown],
-            *[
-                _tagged(F.coalesce(F.col(c), F.lit("")) if types[c] == "string" else F.col(c), c, column_group(c))
-                for c in produced
-            ],
+            *[_tagged(finish(c), c, column_group(c)) for c in produced],
         )
 
     @cached_property
@@ -418,7 +440,7 @@ class ControlResult:
     @cached_property
     def all_establishments(self) -> DataFrame:
         """Every establishment of every legal unit found."""
-        return by_siren(self.registry.establishments, frame_keys(self.matched))
+        return by_siren(self.registry.establishments, siren_keys(self.matched))
 
     def _siret_keys(self) -> DataFrame:
         return keys_of_type(self.matched, "SIRET", "siret")

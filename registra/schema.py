@@ -166,8 +166,13 @@ def resolve(available: Iterable[str], table: TableSpec) -> Resolution:
 
 def padded_id(value: Column, width: int) -> Column:
     """Digits of an identifier, zero-padded on the left when short, kept whole when long."""
-    digits = F.nullif(F.regexp_replace(value, "[^0-9]", ""), F.lit(""))
-    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    return (
+        F.when(value.rlike(f"^[0-9]{{{width}}}$"), value)  # nearly every row ends here
+        .when(F.length(digits) == 0, F.lit(None))
+        .when(F.length(digits) < width, F.lpad(digits, width, "0"))
+        .otherwise(digits)
+    )
 
 
 def canonical(df: DataFrame, resolution: Resolution, pad_ids: bool = True) -> DataFrame:

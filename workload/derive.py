@@ -27,6 +27,13 @@ class Staged:
     names_parquet: str
 
 
+def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A driver table, spread over the cores when its files are too few to feed them."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def check_digit(body: Column, length: int) -> Column:
     """Last digit that makes an identifier pass the Luhn key."""
     terms = []
@@ -38,13 +45,13 @@ def check_digit(body: Column, length: int) -> Column:
 
 
 def _sirens(spark: SparkSession, sf: str) -> DataFrame:
-    customers = spark.read.parquet(f"{sf}/customer.parquet")
+    customers = source(spark, sf, "customer")
     body = (F.lit(30000000) + F.col("c_custkey")).cast("string")
     return customers.withColumn("_b", body).withColumn("siren", F.concat("_b", check_digit(F.col("_b"), 8))).drop("_b")
 
 
 def establishments(spark: SparkSession, sf: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    orders = source(spark, sf, "orders")
     nations = spark.read.parquet(f"{sf}/nation.parquet")
     numbered = orders.withColumn(
         "rn", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
@@ -201,7 +208,7 @@ def stage(spark: SparkSession, sf: str) -> Staged:
     units.drop("c_custkey", "c_nationkey").write.mode("overwrite").parquet(f"{root}/stockunitelegale")
     name_list(units).write.mode("overwrite").parquet(f"{root}/names.parquet")
     links(etab).write.mode("overwrite").parquet(f"{root}/links")
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lines = source(spark, sf, "lineitem")
     ship = F.col("l_shipdate").cast("date")
     lines.join(etab.select("o_orderkey", "siret", "siren"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         "siret", "siren", ship.cast("string").alias("dateDebut"),
