@@ -177,9 +177,9 @@ def statistics_table(
     rows.extend(_COMMON_ROWS)
 
     counted = overview.agg(*[column.alias(name) for name, column in _count_columns().items()])
-    # Both sides are one aggregate row.
-    counted = counted.withColumn("_one", F.lit(1)).join(scope.withColumn("_one", F.lit(1)), "_one")
-    counted = counted.withColumn("base_rows", base)
+    # Two single rows become one by adding up their columns; a join would have no key.
+    counted = counted.unionByName(scope, allowMissingColumns=True)
+    counted = counted.agg(*[F.sum(c).alias(c) for c in counted.columns]).withColumn("base_rows", base)
     entries = []
     for position, (section, indicator, value, total, rule) in enumerate(rows, start=1):
         if total is None:

@@ -19,6 +19,8 @@ def build_session(app_name: str = "registra", master: str | None = None, **setti
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        # Wide rows make generated methods longer than the JVM compiles; fall back to shorter ones.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }

@@ -45,7 +45,11 @@ def read_user_list(
     multi_line: bool = False,
     require_rows: bool = True,
 ) -> DataFrame:
-    """Read a list. `multi_line` allows line breaks inside quotes but makes a CSV file unsplittable."""
+    """Read a list. `multi_line` allows line breaks inside quotes but makes a CSV file unsplittable.
+
+    With `ignore_blank_rows=False` rows of empty cells stay; lines of white space only never reach us,
+    Spark's CSV reader skips them.
+    """
     if path.lower().rstrip("/").endswith(".parquet"):
         stored = spark.read.parquet(path)
         df = stored.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in stored.columns])
