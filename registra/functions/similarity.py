@@ -1,7 +1,8 @@
 """Jaro-Winkler similarity over whole Arrow batches.
 
-Spark has no built-in for it. Names become byte-code matrices and the matching loop runs once per
-character position for all pairs of a batch at the same time, so Python cost does not grow with rows.
+Spark has no built-in for it. Names become matrices of UTF-8 bytes and the matching loop runs once per
+position for all pairs of a batch at the same time, so Python cost does not grow with rows. Bytes and not
+characters are compared, as SQL engines do, which only shows in accented names.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ BOOST_ABOVE = 0.7
 
 
 def encode(names: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Code-point matrix (rows padded with 0) and lengths."""
-    values = names.fillna("").to_numpy(dtype=object)
-    lengths = np.fromiter((len(v) for v in values), dtype=np.int32, count=len(values))
+    """Byte matrix (rows padded with 0) and lengths."""
+    values = [name.encode() for name in names.fillna("")]
+    lengths = np.fromiter(map(len, values), dtype=np.int32, count=len(values))
     width = max(int(lengths.max(initial=0)), 1)
-    fixed = np.asarray(values, dtype=f"<U{width}")
-    return np.ascontiguousarray(fixed).view(np.uint32).reshape(len(values), width), lengths
+    fixed = np.array(values, dtype=f"S{width}")
+    return fixed.view(np.uint8).reshape(len(values), width), lengths
 
 
 def jaro_winkler_codes(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
@@ -92,7 +93,8 @@ def similarities(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     Pairs are taken in length order, so one very long name does not widen the matrices of all others.
     """
     scores = np.zeros(len(left))
-    longest = np.fromiter((max(len(a), len(b)) for a, b in zip(left, right)), dtype=np.int64, count=len(left))
+    # Four bytes at most per character: an upper bound is enough to size the steps.
+    longest = 4 * np.fromiter((max(len(a), len(b)) for a, b in zip(left, right)), dtype=np.int64, count=len(left))
     order = np.argsort(longest, kind="stable")
     start = 0
     while start < len(order):
@@ -110,7 +112,20 @@ def similarities(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def similarity_ceiling(
     common: np.ndarray, la: np.ndarray, lb: np.ndarray, prefix: np.ndarray
 ) -> np.ndarray:
-    """Highest similarity two names can have, given how many characters they share in any order."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        jaro = np.where(common > 0, (common / la + common / lb + 1.0) / 3.0, 0.0)
-    return np.where(jaro > BOOST_ABOVE, jaro + prefix * PREFIX_WEIGHT * (1.0 - jaro), jaro)
+    """Highest similarity two names can have, given how many bytes they share in any order.
+
+    Single precision: allow CEILING_ERROR when comparing with a score.
+    """
+    one = np.float32(1.0)
+    jaro = common * (one / np.maximum(la, 1)).astype(np.float32)
+    jaro += common * (one / np.maximum(lb, 1)).astype(np.float32)
+    jaro += one
+    jaro *= np.float32(1.0 / 3.0)
+    jaro[common == 0] = 0.0
+    # A ceiling just under the boost threshold may round either way, so the boost starts a little early.
+    boost = prefix * np.float32(PREFIX_WEIGHT) * (one - jaro)
+    boost[jaro < BOOST_ABOVE - CEILING_ERROR] = 0.0
+    return jaro + boost
+
+
+CEILING_ERROR = 1e-5

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from registra.functions.naming import without_legal_form
-from registra.functions.similarity import PREFIX_LENGTH, encode, similarities, similarity_ceiling
+from registra.functions.similarity import CEILING_ERROR, PREFIX_LENGTH, encode, similarities, similarity_ceiling
 from registra.functions.text import search_link
 from registra.operators.establishments import by_siret, first_per_key
 from registra.operators.held import held
@@ -27,6 +27,8 @@ SHORTEST_NAME = 3
 POSTCODE_BONUS = 0.05
 QUERIES_PER_BLOCK = 4_000
 PLACES_PER_BLOCK = 40_000
+SMALLEST_BLOCK = 1_000
+MOST_PARTITIONS = 20_000
 RANKING_DIGITS = 10  # scores equal to this many digits are ties, settled by SIRET
 SEARCH_BASE = "https://annuaire-entreprises.data.gouv.fr/rechercher?terme="  # default, callers may pass another
 
@@ -94,7 +96,7 @@ def registry_places(registry: Registry, limit: int) -> DataFrame:
 
 
 def _character_counts(codes: np.ndarray, alphabet: np.ndarray, depth: int) -> np.ndarray:
-    """Indicator per (character, repetition): their dot product counts the characters two names share."""
+    """Indicator per (byte, repetition): their dot product counts the bytes two names share."""
     counts = np.stack([(codes == c).sum(axis=1) for c in alphabet], axis=1)
     return (counts[:, :, None] > np.arange(depth)[None, None, :]).reshape(len(codes), -1).astype(np.float32)
 
@@ -133,20 +135,20 @@ def _best_of_block(queries: pd.DataFrame, places: pd.DataFrame, limit: int) -> p
         for i in range(min(PREFIX_LENGTH, codes.shape[1], place_codes.shape[1])):
             going &= (codes[:, i, None] == place_codes[None, :, i]) & (codes[:, i, None] != 0)
             prefix += going
-        ceiling = similarity_ceiling(common.astype(np.float64), lengths[:, None], place_lengths[None, :], prefix)
+        ceiling = similarity_ceiling(common, lengths[:, None], place_lengths[None, :], prefix)
         near = (zips[part][:, None] == postcodes[None, :]) & (zips[part][:, None] != "")
-        ceiling = np.minimum(1.0, ceiling + POSTCODE_BONUS * near)
+        ceiling += np.float32(POSTCODE_BONUS) * near
 
         first = min(len(places), max(16, 4 * limit))
         ahead = np.argpartition(-ceiling, first - 1, axis=1)[:, :first]
         scored = _scored(np.repeat(np.arange(len(codes)), first), ahead.ravel(), wanted[part], names, near)
         best = _best(scored, siren_ids, siret_order, limit)
         held_count = np.bincount(best["query"], minlength=len(codes))
-        floor = np.full(len(codes), -1.0)
+        floor = np.full(len(codes), -1.0, dtype=np.float32)
         lowest = best.groupby("query")["score"].min()
         full = held_count[lowest.index] == limit
         floor[lowest.index[full]] = lowest.to_numpy()[full]
-        open_pairs = ceiling >= (floor - 1e-9)[:, None]
+        open_pairs = ceiling >= (floor - np.float32(CEILING_ERROR))[:, None]
         np.put_along_axis(open_pairs, ahead, False, axis=1)
         pairs = np.nonzero(open_pairs)
         if len(pairs[0]):
@@ -200,11 +202,20 @@ def search_names(
     """(row_id, rank, siret, denomination, adresse, score_similarite) for prepared queries."""
     places = held(registry_places(registry, limit), "places")
     distinct = held(queries.select("clean", "zip").distinct(), "names")
+    place_count = places.count()
     query_blocks = -(-distinct.count() // queries_per_block) or 1
-    place_blocks = -(-places.count() // places_per_block) or 1
+    place_blocks = -(-place_count // places_per_block) or 1
+    # Small inputs are cut finer, or most cores would wait for a few large groups.
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    finer = min(-(-2 * cores // query_blocks), -(-place_count // SMALLEST_BLOCK) or 1)
+    place_blocks = max(place_blocks, finer)
+    # A fixed number of partitions: the rows are few but each group is seconds of work, so sizes in bytes
+    # must not decide how they are packed.
+    partitions = min(query_blocks * place_blocks, MOST_PARTITIONS)
 
     left = _blocks(distinct, ["clean", "zip"], "_q", query_blocks, "_p", place_blocks)
     right = _blocks(places, ["place_name", "postcode", "siren"], "_p", place_blocks, "_q", query_blocks)
+    left, right = left.repartition(partitions, "_q", "_p"), right.repartition(partitions, "_q", "_p")
 
     def best(query_block: pd.DataFrame, place_block: pd.DataFrame) -> pd.DataFrame:
         return _best_of_block(query_block, place_block, limit)
