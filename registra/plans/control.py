@@ -148,7 +148,7 @@ def match(keys: DataFrame, registry: Registry) -> DataFrame:
     ranked = registry.establishments.select(*RANKING_FIELDS)
     direct = one_per_siret(by_siret(ranked, keys_of_type(keys, "SIRET", "siret")))
     wanted = direct.select("siren").unionByName(keys_of_type(keys, "SIREN", "siren"))
-    siblings = held(by_siren(ranked, wanted), "siblings")
+    siblings = held(by_siren(registry.ranking, wanted), "siblings")
 
     answers = direct.select(
         F.col("siret").alias("siret_lookup_key"), "siret", "siren", STATE, F.lit(None).cast("string").alias("matched_mode")

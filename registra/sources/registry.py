@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -25,15 +26,35 @@ class RegistryPaths:
     history: str | None = None
 
 
+# What ranking, counting and status need; everything else is read once, for the rows kept.
+RANKING_FIELDS = (
+    "siret",
+    "siren",
+    "etatAdministratifEtablissement",
+    "etablissementSiege",
+    "dateDebut",
+    "dateCreationEtablissement",
+)
+
+
 @dataclass(frozen=True)
 class Registry:
-    """Canonical, lazy registry tables. Optional tables are None when not supplied or not usable."""
+    """Canonical, lazy registry tables. Optional tables are None when not supplied or not usable.
+
+    `siblings` is a second copy of the ranking columns laid out by `siren`, when there is one.
+    """
 
     establishments: DataFrame
     legal_units: DataFrame
     links: DataFrame | None = None
     history: DataFrame | None = None
     resolutions: tuple[Resolution, ...] = ()
+    siblings: DataFrame | None = None
+
+    @property
+    def ranking(self) -> DataFrame:
+        """Ranking columns of every establishment, for lookups by `siren`."""
+        return self.establishments.select(*RANKING_FIELDS) if self.siblings is None else self.siblings
 
     def warnings(self) -> list[str]:
         return [
@@ -100,6 +121,33 @@ def read_registry(spark: SparkSession, paths: RegistryPaths, pad_ids: bool = Tru
     )
 
 
+@dataclass(frozen=True)
+class RegistryTables:
+    """Names of a bucketed copy."""
+
+    prefix: str
+
+    @property
+    def establishments(self) -> str:
+        return f"{self.prefix}_establishments"
+
+    @property
+    def siblings(self) -> str:
+        return f"{self.prefix}_siblings"
+
+    @property
+    def legal_units(self) -> str:
+        return f"{self.prefix}_legal_units"
+
+    @property
+    def links(self) -> str:
+        return f"{self.prefix}_links"
+
+    @property
+    def history(self) -> str:
+        return f"{self.prefix}_history"
+
+
 def save_bucketed(registry: Registry, prefix: str, buckets: int) -> RegistryTables:
     """Write the canonical registry once per publication as tables bucketed on their lookup keys.
 
@@ -107,7 +155,7 @@ def save_bucketed(registry: Registry, prefix: str, buckets: int) -> RegistryTabl
     Joins on these keys then read matching buckets side by side; only the other side is shuffled.
     """
     tables = RegistryTables(prefix)
-    ranked = registry.establishments.select(*RANKING_FIELDS)
+    ranked = registry.ranking
     plan: Sequence[tuple[DataFrame | None, str, str]] = (
         (registry.establishments, tables.establishments, "siret"),
         (ranked, tables.siblings, "siren"),
@@ -127,42 +175,17 @@ def save_bucketed(registry: Registry, prefix: str, buckets: int) -> RegistryTabl
     return tables
 
 
-# What ranking, counting and status need; everything else is read once, for the rows kept.
-RANKING_FIELDS = (
-    "siret",
-    "siren",
-    "etatAdministratifEtablissement",
-    "etablissementSiege",
-    "dateDebut",
-    "dateCreationEtablissement",
-)
-
-
-@dataclass(frozen=True)
-class RegistryTables:
-    """Names of a bucketed copy."""
-
-    prefix: str
-
-    @property
-    def establishments(self) -> str:
-        return f"{self.prefix}_establishments"
+def read_bucketed(spark: SparkSession, tables: RegistryTables) -> Registry:
+    """Open a bucketed copy. Its identifiers are canonical, so keys reach the buckets untouched."""
 
-    @property
-    def siblings(self) -> str:
-        return f"{self.prefix}_siblings"
+    def optional(name: str) -> DataFrame | None:
+        return spark.table(name) if spark.catalog.tableExists(name) else None
 
-    @property
-    def legal_units(self) -> str:
-        return f"{self.prefix}_legal_units"
-
-    @property
-    def links(self) -> str:
-        return f"{self.prefix}_links"
-
-    @property
-    def history(self) -> str:
-        return f"{self.prefix}_history"
+    registry = registry_from_frames(
+        spark.table(tables.establishments), spark.table(tables.legal_units),
+        optional(tables.links), optional(tables.history), pad_ids=False,
+    )
+    return dataclasses.replace(registry, siblings=spark.table(tables.siblings))
 
 
 __all__ = [
@@ -172,6 +195,7 @@ __all__ = [
     "Registry",
     "RegistryPaths",
     "RegistryTables",
+    "read_bucketed",
     "read_parquet_source",
     "read_registry",
     "registry_from_frames",
