@@ -124,10 +124,12 @@ class ControlOptions:
 
 def identifier_keys(checked: DataFrame) -> DataFrame:
     """Distinct valid identifiers with how many lines carry them, and the duplicate flags."""
+    # Invalid lines are dropped by their count, after the partial aggregate. A filter on the flag would be
+    # pushed into the scan and repeat the whole validation there.
     keys = (
-        checked.filter("siret_format_ok")
-        .groupBy("siret_normalized", "siret_lookup_key", "siret_input_type", "siret_validation_route")
-        .agg(F.count("*").alias("line_count"))
+        checked.groupBy("siret_normalized", "siret_lookup_key", "siret_input_type", "siret_validation_route")
+        .agg(F.count_if("siret_format_ok").alias("line_count"))
+        .filter("line_count > 0")
         .withColumn("key_siren", F.substring("siret_lookup_key", 1, 9))
     )
     per_siren = keys.groupBy("key_siren").agg(F.sum("line_count").alias("_siren_lines"))

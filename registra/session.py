@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+# Wide rows make generated methods longer than the JVM compiles (8000 bytes); fall back to shorter ones.
+WIDE_ROWS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
 def build_session(app_name: str = "registra", master: str | None = None, **settings: str) -> SparkSession:
@@ -19,8 +21,9 @@ def build_session(app_name: str = "registra", master: str | None = None, **setti
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-        # Wide rows make generated methods longer than the JVM compiles; fall back to shorter ones.
-        "spark.sql.codegen.hugeMethodLimit": "8000",
+        **WIDE_ROWS,
+        # Plans here are built from thousands of small calls; recording each call's source line doubles that.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
@@ -29,6 +32,13 @@ def build_session(app_name: str = "registra", master: str | None = None, **setti
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> None:
+    """Apply the settings for wide rows to a session somebody else made, where it left them unset."""
+    for name, value in WIDE_ROWS.items():
+        if spark.sparkContext.getConf().get(name) is None:
+            spark.conf.set(name, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in spark.checkpoint.dir.
 

@@ -15,7 +15,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from registra.session import shared_folder
+from registra.session import shared_folder, tune
 from registra.sources.registry import Registry, RegistryPaths, read_registry
 
 
@@ -182,6 +182,7 @@ _STAGED: dict[tuple[str, str], Staged] = {}
 
 def stage(spark: SparkSession, sf: str) -> Staged:
     """Write the derived tables once per application and scale."""
+    tune(spark)
     sf = sf.rstrip("/")
     key = (spark.sparkContext.applicationId, sf)
     if key in _STAGED:
