@@ -114,3 +114,16 @@ def profile_columns(df: DataFrame) -> DataFrame:
         for i, name in enumerate(df.columns)
     ]
     return counted.select(F.inline(F.array(*entries)))
+
+
+def suggested_columns(profile: DataFrame) -> DataFrame:
+    """The identifier and the country column of a profile: by content, the name deciding ties."""
+
+    def best(share: str, score: str):
+        plausible = (F.col(share) > 0) | (F.col(score) > 0)
+        return F.max_by("column_name", F.when(plausible, F.struct(share, score)))
+
+    return profile.agg(
+        best("valid_identifier_share", "identifier_name_score").alias("identifier_column"),
+        best("home_country_share", "country_name_score").alias("country_column"),
+    )

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from registra.functions.text import text_or_null
 from registra.operators.establishments import ACTIVE_FALLBACK, HEAD_OFFICE, STATE, state_code
 
 INVALID = "INVALID_SIRET_FORMAT"
@@ -203,6 +202,3 @@ def metric_columns() -> list[Column]:
         F.count_if(code == UNKNOWN_STATE).alias("unknown_state"),
     ]
 
-
-def blank_text(value: Column) -> Column:
-    return F.coalesce(text_or_null(value), F.lit(""))

@@ -40,6 +40,7 @@ from registra.operators.succession import (
     spread_key,
     with_successor_state,
 )
+from registra import schema
 from registra.schema import ESTABLISHMENT_FIELDS, LEGAL_UNIT_FIELDS, PREDECESSOR, SUCCESSOR
 from registra.sources.registry import RANKING_FIELDS, Registry
 
@@ -177,7 +178,7 @@ def match(keys: DataFrame, registry: Registry) -> DataFrame:
 
 def decide(matched: DataFrame, registry: Registry, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Add the succession result and every rule that follows from it."""
-    if registry.links is None or _lacks(registry, PREDECESSOR, SUCCESSOR):
+    if registry.links is None or registry.missing(schema.LINKS) & {PREDECESSOR, SUCCESSOR}:
         walked = matched.withColumn("successor_siret", F.lit(None).cast("string"))
     else:
         starts = matched.filter(rules.is_closed()).select(F.col("siret_normalized").alias("siret"))
@@ -210,15 +211,6 @@ def with_rules(walked: DataFrame) -> DataFrame:
     )
 
 
-def _lacks(registry: Registry, *fields: str) -> bool:
-    return any(f in r.missing for r in registry.resolutions if r.table.name == "links" for f in fields)
-
-
-def _history_dates(registry: Registry) -> dict[str, bool]:
-    missing = {f for r in registry.resolutions if r.table.name == "history" for f in r.missing}
-    return {"has_start": "dateDebut" not in missing, "has_end": "dateFin" not in missing}
-
-
 def _joined(left: DataFrame, right: DataFrame, left_key: Column, right_key: str) -> DataFrame:
     """Left join on a key that may be absent, without gathering the absent ones in one task."""
     keyed = left.withColumn("_key", spread_key(left_key, F.col("siret_normalized")))
@@ -234,9 +226,14 @@ def _with_history(frame: DataFrame, registry: Registry, siret: Column) -> DataFr
                 SUMMARY[2]: F.lit(None).cast("string"),
             }
         )
-    wanted = frame.select(siret.alias("siret")).filter("siret is not null")
-    summary = history_summary(history_slice(registry.history, wanted), **_history_dates(registry))
-    return _joined(frame, summary, siret, "siret")
+    missing = registry.missing(schema.HISTORY)
+    dates = {"has_start": "dateDebut" not in missing, "has_end": "dateFin" not in missing}
+    if "siret" in missing:
+        # The table only knows legal units.
+        periods = history_slice(registry.history, sirens=siren_keys(frame))
+        return _joined(frame, history_summary(periods, "siren", **dates), F.col("siren"), "siren")
+    periods = history_slice(registry.history, sirets=frame.select(siret.alias("siret")).filter("siret is not null"))
+    return _joined(frame, history_summary(periods, **dates), siret, "siret")
 
 
 def own_data(decided: DataFrame, registry: Registry) -> DataFrame:
@@ -275,20 +272,18 @@ def shown_data(decided: DataFrame, registry: Registry, load_replacements: bool =
     )
     frame = _joined(aimed.drop(*ESTABLISHMENT_DATA), data, F.col("_shown"), "siret")
 
-    loaded = F.col("_loaded").isNotNull()
-    frame = frame.withColumn(
-        "analysis_data_applied",
-        F.when(~closed, rules.OWN_DATA)
-        .when(F.col("_shown").isNull(), rules.CLOSED_NO_DATA)
-        .when(loaded, rules.REPLACEMENT_DATA)
-        .otherwise(rules.REPLACEMENT_NOT_LOADED),
-    ).withColumn(
-        # The legal unit described; none once the replacement leads to another one.
-        "siren", F.when(~closed | (loaded & (F.col("_shown_siren") == F.col("siren"))), F.col("siren"))
-    )
-    has_history = F.coalesce(F.col(SUMMARY[0]), F.lit(0)) > 0
     frame = _with_history(frame, registry, F.col("siret"))
-    frame = frame.withColumn("analysis_historique_disponible", yes_no(has_history))
+    frame = frame.withColumns(
+        {
+            "analysis_historique_disponible": yes_no(F.coalesce(F.col(SUMMARY[0]), F.lit(0)) > 0),
+            "analysis_data_applied": F.when(~closed, rules.OWN_DATA)
+            .when(F.col("_shown").isNull(), rules.CLOSED_NO_DATA)
+            .when(F.col("_loaded").isNotNull(), rules.REPLACEMENT_DATA)
+            .otherwise(rules.REPLACEMENT_NOT_LOADED),
+            # The legal unit described; none once the replacement leads to another one.
+            "siren": F.when(~closed | (F.col("_shown_siren") == F.col("siren")), F.col("siren")),
+        }
+    )
     described = ~closed | F.col("siren").isNotNull()
     frame = frame.withColumns({c: F.when(described, F.col(c)) for c in (*COUNTS, *SUMMARY)})
 
@@ -460,14 +455,20 @@ class ControlResult:
     @cached_property
     def run_log(self) -> DataFrame:
         """Parameters of the run, one per row, to append to a log table."""
+        paths = {name: path or "" for name, path in vars(self.registry.paths).items()} if self.registry.paths else {}
         values = {
             "execution_timestamp": datetime.now(timezone.utc).isoformat(timespec="seconds"),
             "input_siret_column": self.identifier_column,
             "input_row_count": str(self.checked.count()),
-            **{r.table.name: str(len(r.available)) + " columns" for r in self.registry.resolutions},
+            **paths,
         }
         return self.checked.sparkSession.createDataFrame(list(values.items()), "parameter string, value string")
 
+    @cached_property
+    def schema_report(self) -> DataFrame:
+        """Where each canonical column comes from."""
+        return schema.schema_report(self.checked.sparkSession, self.registry.resolutions)
+
     def warnings(self) -> list[str]:
         """Absent columns, and optional tables in which nothing was found."""
         found = self.registry.warnings()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registra import schema
-from registra.schema import PREDECESSOR, SUCCESSOR, Resolution, TableSpec
+from registra.schema import PREDECESSOR, Resolution, TableSpec
 
 WILDCARDS = ("*", "?", "[", "{")
 
@@ -50,12 +50,17 @@ class Registry:
     history: DataFrame | None = None
     resolutions: tuple[Resolution, ...] = ()
     siblings: DataFrame | None = None
+    paths: RegistryPaths | None = None
 
     @property
     def ranking(self) -> DataFrame:
         """Ranking columns of every establishment, for lookups by `siren`."""
         return self.establishments.select(*RANKING_FIELDS) if self.siblings is None else self.siblings
 
+    def missing(self, table: TableSpec) -> set[str]:
+        """Canonical columns the stored table does not have."""
+        return {name for r in self.resolutions if r.table == table for name in r.missing}
+
     def warnings(self) -> list[str]:
         return [
             f"{r.table.name}: absent column(s) read as empty: {', '.join(r.missing)}"
@@ -112,13 +117,14 @@ def registry_from_frames(
 
 
 def read_registry(spark: SparkSession, paths: RegistryPaths, pad_ids: bool = True) -> Registry:
-    return registry_from_frames(
+    registry = registry_from_frames(
         read_parquet_source(spark, paths.establishments, "establishments"),
         read_parquet_source(spark, paths.legal_units, "legal units"),
         read_parquet_source(spark, paths.links, "succession links", required=False),
         read_parquet_source(spark, paths.history, "history", required=False),
         pad_ids,
     )
+    return dataclasses.replace(registry, paths=paths)
 
 
 @dataclass(frozen=True)
@@ -189,8 +195,6 @@ def read_bucketed(spark: SparkSession, tables: RegistryTables) -> Registry:
 
 
 __all__ = [
-    "PREDECESSOR",
-    "SUCCESSOR",
     "RANKING_FIELDS",
     "Registry",
     "RegistryPaths",

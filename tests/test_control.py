@@ -9,6 +9,7 @@ from registra.operators import reports, rules, scoping
 from registra.operators.establishments import STATE
 from registra.plans.control import OVERVIEW_COLUMNS, column_group, with_rules
 from registra.schema import LEGAL_UNIT_FIELDS
+from registra.sources.registry import registry_from_frames
 from registra.sources.sinks import RESULTS, write_results
 from tests.samples import est, registry, rows, siren, siret
 
@@ -137,6 +138,7 @@ def test_metrics_and_side_tables(result):
     )
     assert result.succession_links.count() == 2 and result.history.count() == 2
     assert result.all_establishments.count() == 8
+    assert result.schema_report.filter("source_column is not null").count() > 10
     assert {r.parameter for r in result.run_log.collect()} >= {"input_siret_column", "input_row_count"}
     assert any("absent column" in w for w in result.warnings())
 
@@ -165,6 +167,14 @@ def test_without_optional_tables_and_row_id(spark):
         run_control(lines_frame(spark), "nowhere", bare)
 
 
+def test_history_that_only_knows_legal_units(spark, sample):
+    by_unit = spark.createDataFrame([(siren(1), "2001-01-01"), (siren(1), "2002-01-01")], "siren string, dateDebut string")
+    known = registry_from_frames(sample.establishments, sample.legal_units, None, by_unit)
+    run = run_control(lines_frame(spark), "siret", known, ControlOptions(row_id="ref"))
+    row = run.overview.filter("row_id = 1").first()
+    assert (row.historique_records_count, row.historique_latest_dateDebut, row.historique_latest_dateFin) == (2, "2002-01-01", "")
+
+
 def test_hot_identifier_and_registry_rows_out_of_contract(spark, sample):
     lines = [(str(i), siret(1, 2) if i % 3 else "bad", "") for i in range(3000)]
     table = run_control(lines_frame(spark, lines), "siret", sample, ControlOptions(row_id="ref")).overview

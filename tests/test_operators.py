@@ -8,7 +8,7 @@ from registra.operators import scoping
 from registra.operators.diff import ONLY_AFTER, ONLY_BEFORE, run_diff
 from registra.operators.history import history_slice, history_summary
 from registra.operators.profile import (
-    best_column, country_name_score, identifier_name_score, profile_columns, search_name_score,
+    best_column, country_name_score, identifier_name_score, profile_columns, search_name_score, suggested_columns,
 )
 from registra.operators.succession import best_links, link_profile, links_touching, resolve_successors, with_successor_state
 from tests.samples import est as row
@@ -196,6 +196,8 @@ def test_column_profile(spark):
     table = {r.column_name: r for r in profile_columns(lines).collect()}
     assert table["N° SIRET"].valid_identifier_share == 0.5 and table["Pays"].home_country_share == 0.5
     assert table["note"].filled_share == 0.5
+    assert suggested_columns(profile_columns(lines)).first().asDict() == {"identifier_column": "N° SIRET", "country_column": "Pays"}
+    assert suggested_columns(profile_columns(lines.select("note"))).first().identifier_column is None
     assert best_column(lines.columns, identifier_name_score) == "N° SIRET"
     assert best_column(lines.columns, country_name_score) == "Pays"
     assert best_column(["a"], country_name_score) is None

@@ -33,10 +33,6 @@ def key_valid(number: str) -> str:
     return f"({luhn(number)} OR coalesce({postal}, false))"
 
 
-def text_or_null(value: str) -> str:
-    return f"CASE WHEN lower(trim({value})) NOT IN ('', 'nan') THEN trim({value}) END"
-
-
 LEGAL_FORMS = r"\b(SAS|SARL|SA|SNC|EURL|SASU|SCI|GIE|EI)\b"
 
 

@@ -16,10 +16,9 @@ from registra.operators import names, profile, reports, rules, scoping, successi
 from registra.operators.diff import run_diff
 from registra.plans.control import ControlOptions, ControlResult, identifier_keys, keys_of_type, run_control
 from registra.schema import PREDECESSOR, SUCCESSOR, filled_counts, padded_id
-from registra.sources.registry import Registry
 from registra.sources.user_list import drop_blank_rows, read_user_list
 from workload.derive import registry, stage
-from workload.oracle import STATUS_LABEL, key_valid, luhn, sql, text_or_null, without_form
+from workload.oracle import STATUS_LABEL, key_valid, luhn, sql, without_form
 
 Job = Callable[[SparkSession, str], DataFrame]
 JOBS: dict[str, Job] = {}
@@ -794,7 +793,7 @@ def move_candidates(spark, sf):
     "run_diff",
     f"""SELECT label AS status, changed AS column_name, CAST(count(*) FILTER (differs) AS BIGINT) AS changed_rows FROM (
         SELECT {STATUS_LABEL.format('d.status')} AS label, unnest(['siret_remplacement_recommande', 'analysis_synthese_remplacement', 'siret_status', '(only before)', '(only after)']) AS changed,
-          unnest([coalesce(d.sibling, '') <> '' AND false OR coalesce(short_repl, '') <> coalesce(d.repl, ''),
+          unnest([coalesce(short_repl, '') <> coalesce(d.repl, ''),
                   coalesce(short_source, '') <> coalesce(d.source, ''), false, false, false]) AS differs
         FROM dec d JOIN (SELECT d.row_id, CASE WHEN status = 'CLOSED' THEN coalesce(CASE WHEN hops = 1 THEN succ END, sibling) END AS short_repl,
             CASE WHEN status = 'CLOSED' THEN CASE WHEN hops = 1 THEN 'Succession' WHEN sibling IS NOT NULL THEN 'Autre SIRET même SIREN' ELSE 'Aucun' END END AS short_source
@@ -871,6 +870,3 @@ def profile_columns(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return overview(spark, sf)
-
-
-__all__ = ["CHECKS", "JOBS", "Registry", "flagship", "text_or_null"]
