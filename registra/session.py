@@ -44,8 +44,9 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only where the setting is missing (tests, a laptop) is a fresh local folder created and set.
     """
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_SETTING, folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
