@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registra.llm import quality_rules
+from registra.llm import quality_rules, simhash
 from registra.llm.quality_rules import STOP_WORDS
+from registra.operators.held import held
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,16 +26,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *[f"counts.{c}" for c in base], "base_failed", "kept")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = held(simhash.fingerprints(_documents(spark, sf_dir)), "prints")
+    found = prints.join(simhash.near_duplicates(prints), "bits")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op7_simhash": op7_simhash,
 }
 
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 _OP4 = f"""
 WITH split AS (
   SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS body, {_WORDS} AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
   FROM documents),
 windows AS (
   SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS seen
@@ -48,9 +56,9 @@ counted AS (
          CAST(len(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
          len(ls) AS n_lines, len(regexp_replace(body, '[^!]', '', 'g')) AS bangs, len(regexp_replace(body, '[^A-Z]', '', 'g')) AS capitals,
-         len(list_filter(w, x -> list_contains([{", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}], lower(x)))) AS stops,
-         len(list_filter(ls, x -> regexp_matches(x, '^ *([-*•]|[0-9]+[.)])\\s'))) AS listed,
-         len(list_filter(ls, x -> ends_with(rtrim(x), '...') OR ends_with(rtrim(x), '…'))) AS dots
+         len(list_filter(w, lambda x: list_contains([{", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}], lower(x)))) AS stops,
+         len(list_filter(ls, lambda x: regexp_matches(x, '^ *([-*•]|[0-9]+[.)])\\s'))) AS listed,
+         len(list_filter(ls, lambda x: ends_with(rtrim(x), '...') OR ends_with(rtrim(x), '…'))) AS dots
   FROM split LEFT JOIN covered USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars BETWEEN 2.0 * n_words AND 15.0 * n_words AND n_symbols <= 0.25 * n_words
