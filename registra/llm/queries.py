@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registra.llm import quality_rules, simhash
+from registra.llm import quality_rules, simhash, token_counts
 from registra.llm.quality_rules import STOP_WORDS
 from registra.operators.held import held
 
+TOKEN_LIMIT = 1024
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,6 +29,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *[f"counts.{c}" for c in base], "base_failed", "kept")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counts = token_counts.token_counts(_documents(spark, sf_dir), path, TOKEN_LIMIT)
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = held(simhash.fingerprints(_documents(spark, sf_dir)), "prints")
     found = prints.join(simhash.near_duplicates(prints), "bits")
@@ -34,6 +43,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_token_counts": op5_token_counts,
     "op7_simhash": op7_simhash,
 }
 
