@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registra.llm import quality_rules, simhash, token_counts
+from registra.llm import mixing, quality_rules, sharding, simhash, token_counts
 from registra.llm.quality_rules import STOP_WORDS
 from registra.operators.held import held
 
@@ -35,16 +35,39 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The text itself is not carried: its size, checksum and hash are enough.
+    rows = sharding.prepared(_documents(spark, sf_dir)).withColumn("doc_id", F.col("row.doc_id")).drop("row")
+    return sharding.assign_shards(rows).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = held(simhash.fingerprints(_documents(spark, sf_dir)), "prints")
     found = prints.join(simhash.near_duplicates(prints), "bits")
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = held(mixing.measured(docs).select(F.col("row.doc_id").alias("doc_id"), "source", "size", "place"), "measured")
+    mixed = mixing.mix(rows, mixing.plan_mixture(rows))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
+    "op10_mixing": op10_mixing,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -77,6 +100,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
 """
 
+_OP10 = """
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS place
+  FROM documents),
+weighed AS (
+  SELECT source, source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS cap,
+         sum(source_size) OVER () AS total
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source)),
+levels AS (
+  SELECT *, CAST(total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+            / CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  FROM weighed WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST)),
+targets AS (
+  SELECT source, source_size, coalesce(least(CAST(cap AS DOUBLE), weight * water), CAST(cap AS DOUBLE)) AS target
+  FROM (SELECT *, max(CASE WHEN level <= CAST(cap AS DOUBLE) / weight THEN level END) OVER () AS water FROM levels)),
+split AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
+running AS (
+  SELECT d.doc_id, d.size, s.source_size, s.target, s.whole, s.target - s.whole * s.source_size AS rest,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place ROWS UNBOUNDED PRECEDING) AS upto
+  FROM sized d JOIN split s ON d.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN 2 * upto - size < 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM running
+"""
+
 CHECKS: dict[str, str] = {
     "op4_quality_rules": _OP4,
+    "op10_mixing": _OP10,
 }
