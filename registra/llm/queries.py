@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registra.llm import decontaminate, mixing, quality_rules, secrets, sharding, simhash, token_counts
+from registra.llm import decontaminate, mixing, quality_rules, secrets, sharding, simhash, substring, token_counts
 from registra.llm.quality_rules import STOP_WORDS
 from registra.operators.held import held
 
@@ -71,6 +71,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removals(_documents(spark, sf_dir))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
@@ -97,6 +101,7 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
+    "op8_substring": op8_substring,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
 }
@@ -131,6 +136,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
 """
 
+_OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+windows AS (
+  SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS seen FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY seen) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT r, list(DISTINCT k) AS ks FROM (SELECT r, unnest(range(i, i + 35)) AS k FROM again) GROUP BY r),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+gone AS (SELECT r, unnest(ks) AS k FROM covered),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS text FROM words ANTI JOIN gone USING (r, k) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN covered USING (r) LEFT JOIN kept USING (r)
+"""
+
 # Only A-Z are lower-cased by the operator; lower() would change other letters too.
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"list_filter(regexp_split_to_array({_LOWERED}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -181,6 +199,7 @@ FROM running
 
 CHECKS: dict[str, str] = {
     "op4_quality_rules": _OP4,
+    "op8_substring": _OP8,
     "op9_decontaminate": _OP9,
     "op10_mixing": _OP10,
 }

@@ -150,14 +150,16 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
             piece, size = longer, size * 2
 
 
-def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
-    """Least of the `width` values from each place on (fewer at the end)."""
-    size, least = 1, values.copy()
+def sliding_minimum(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least of the `width` values from each place on (fewer at the end), and the first place that has it."""
+    size, least, place = 1, values.copy(), np.arange(len(values))
     while size < width:
         step = min(size, width - size)
-        np.minimum(least[: len(least) - step], least[step:], out=least[: len(least) - step])
+        lower = np.flatnonzero(least[step:] < least[: len(least) - step])
+        # Both sides are read before any is written.
+        least[lower], place[lower] = least[lower + step], place[lower + step]
         size += step
-    return least
+    return least, place
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
