@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registra.llm import decontaminate, mixing, quality_rules, secrets, sharding, simhash, substring, token_counts
+from registra.llm import decontaminate, language_model, mixing, quality_rules, secrets, sharding, simhash, substring, token_counts
 from registra.llm.quality_rules import STOP_WORDS
 from registra.operators.held import held
 
@@ -39,6 +39,13 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = F.coalesce(language_model.fold(F.col("doc_id"), 7) == 2, F.lit(False))
+    model = language_model.fit(docs.filter(~held_out))
+    return language_model.scores(docs, model).withColumn("held_out", held_out)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_documents(spark, sf_dir))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -97,6 +104,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
+    "op3_language_model": op3_language_model,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
