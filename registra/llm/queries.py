@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registra.llm import decontaminate, language_model, mixing, quality_rules, secrets, sharding, simhash, substring, token_counts
+from registra.llm import decontaminate, language_model, mixing, quality_model, quality_rules, secrets, sharding, simhash, substring, token_counts
 from registra.llm.quality_rules import STOP_WORDS
 from registra.operators.held import held
 
 TOKEN_LIMIT = 1024
+QUALITY_SCORE = 0.7
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = F.coalesce(language_model.fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(~held_out)
+    scored = quality_model.scores(docs, quality_model.fit(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_SCORE).cast("int").alias("predicted"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.col("base")
 
@@ -103,6 +112,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_model": op1_quality_model,
     "op2_secrets": op2_secrets,
     "op3_language_model": op3_language_model,
     "op4_quality_rules": op4_quality_rules,

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from registra.llm.joins import join_by_size
 from registra.llm.words import WHITE_SPACE, Words, find_words, mix, rolling, sliding_minimum, text_slices, windows_inside
 from registra.operators.held import held
 
@@ -35,8 +36,6 @@ WINDOW = 35
 ANCHOR = 18
 #: Fragments under one anchor that a block gathers at most.
 HOT_ANCHOR = 1024
-#: Bytes up to which a keyed table is sent to all workers; beyond that Spark shuffles both sides.
-BROADCAST_BYTES = 64 << 20
 
 #: A text's base address is its hash, cut so that adding a word's number cannot overflow.
 ADDRESSES = (1 << 62) - 1
@@ -54,10 +53,6 @@ def _address(place: str) -> Column:
     return F.col("k1").bitwiseAND(F.lit(ADDRESSES)) + F.col(place)
 
 
-def _join(left: DataFrame, right: DataFrame, on: list[str], size: int) -> DataFrame:
-    return left.join(F.broadcast(right) if size <= BROADCAST_BYTES else right, on)
-
-
 def _fragments(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fragments of a slice: number of the first window's first word, windows, anchor."""
     at = windows_inside(words.first, WINDOW)
@@ -219,11 +214,11 @@ def factors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
         "anchors",
     )
     copies = sketch.groupBy(*_KEY).agg(F.min("doc_id").alias("chosen"), F.count("*").alias("copies"))
-    marked = _join(filed, repeated, ["anchor"], 24 * repeated.count())
+    marked = join_by_size(filed, repeated, ["anchor"], 24 * repeated.count())
     places = marked.groupBy(*_KEY).agg(F.collect_set(F.struct("place", "hot")).alias("marks"))
     marks = held(places.join(copies, list(_KEY)).select(*_KEY, "chosen", "marks"), "marks")
     size = marks.agg(F.coalesce(F.sum(F.size("marks") * 16 + 64), F.lit(0))).first()[0]
-    chosen = _join(keyed, marks, list(_KEY), size).filter(F.col("doc_id").eqNullSafe(F.col("chosen")))
+    chosen = join_by_size(keyed, marks, list(_KEY), size).filter(F.col("doc_id").eqNullSafe(F.col("chosen")))
     fragments = held(
         chosen.select("text", "k1", "k2", "marks.place", "marks.hot").mapInArrow(
             _payload, "anchor bigint, hot boolean, k1 bigint, k2 bigint, place bigint, first array<bigint>, second array<bigint>"
@@ -279,7 +274,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cleaned_texts(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each text with factors, once: k1, k2, n_removed, `kept` (words left, joined by spaces) and merged `spans`."""
     size = found.agg(F.coalesce(F.sum(F.size("found") * 32 + 64), F.lit(0))).first()[0]
-    chosen = _join(_keyed(docs, key, text), found, list(_KEY), size).filter(F.col("doc_id").eqNullSafe(F.col("chosen")))
+    chosen = join_by_size(_keyed(docs, key, text), found, list(_KEY), size).filter(F.col("doc_id").eqNullSafe(F.col("chosen")))
     # Rows alike in doc_id and text are one text.
     return chosen.select("text", "k1", "k2", "found").dropDuplicates(list(_KEY)).mapInArrow(
         _remove, "k1 bigint, k2 bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint,source:bigint>>"
