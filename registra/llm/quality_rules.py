@@ -140,7 +140,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_listed_lines": F.size(F.filter(lines, lambda x: F.ltrim(x).rlike(r"^(?:[-*•]|\d+[.)])\s"))),
         "n_ellipsis_lines": F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))),
     }
-    return compared.select("row", F.struct(*[c.cast("long").alias(n) for n, c in counts.items()]).alias("counts"))
+    whole_counts = F.struct(*[c.cast("long").alias(n) for n, c in counts.items()])
+    # A filter on the counts must not be pushed below the projections, which would expand each into the next. Spark moves
+    # no filter past an expression it may not evaluate twice, and the partition's number (never negative) is one.
+    return compared.select("row", F.when(F.spark_partition_id() >= 0, whole_counts).alias("counts"))
 
 
 def ratios(counts: Column) -> dict[str, Column]:

@@ -82,7 +82,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = held(simhash.fingerprints(_documents(spark, sf_dir)), "prints")
+    prints = held(simhash.fingerprints(_documents(spark, sf_dir), F.col("doc_id"), F.col("text")), "prints")
     found = prints.join(simhash.near_duplicates(prints), "bits")
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 

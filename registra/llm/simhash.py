@@ -19,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from registra.llm.components import components
+from registra.llm.joins import join_by_size
 from registra.llm.words import WHITE_SPACE, find_words, text_slices
 from registra.operators.held import held
 
@@ -66,10 +67,10 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["doc_id", "bits"])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`doc_id` (long) and `bits` (the fingerprint as a signed long) of every row."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "doc_id long, bits long")
+def fingerprints(docs: DataFrame, key: Column, text: Column) -> DataFrame:
+    """`doc_id` (the key) and `bits` (the fingerprint as a signed long) of every row."""
+    rows = docs.select(key.alias("doc_id"), text.cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprint_batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, bits long")
 
 
 class BKTree:
@@ -181,3 +182,13 @@ def near_duplicates(prints: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
     )
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(least, "root").select("bits", "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_LIMIT) -> DataFrame:
+    """One row of `docs` for each group: the smallest key (null last), of rows with that key any one."""
+    rows = held(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")), "rows")
+    own = F.col(f"row.`{key}`")
+    order = F.struct(own.isNull().alias("missing"), own.alias("key"), F.col("at"))
+    prints = held(fingerprints(rows, order, F.col(f"row.`{text}`")), "prints")
+    stay = held(near_duplicates(prints, limit).select(F.col("component_id.at").alias("at")).distinct(), "stay")
+    return join_by_size(rows, stay, ["at"], 16 * stay.count()).select("row.*")
