@@ -35,7 +35,7 @@ WINDOW = 35
 #: Words of an anchor; a window holds WINDOW - ANCHOR + 1 of them.
 ANCHOR = 18
 #: Fragments under one anchor that a block gathers at most.
-HOT_ANCHOR = 1024
+HOT_ANCHOR = 1 << 15
 
 #: A text's base address is its hash, cut so that adding a word's number cannot overflow.
 ADDRESSES = (1 << 62) - 1
