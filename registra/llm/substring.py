@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.joins import join_by_size
 from registra.llm.words import WHITE_SPACE, Words, find_words, mix, rolling, sliding_minimum, text_slices, windows_inside
 from registra.operators.held import held
 
@@ -214,11 +213,10 @@ def factors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
         "anchors",
     )
     copies = sketch.groupBy(*_KEY).agg(F.min("doc_id").alias("chosen"), F.count("*").alias("copies"))
-    marked = join_by_size(filed, repeated, ["anchor"], 24 * repeated.count())
+    marked = filed.join(repeated, "anchor")
     places = marked.groupBy(*_KEY).agg(F.collect_set(F.struct("place", "hot")).alias("marks"))
     marks = held(places.join(copies, list(_KEY)).select(*_KEY, "chosen", "marks"), "marks")
-    size = marks.agg(F.coalesce(F.sum(F.size("marks") * 16 + 64), F.lit(0))).first()[0]
-    chosen = join_by_size(keyed, marks, list(_KEY), size).filter(F.col("doc_id").eqNullSafe(F.col("chosen")))
+    chosen = keyed.join(marks, list(_KEY)).filter(F.col("doc_id").eqNullSafe(F.col("chosen")))
     fragments = held(
         chosen.select("text", "k1", "k2", "marks.place", "marks.hot").mapInArrow(
             _payload, "anchor bigint, hot boolean, k1 bigint, k2 bigint, place bigint, first array<bigint>, second array<bigint>"
@@ -273,8 +271,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cleaned_texts(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each text with factors, once: k1, k2, n_removed, `kept` (words left, joined by spaces) and merged `spans`."""
-    size = found.agg(F.coalesce(F.sum(F.size("found") * 32 + 64), F.lit(0))).first()[0]
-    chosen = join_by_size(_keyed(docs, key, text), found, list(_KEY), size).filter(F.col("doc_id").eqNullSafe(F.col("chosen")))
+    chosen = _keyed(docs, key, text).join(found, list(_KEY)).filter(F.col("doc_id").eqNullSafe(F.col("chosen")))
     # Rows alike in doc_id and text are one text.
     return chosen.select("text", "k1", "k2", "found").dropDuplicates(list(_KEY)).mapInArrow(
         _remove, "k1 bigint, k2 bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint,source:bigint>>"
