@@ -86,11 +86,6 @@ def check_identifiers(df: DataFrame, column: str) -> DataFrame:
     ).drop("_digits", "_head")
 
 
-def duplicate_siren_key() -> Column:
-    """Legal unit an analysed row counts under, null for an invalid row."""
-    return F.when(F.col("siret_input_type") != "", F.substring("siret_lookup_key", 1, 9))
-
-
 def vat_number(siren: Column) -> Column:
     """Intra-community VAT number of a nine-digit SIREN, null otherwise."""
     number = digits(siren)

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and their plain form, position by position.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "FULLWIDTH")
+
+
+def _plain_letters() -> dict[str, str]:
+    """Small letters that Unicode takes apart into plain ones and marks (or wider forms), and what is left of them."""
+    out = {}
+    for code in range(0x80, 0x10000):
+        letter = chr(code)
+        if letter.isalpha() and letter == letter.lower() and unicodedata.name(letter, "").startswith(SCRIPTS):
+            parts = unicodedata.normalize("NFKD", letter).lower()
+            plain = "".join(c for c in parts if not unicodedata.combining(c))
+            if plain != letter and plain.isalpha():
+                out[letter] = plain
+    return out
+
+
+_LETTERS = _plain_letters()
+_SINGLE = {letter: plain for letter, plain in _LETTERS.items() if len(plain) == 1}
+_LONGER = {letter: plain for letter, plain in _LETTERS.items() if len(plain) > 1}
 # Text accepted as "true".
 TRUE_WORDS = ("1", "true", "t", "yes", "y", "oui", "o")
 
@@ -37,8 +54,12 @@ def joined_text(values: Iterable[Column], separator: str = " ") -> Column:
 
 def fold(value: Column) -> Column:
     """Trimmed lower-case text without accents, "" for null."""
-    lowered = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    return F.translate(F.regexp_replace(lowered, r"\p{M}+", ""), ACCENTED, PLAIN)
+    lowered = F.regexp_replace(F.lower(F.trim(F.coalesce(value, F.lit("")))), r"\p{M}+", "")
+    plain = F.translate(lowered, "".join(_SINGLE), "".join(_SINGLE.values()))
+    longer = plain
+    for letter, letters in _LONGER.items():
+        longer = F.replace(longer, F.lit(letter), F.lit(letters))
+    return F.when(plain.rlike(f"[{''.join(_LONGER)}]"), longer).otherwise(plain)
 
 
 def is_true(value: Column) -> Column:

@@ -2,13 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 
 from registra.session import shared_folder
 
 
+_FOLDERS: set[str] = set()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    folder = f"{shared_folder(spark)}/registra/{spark.sparkContext.applicationId}"
+    _FOLDERS.add(folder)
+    return folder
+
+
+@atexit.register
+def release() -> None:
+    """Delete the tables this process has written: called when it ends, or earlier once results are no longer read."""
+    while _FOLDERS:
+        folder = _FOLDERS.pop()
+        system, path = fs.FileSystem.from_uri(folder)
+        if system.get_file_info(path).type != fs.FileType.NotFound:
+            system.delete_dir(path)
+
+
 def held(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and go on from the files.
 
@@ -16,6 +38,6 @@ def held(df: DataFrame, name: str) -> DataFrame:
     see real file sizes, which is what lets Spark decide on a broadcast.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/registra/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -30,7 +30,6 @@ PLACES_PER_BLOCK = 40_000
 SMALLEST_BLOCK = 1_000
 MOST_PARTITIONS = 20_000
 RANKING_DIGITS = 10  # scores equal to this many digits are ties, settled by SIRET
-SEARCH_BASE = "https://annuaire-entreprises.data.gouv.fr/rechercher?terme="  # default, callers may pass another
 
 # Name columns in order of preference, and the parts of the short address.
 SHORT_ADDRESS = (
@@ -289,7 +288,7 @@ def search_counts(wide: DataFrame, limit: int = 3) -> DataFrame:
     )
 
 
-def candidate_link(value: Column, base: str = SEARCH_BASE) -> Column:
+def candidate_link(value: Column, base: str) -> Column:
     return search_link(base, value)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,82 +11,21 @@ from registra.functions.identifiers import identifier_valid
 from registra.operators.scoping import HOME, country_scope
 
 
-def _folded(name: str) -> str:
-    decomposed = unicodedata.normalize("NFKD", name.strip().lower())
-    return "".join(ch for ch in decomposed if not unicodedata.combining(ch))
+# Terms that name a role; a column name only settles ties between columns of equal content.
+IDENTIFIER_TERMS = ("siret", "siren")
+COUNTRY_TERMS = ("pays", "country")
 
 
-def _words(name: str) -> set[str]:
-    return set(filter(None, re.split(r"[^a-z0-9]+", _folded(name))))
-
-
-def _weight(name: str, whole: dict[str, int], words: dict[str, int], inside: dict[str, int]) -> int:
-    """Points for the whole name, for a word of it, or else for a fragment inside it."""
-    plain = _folded(name)
-    compact = re.sub(r"[^a-z0-9]", "", plain)
-    score = sum(points for text, points in whole.items() if plain == text)
-    for text, points in words.items():
-        if text in _words(name):
-            score += points
-        elif text in compact:
-            score += inside.get(text, 0)
-    return score
-
-
-def identifier_name_score(name: str) -> int:
-    # Weights of the name parts.
-    score = _weight(
-        name,
-        whole={"siret": 1000, "siren": 850},
-        words={"siret": 900, "siren": 700},
-        inside={"siret": 700, "siren": 500},
-    )
-    words = _words(name)
-    score += 60 if words & {"id", "identifiant", "identifier"} else 0
-    return score + (30 if words & {"societe", "entreprise", "company"} else 0)
-
-
-def country_name_score(name: str) -> int:
-    # Weights of the name parts.
-    names = {"pays", "country"}
-    words, plain = _words(name), _folded(name)
-    compact = re.sub(r"[^a-z0-9]", "", plain)
-    score = 1000 if plain in names else 0
-    if words & names:
-        score += 850
-    elif any(n in compact for n in names):
-        score += 700
-    score += 50 if words & {"code", "iso", "nation", "nationalite"} else 0
-    return score - (600 if words & {"postal", "zipcode", "zip", "city", "ville", "commune"} else 0)
-
-
-# Fragments of column names used by the name search, and their weights.
-SEARCH_HINTS = {
-    "name": (({"nom"}, 500), ({"entreprise", "societe", "raison"}, 400), ({"denomination"}, 300)),
-    "zip": (({"postal", "zip"}, 600), ({"code"}, 200)),
-    "country": (({"pays", "country"}, 500),),
-    "city": (({"ville", "city", "commune"}, 500), ({"libelle"}, 200)),
-    "address": (({"adresse", "address"}, 500), ({"voie", "rue"}, 300)),
-}
-WHOLE_NAMES = {"zip": {"cp": 600}, "address": {"adr": 500}}
-FIRST_HINT_ONLY = ("city", "address")
-
-
-def search_name_score(name: str, role: str) -> int:
-    plain = name.lower()
-    points = [WHOLE_NAMES.get(role, {}).get(plain, 0)]
-    points += [weight for fragments, weight in SEARCH_HINTS[role] if any(f in plain for f in fragments)]
-    return max(points) if role in FIRST_HINT_ONLY else sum(points)
-
-
-def best_column(columns: list[str], score) -> str | None:
-    """First column with the highest positive score."""
-    best = max(columns, key=score, default=None)
-    return best if best is not None and score(best) > 0 else None
+def name_match(name: str, terms: tuple[str, ...]) -> int:
+    """2 if a term is a word of the name, 1 if the name contains one, else 0."""
+    folded = name.lower()
+    if set(re.findall(r"[a-z0-9]+", folded)) & set(terms):
+        return 2
+    return int(any(term in folded for term in terms))
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
-    """Per column: filled lines, valid identifiers, home-country values and the name scores; one scan."""
+    """Per column: filled lines, valid identifiers, home-country values and how its name matches; one scan."""
     aggregates = [F.count("*").alias("rows")]
     for i, name in enumerate(df.columns):
         value = F.col(f"`{name}`").cast("string")
@@ -108,8 +46,8 @@ def profile_columns(df: DataFrame) -> DataFrame:
             share(f"filled_{i}").alias("filled_share"),
             share(f"valid_{i}").alias("valid_identifier_share"),
             share(f"home_{i}").alias("home_country_share"),
-            F.lit(identifier_name_score(name)).alias("identifier_name_score"),
-            F.lit(country_name_score(name)).alias("country_name_score"),
+            F.lit(name_match(name, IDENTIFIER_TERMS)).alias("identifier_name_match"),
+            F.lit(name_match(name, COUNTRY_TERMS)).alias("country_name_match"),
         )
         for i, name in enumerate(df.columns)
     ]
@@ -124,6 +62,6 @@ def suggested_columns(profile: DataFrame) -> DataFrame:
         return F.max_by("column_name", F.when(plausible, F.struct(share, score)))
 
     return profile.agg(
-        best("valid_identifier_share", "identifier_name_score").alias("identifier_column"),
-        best("home_country_share", "country_name_score").alias("country_column"),
+        best("valid_identifier_share", "identifier_name_match").alias("identifier_column"),
+        best("home_country_share", "country_name_match").alias("country_column"),
     )

@@ -31,6 +31,12 @@ def _eligible() -> Column:
     return F.col("siret_format_valide") & ~_has(LABEL[rules.INVALID])
 
 
+def _list_columns(overview: DataFrame, wanted: list[str]) -> dict[str, str]:
+    """Chosen list columns and the names they have in the overview, where a registry column may bear the same name."""
+    known = {f.metadata["list_column"]: f.name for f in overview.schema.fields if "list_column" in f.metadata}
+    return {c: known[c] for c in wanted if c in known}
+
+
 def to_close_table(overview: DataFrame) -> DataFrame:
     issue = F.when(_closed_without(), CLOSED_ISSUE).when(_has(LABEL[rules.RADIATED]), RADIATED_ISSUE)
     return overview.select(issue.alias("probleme_siret"), "*").filter(F.col("probleme_siret").isNotNull())
@@ -42,15 +48,15 @@ def anomalies_table(
 ) -> DataFrame:
     """Lines that could not be matched, with the reason, the raw identifier and the chosen list columns."""
     reason = F.when(_has(LABEL[rules.NOT_FOUND]), NOT_FOUND_REASON).when(_has(LABEL[rules.INVALID]), INVALID_REASON)
-    chosen = [c for c in list_columns if c in overview.columns]
-    table = overview.select(reason.alias("Motif"), "siret_entree", *chosen).filter(F.col("Motif").isNotNull())
+    chosen = _list_columns(overview, list_columns)
+    table = overview.select(reason.alias("Motif"), "siret_entree", *[F.col(f"`{n}`") for n in chosen.values()]).filter(F.col("Motif").isNotNull())
     if missing_rows is None:
         return table
     raw = F.col(f"`{identifier_column}`") if identifier_column else F.lit("")
     set_aside = missing_rows.select(
         (F.col("exclusion_reason") if "exclusion_reason" in missing_rows.columns else F.lit(MISSING_REASON)).alias("Motif"),
         F.coalesce(raw.cast("string"), F.lit("")).alias("siret_entree"),
-        *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in chosen],
+        *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name) for c, name in chosen.items()],
     )
     return set_aside.unionByName(table)
 
@@ -64,7 +70,7 @@ def duplicates_table(overview: DataFrame, list_columns: list[str]) -> DataFrame:
         )
     )
     key = F.col("identifiant_recherche")
-    chosen = [c for c in list_columns if c in overview.columns]
+    chosen = [F.col(f"`{name}`") for name in _list_columns(overview, list_columns).values()]
     exploded = overview.filter(_eligible()).select("*", F.explode(reasons).alias("Motif"))
     return exploded.select(
         "Motif",

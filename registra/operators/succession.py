@@ -11,6 +11,9 @@ from registra.schema import PREDECESSOR, SUCCESSOR
 
 MAX_DEPTH = 5
 
+FOUND, DEPTH_REACHED = "found", "depth_reached"
+
+# How a link touches the list.
 BOTH = "INPUT_IS_PREDECESSOR_AND_SUCCESSOR"
 AS_PREDECESSOR = "INPUT_IS_PREDECESSOR"
 AS_SUCCESSOR = "INPUT_IS_SUCCESSOR"
@@ -84,8 +87,9 @@ def with_successor_state(best: DataFrame, establishments: DataFrame) -> DataFram
 def resolve_successors(starts: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Follow best links from each `siret` of `starts` to the first usable successor.
 
-    Returns (siret, successor, hops) for the starts that reach one; a cycle, a dead end or the depth
-    limit yields no row. The edge side of every hop is the same exchange, shuffled once and reused.
+    Returns (siret, successor, hops, outcome): `found` for the starts that reach one, `depth_reached` without a
+    successor for those whose chain was still open after `max_depth` links. A cycle or a dead end yields no row. The
+    edge side of every hop is the same exchange, shuffled once and reused.
     """
     walk = starts.select("siret").distinct().select(
         "siret",
@@ -109,8 +113,12 @@ def resolve_successors(starts: DataFrame, edges: DataFrame, max_depth: int = MAX
             F.when(ends, F.col("_next")).otherwise(F.col("_found")).alias("_found"),
             F.when(ends, F.lit(depth)).otherwise(F.col("_hops")).alias("_hops"),
         )
-    return walk.filter(F.col("_found").isNotNull()).select(
-        "siret", F.col("_found").alias("successor"), F.col("_hops").alias("hops")
+    found = F.col("_found").isNotNull()
+    return walk.filter(found | F.col("_at").isNotNull()).select(
+        "siret",
+        F.col("_found").alias("successor"),
+        F.coalesce("_hops", F.lit(max_depth)).alias("hops"),
+        F.when(found, FOUND).otherwise(DEPTH_REACHED).alias("outcome"),
     )
 
 

@@ -42,11 +42,14 @@ def tune(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in spark.checkpoint.dir.
 
-    Only where the setting is missing (tests, a laptop) is a fresh local folder created and set.
+    Only a local master, whose executors share the driver's disk, gets a fresh local folder where the setting is
+    missing. Anywhere else a made-up folder would silently lose what other machines write.
     """
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")

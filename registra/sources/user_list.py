@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +13,34 @@ SNIFFED_LINES = 20
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """Delimiter guessed from the first lines; a comma when nothing fits."""
+    """Delimiter that the first lines agree on. A list of one column has none, which a comma stands for."""
     lines = [row.value for row in spark.read.text(path).limit(SNIFFED_LINES).collect()]
     try:
         return csv.Sniffer().sniff("\n".join(lines), delimiters=DELIMITERS).delimiter
-    except csv.Error:
+    except csv.Error as unclear:
+        if any(d in line for line in lines for d in DELIMITERS):
+            raise ValueError(f"{path}: the first {SNIFFED_LINES} lines fit no delimiter; name it with `delimiter`") from unclear
         return ","
 
 
+def _refuse_damage(spark: SparkSession, path: str, separator: str, columns: int, multi_line: bool) -> None:
+    """Raise where reading would lose cells: rows with more cells than columns, and quotes left open by a line's end.
+
+    Quoted cells are taken out first. With `multi_line` a file is one value, as it is for the reader.
+    """
+    cut = re.escape(separator)
+    bare = F.regexp_replace("value", rf'(?m)(^|{cut})"[^"]*+(?:""[^"]*+)*+"', "$1")
+    lines = spark.read.text(path, wholetext=multi_line).select(F.explode(F.split(bare, "\r?\n")).alias("line"))
+    found = lines.agg(
+        F.count_if(F.size(F.split("line", cut, -1)) > columns).alias("wide"), F.count_if(F.col("line").rlike(rf'(?:^|{cut})"')).alias("open")
+    ).first()
+    if found["open"]:
+        hint = "" if multi_line else "; cells with line breaks need `multi_line=True`"
+        raise ValueError(f"{path}: {found['open']} lines leave a quote open{hint}")
+    if found["wide"]:
+        raise ValueError(f"{path}: {found['wide']} rows have more than {columns} cells; the delimiter read is {separator!r}")
+
+
 def numbered_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"column_{i}" for i in range(1, len(df.columns) + 1)])
 
@@ -47,6 +68,8 @@ def read_user_list(
 ) -> DataFrame:
     """Read a list. `multi_line` allows line breaks inside quotes but makes a CSV file unsplittable.
 
+    Short CSV rows are filled with nulls. Rows with cells beyond the columns and quotes left open are errors.
+
     With `ignore_blank_rows=False` rows of empty cells stay; lines of white space only never reach us,
     Spark's CSV reader skips them.
     """
@@ -54,14 +77,11 @@ def read_user_list(
         stored = spark.read.parquet(path)
         df = stored.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in stored.columns])
     else:
+        separator = delimiter or sniff_delimiter(spark, path)
         df = spark.read.csv(
-            path,
-            header=has_header,
-            sep=delimiter or sniff_delimiter(spark, path),
-            inferSchema=False,
-            multiLine=multi_line,
-            escape='"',
+            path, header=has_header, sep=separator, inferSchema=False, multiLine=multi_line, escape='"'
         )
+        _refuse_damage(spark, path, separator, len(df.columns), multi_line)
         if not has_header:
             df = numbered_columns(df)
     if ignore_blank_rows:

@@ -81,15 +81,15 @@ def test_replacements(table):
     assert table[1].siret_remplacement_recommande == "" and table[1].siret_retenu == siret(1, 1)
 
 
-def test_unloaded_replacement_shows_nothing(table):
-    row = table[3]
+def test_unloaded_replacement_shows_nothing(result):
+    own_units = dataclasses.replace(result, options=dataclasses.replace(result.options, load_replacements=False))
+    row = own_units.overview.filter("row_id = 3").first()
     assert row.analysis_data_applied == rules.REPLACEMENT_NOT_LOADED
     assert (row.siren, row.nic, row.adresse_reconstituee, row.tva_intracom, row.total_etablissements) == ("", "", "", "", None)
 
 
-def test_load_replacements_shows_the_other_unit_without_legal_data(spark, result):
-    loaded = dataclasses.replace(result, options=dataclasses.replace(result.options, load_replacements=True))
-    row = loaded.overview.filter("row_id = 3").first()
+def test_replacement_from_another_unit_is_shown_without_legal_data(table):
+    row = table[3]
     assert row.analysis_data_applied == rules.REPLACEMENT_DATA and row[STATE] == "A"
     assert (row.siren, row.denomination_entreprise, row.denominationUniteLegale) == ("", "", "")
 
@@ -229,3 +229,33 @@ def test_empty_population_gives_zero_shares(spark, sample):
 def test_legal_unit_fields_reach_the_overview(result):
     assert set(LEGAL_UNIT_FIELDS) <= set(result.overview.columns)
     assert result.overview.filter(F.col("siren").isNull()).isEmpty()
+
+
+def test_case_and_suffix_collisions_of_list_columns(spark, result, tmp_path):
+    lines = spark.createDataFrame(
+        [(siret(1, 1), "a", "b", "c"), (siret(1, 1), "d", "e", "f"), ("99", "x", "y", "z")],
+        "id string, SIREN string, siren_entree string, `Nic` string",
+    )
+    run = run_control(lines, "id", result.registry)
+    names = [n.lower() for n in run.overview.columns]
+    assert len(names) == len(set(names))
+    run.overview.write.parquet(str(tmp_path / "overview"))
+    back = spark.read.parquet(str(tmp_path / "overview"))
+    for overview in (run.overview, back):
+        (bad,) = reports.anomalies_table(overview, ["SIREN", "siren_entree"]).collect()
+        assert (bad.siret_entree, bad[2], bad[3]) == ("99", "x", "y")
+        duplicates = reports.duplicates_table(overview, ["SIREN", "Nic"])
+        assert len({c.lower() for c in duplicates.columns}) == len(duplicates.columns)
+        assert {(r[1], r[2]) for r in duplicates.collect()} == {("a", "c"), ("d", "f")}
+
+
+def test_history_of_an_identifier_the_stock_lacks(spark, result):
+    gone = siret(70, 1)
+    base = result.registry.history
+    period = spark.createDataFrame([(gone, gone[:9], "2001-01-01", "2003-01-01")], "siret string, siren string, dateDebut string, dateFin string")
+    registry = dataclasses.replace(result.registry, history=base.unionByName(period, allowMissingColumns=True))
+    run = run_control(spark.createDataFrame([(gone,)], "id string"), "id", registry)
+    row = run.overview.first()
+    assert row.siret_status == rules.STATUS_LABELS[rules.NOT_FOUND]
+    assert (row.analysis_historique_disponible, row.historique_latest_dateFin) == ("Oui", "2003-01-01")
+    assert run.history.count() == 1

@@ -8,7 +8,7 @@ from registra.operators import scoping
 from registra.operators.diff import ONLY_AFTER, ONLY_BEFORE, run_diff
 from registra.operators.history import history_slice, history_summary
 from registra.operators.profile import (
-    best_column, country_name_score, identifier_name_score, profile_columns, search_name_score, suggested_columns,
+    COUNTRY_TERMS, IDENTIFIER_TERMS, name_match, profile_columns, suggested_columns,
 )
 from registra.operators.succession import best_links, link_profile, links_touching, resolve_successors, with_successor_state
 from tests.samples import est as row
@@ -89,7 +89,7 @@ def walk(spark, edges, states, starts, depth=5):
     r = registry(spark, establishments or [row(9, 1)], links=links)
     start_frame = spark.createDataFrame([(s,) for s in starts], "siret string")
     edge_table = with_successor_state(best_links(r.links), r.establishments)
-    return dict(rows(resolve_successors(start_frame, edge_table, depth), "siret", "successor"))
+    return dict(rows(resolve_successors(start_frame, edge_table, depth).filter("outcome = 'found'"), "siret", "successor"))
 
 
 @pytest.mark.parametrize(
@@ -110,6 +110,13 @@ def test_walk(spark, edges, states, depth, expected):
     assert walk(spark, edges, states, [A], depth) == expected
 
 
+def test_a_chain_cut_by_the_bound_is_told_apart(spark):
+    edges = spark.createDataFrame([(A, B, False), (B, C, False), (C, D, True)], "predecessor string, successor string, usable boolean")
+    starts = spark.createDataFrame([(A,)], "siret string")
+    assert [tuple(r) for r in resolve_successors(starts, edges, 2).collect()] == [(A, None, 2, "depth_reached")]
+    assert [tuple(r) for r in resolve_successors(starts, edges, 3).collect()] == [(A, D, 3, "found")]
+
+
 def test_walk_against_a_plain_loop(spark):
     pick = random.Random(7)
     nodes = [siret(n, 1) for n in range(60)]
@@ -198,13 +205,8 @@ def test_column_profile(spark):
     assert table["note"].filled_share == 0.5
     assert suggested_columns(profile_columns(lines)).first().asDict() == {"identifier_column": "N° SIRET", "country_column": "Pays"}
     assert suggested_columns(profile_columns(lines.select("note"))).first().identifier_column is None
-    assert best_column(lines.columns, identifier_name_score) == "N° SIRET"
-    assert best_column(lines.columns, country_name_score) == "Pays"
-    assert best_column(["a"], country_name_score) is None
-    assert country_name_score("code postal pays") == 850 + 50 - 600
-    assert identifier_name_score("numsiret entreprise") == 700 + 30
-    assert search_name_score("CP", "zip") == 600 and search_name_score("code postal", "zip") == 800
-    assert search_name_score("rue adresse", "address") == 500 and search_name_score("nom entreprise", "name") == 900
+    assert name_match("N° SIRET", IDENTIFIER_TERMS) == 2 and name_match("numsiret", IDENTIFIER_TERMS) == 1
+    assert name_match("code pays", COUNTRY_TERMS) == 2 and name_match("ville", COUNTRY_TERMS) == 0
 
 
 def test_run_diff(spark):

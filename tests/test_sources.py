@@ -1,3 +1,5 @@
+import csv
+
 import pytest
 
 from registra import schema
@@ -97,3 +99,60 @@ def test_empty_list_is_refused(spark, tmp_path):
     path.write_text("id,pays\n ,\n", encoding="utf-8")
     with pytest.raises(ValueError, match="no row left"):
         read_user_list(spark, str(path))
+
+
+@pytest.mark.parametrize(
+    ("text", "problem"),
+    [("id;b\n1;a\n2;b;EXTRA\n3\n", "1 rows have more than 2 cells"), ('id;b\n1;"two\nlines"\n', "quote open.*multi_line")],
+)
+def test_damaged_csv_is_refused(spark, tmp_path, text, problem):
+    path = tmp_path / "list.csv"
+    path.write_text(text, encoding="utf-8")
+    with pytest.raises(ValueError, match=problem):
+        read_user_list(spark, str(path), delimiter=";")
+
+
+def test_unclear_delimiter_is_refused(spark, tmp_path, monkeypatch):
+    def unclear(*_, **__):
+        raise csv.Error
+
+    monkeypatch.setattr(csv.Sniffer, "sniff", unclear)
+    path = tmp_path / "list.csv"
+    path.write_text("id;b\n1;a\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="fit no delimiter"):
+        read_user_list(spark, str(path))
+    path.write_text("id\n1\n", encoding="utf-8")
+    assert rows(read_user_list(spark, str(path)), "id") == [("1",)]
+
+
+def test_quoted_cells_and_short_rows(spark, tmp_path):
+    path = tmp_path / "list.csv"
+    path.write_text('id;b\n1;"x;y ""z"" \nline"\n2\n3;5" pipe\n', encoding="utf-8")
+    got = rows(read_user_list(spark, str(path), delimiter=";", multi_line=True), "id", "b")
+    assert got == [("1", 'x;y "z" \nline'), ("2", None), ("3", '5" pipe')]
+
+
+def test_storage_is_shared_or_an_error(spark, tmp_path, monkeypatch):
+    from registra import session
+    from registra.operators import held as holding
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Cluster:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Cluster())
+    monkeypatch.setattr(holding, "_FOLDERS", set())
+    monkeypatch.setattr(holding, "shared_folder", lambda _: str(tmp_path))
+    assert holding.held(spark.range(3), "numbers").count() == 3
+    assert list(tmp_path.glob("registra/*/numbers-*"))
+    holding.release()
+    assert not list(tmp_path.glob("registra/*"))

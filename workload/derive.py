@@ -152,7 +152,7 @@ def user_list(etab: DataFrame) -> DataFrame:
         .when(v == 5, "")
         .when(v == 6, "00000")
         .when(v == 7, F.concat(siret, F.lit(".0")))
-        .when(v == 8, "732829320")
+        .when(v == 8, "804172633")
         .otherwise(F.coalesce(previous, siret))
     )
     countries = ("FR", "France", "DE", "", "0", "FRA")

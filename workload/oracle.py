@@ -90,7 +90,7 @@ COMMON = {
         CASE o_orderkey % 10 WHEN 0 THEN siret WHEN 1 THEN siren
           WHEN 2 THEN concat('SIRET ', substr(siret, 1, 3), ' ', substr(siret, 4, 6), '-', substr(siret, 10, 5))
           WHEN 3 THEN concat(siren, '99999') WHEN 4 THEN concat('1', substr(siret, 2, 13)) WHEN 5 THEN '' WHEN 6 THEN '00000'
-          WHEN 7 THEN concat(siret, '.0') WHEN 8 THEN '732829320'
+          WHEN 7 THEN concat(siret, '.0') WHEN 8 THEN '804172633'
           ELSE coalesce(lag(siret) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), siret) END AS identifiant,
         CASE o_orderkey % 6 WHEN 0 THEN 'FR' WHEN 1 THEN 'France' WHEN 2 THEN 'DE' WHEN 3 THEN '' WHEN 4 THEN '0' ELSE 'FRA' END AS pays,
         n_name AS list_siren FROM etab""",
@@ -174,8 +174,7 @@ COMMON = {
           CASE WHEN status <> 'CLOSED' THEN 'INPUT_SIRET_DATA' WHEN repl IS NULL THEN 'NO_DATA_CLOSED_NO_REPLACEMENT'
                WHEN x.siret IS NULL THEN 'NO_DATA_REPLACEMENT_NOT_LOADED' ELSE 'REPLACEMENT_SIRET_DATA' END AS applied,
           CASE WHEN status <> 'CLOSED' OR x.siren = d.siren THEN d.siren END AS shown_siren
-        FROM noted d LEFT JOIN etab x ON x.siret = CASE WHEN status = 'CLOSED' THEN repl ELSE d.siret END
-          AND x.siren IN (SELECT siren FROM noted)""",
+        FROM noted d LEFT JOIN etab x ON x.siret = CASE WHEN status = 'CLOSED' THEN repl ELSE d.siret END""",
     "shown": """SELECT p.*, h.h_rows, h.h_debut, h.h_fin, u.etat_ul, u.denom, u.usuelle1, u.sigle, u.nom, u.prenom1, u.prenom2, u.ape, nom_entreprise,
           concat_ws(' ', numero, type_voie, voie, cp, n_name) AS adresse,
           shown_siren IS NOT NULL OR status <> 'CLOSED' AS described,

@@ -236,11 +236,11 @@ def status_labels(spark, sf):
 
 @query(
     "search_link",
-    """SELECT siren, concat('https://annuaire-entreprises.data.gouv.fr/rechercher?terme=', url_encode(nom_entreprise)) AS link FROM company""",
+    """SELECT siren, concat('https://registry.example/search?q=', url_encode(nom_entreprise)) AS link FROM company""",
 )
 def search_link(spark, sf):
     units = registry(spark, sf).legal_units
-    return units.select("siren", names.candidate_link(naming.company_name()).alias("link"))
+    return units.select("siren", names.candidate_link(naming.company_name(), "https://registry.example/search?q=").alias("link"))
 
 
 # ---- scoping ----------------------------------------------------------------------------------------
@@ -306,7 +306,7 @@ def luhn_valid(spark, sf):
     "key_valid",
     f"""SELECT o_orderkey, CAST({key_valid('postal')} AS INTEGER) AS postal_ok, CAST({key_valid('other')} AS INTEGER) AS other_ok
         FROM (SELECT o_orderkey, concat('356000000', lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0')) AS postal,
-          concat('732829320', lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0')) AS other FROM orders)""",
+          concat('804172633', lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0')) AS other FROM orders)""",
 )
 def key_valid_job(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
@@ -314,7 +314,7 @@ def key_valid_job(spark, sf):
     return orders.select(
         "o_orderkey",
         bit(ids.key_valid(F.concat(F.lit("356000000"), nic))).alias("postal_ok"),
-        bit(ids.key_valid(F.concat(F.lit("732829320"), nic))).alias("other_ok"),
+        bit(ids.key_valid(F.concat(F.lit("804172633"), nic))).alias("other_ok"),
     )
 
 
@@ -534,12 +534,16 @@ def dedup_keys(spark, sf):
     return blanked(kept.select("siret", F.col("dateDebut").alias("debut"), F.col("dateFin").alias("fin")))
 
 
-@query("resolve_successor", "SELECT start AS siret, found AS successor, depth AS hops FROM walk WHERE found IS NOT NULL")
+@query(
+    "resolve_successor",
+    """SELECT start AS siret, coalesce(found, '') AS successor, depth AS hops,
+         CASE WHEN found IS NULL THEN 'depth_reached' ELSE 'found' END AS outcome FROM walk WHERE found IS NOT NULL OR depth = 5""",
+)
 def resolve_successor(spark, sf):
     r = control(spark, sf)
     edges = succession.with_successor_state(succession.best_links(r.registry.links), r.registry.establishments)
     starts = r.matched.filter(rules.is_closed()).select(F.col("siret_normalized").alias("siret"))
-    return succession.resolve_successors(starts, edges)
+    return blanked(succession.resolve_successors(starts, edges))
 
 
 @query(
@@ -848,15 +852,15 @@ def name_search_counts(spark, sf):
 
 def _profile_check() -> str:
     parts = []
-    for name, column, id_score, country_score in (
-        ("ref", "ref", 0, 0), ("identifiant", "identifiant", 60, 0), ("pays", "pays", 0, 1850), ("siren", "list_siren", 1550, 0),
+    for name, column, id_match, country_match in (
+        ("ref", "ref", 0, 0), ("identifiant", "identifiant", 0, 0), ("pays", "pays", 0, 2), ("siren", "list_siren", 2, 0),
     ):
         number = f"regexp_replace({column}, '[^0-9]', '', 'g')"
         parts.append(
             f"""SELECT '{name}' AS column_name, count(*) AS rows, round(count(*) FILTER (trim({column}) <> '') / count(*), 6) AS filled_share,
               round(count(*) FILTER ((length(num) >= 14 AND {key_valid('substr(num, 1, 14)')}) OR (length(num) >= 9 AND {key_valid('substr(num, 1, 9)')})) / count(*), 6) AS valid_identifier_share,
               round(count(*) FILTER (lower(trim({column})) IN ('fr', 'fra', 'france')) / count(*), 6) AS home_country_share,
-              {id_score} AS identifier_name_score, {country_score} AS country_name_score FROM (SELECT *, {number} AS num FROM inp)"""
+              {id_match} AS identifier_name_match, {country_match} AS country_name_match FROM (SELECT *, {number} AS num FROM inp)"""
         )
     return " UNION ALL ".join(parts)
 
