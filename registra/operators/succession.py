@@ -29,24 +29,18 @@ def spread_key(key: Column, row: Column) -> Column:
 
 
 def links_touching(links: DataFrame, keys: DataFrame) -> DataFrame:
-    """Links with an input on either end. Two equi-joins, never an OR condition."""
-    wanted = keys.select("siret").distinct()
-    ends = {"_from": (PREDECESSOR, SUCCESSOR), "_to": (SUCCESSOR, PREDECESSOR)}
-    marked = links
-    for mark, (end, other) in ends.items():
-        marked = marked.withColumn("_key", spread_key(F.col(end), F.coalesce(other, F.lit("")))).join(
-            wanted.select(F.col("siret").alias("_key"), F.lit(True).alias(mark)), "_key", "left"
-        )
-    return (
-        marked.filter(F.col("_from").isNotNull() | F.col("_to").isNotNull())
-        .withColumn(
-            "input_match_type",
-            F.when(F.col("_from") & F.col("_to"), BOTH)
-            .when(F.col("_from"), AS_PREDECESSOR)
-            .otherwise(AS_SUCCESSOR),
-        )
-        .select(*links.columns, "input_match_type")
-    )
+    """Links with an input on either end: semi-joins, so that only such links travel on. Never an OR condition."""
+    wanted = keys.select("siret").filter("siret is not null").distinct()
+    sources, targets = wanted.withColumnRenamed("siret", PREDECESSOR), wanted.withColumnRenamed("siret", SUCCESSOR)
+    ends = targets.withColumn("_to", F.lit(True))
+    # A link without a successor keeps a key of its own in the second join.
+    leaving = links.join(sources, PREDECESSOR, "left_semi").select(*links.columns)
+    spread = spread_key(F.col(SUCCESSOR), F.col(PREDECESSOR))
+    leaving = leaving.withColumn("_key", spread).join(ends.withColumnRenamed(SUCCESSOR, "_key"), "_key", "left")
+    arriving = links.join(targets, SUCCESSOR, "left_semi").select(*links.columns)
+    arriving = arriving.join(sources, PREDECESSOR, "left_anti").select(*links.columns, F.lit(AS_SUCCESSOR).alias("input_match_type"))
+    kind = F.when(F.col("_to"), BOTH).otherwise(AS_PREDECESSOR).alias("input_match_type")
+    return leaving.select(*links.columns, kind).unionByName(arriving)
 
 
 def best_links(links: DataFrame) -> DataFrame:

@@ -160,7 +160,8 @@ def keys_of_type(keys: DataFrame, kind: str, name: str) -> DataFrame:
 def match(keys: DataFrame, registry: Registry) -> DataFrame:
     """Keys with the establishment that answers them, sibling counts, sibling choice and status."""
     ranked = registry.establishments.select(*RANKING_FIELDS)
-    direct = one_per_siret(by_siret(ranked, keys_of_type(keys, "SIRET", "siret")))
+    # Written: the siblings wanted and the answers both start from it.
+    direct = held(one_per_siret(by_siret(ranked, keys_of_type(keys, "SIRET", "siret"))), "direct")
     wanted = direct.select("siren").unionByName(keys_of_type(keys, "SIREN", "siren"))
     siblings = held(by_siren(registry.ranking, wanted), "siblings")
 

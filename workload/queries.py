@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,10 @@ from registra.operators import establishments as est
 from registra.operators import history as hist
 from registra.operators import names, profile, reports, rules, scoping, succession
 from registra.operators.diff import run_diff
+from registra.operators.held import run_folder
 from registra.plans.control import ControlOptions, ControlResult, identifier_keys, keys_of_type, run_control
 from registra.schema import PREDECESSOR, SUCCESSOR, filled_counts, padded_id
+from registra.sources.sinks import write_results
 from registra.sources.user_list import drop_blank_rows, read_user_list
 from workload.derive import registry, stage
 from workload.oracle import STATUS_LABEL, key_valid, luhn, sql, without_form
@@ -93,6 +96,25 @@ def read_list(spark, sf):
     return blanked(read_user_list(spark, stage(spark, sf).list_csv))
 
 
+@query("header_policy", "SELECT ref AS column_1, identifiant AS column_2, pays AS column_3, list_siren AS column_4 FROM inp")
+def header_policy(spark, sf):
+    path = f"{run_folder(spark)}/headerless-{uuid.uuid4().hex}"
+    user_lines(spark, sf).write.csv(path, header=False)
+    return blanked(read_user_list(spark, path, has_header=False))
+
+
+@query(
+    "lenient_date",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN '' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders""",
+)
+def lenient_date(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    day = F.col("o_orderdate").cast("date").cast("string")
+    kind = F.col("o_orderkey") % 3
+    given = F.when(kind == 1, F.concat(F.lit("about "), day)).when(kind == 2, F.concat(day, F.lit(" "))).otherwise(day)
+    return orders.select("o_orderkey", F.coalesce(text.date_or_null(given).cast("date").cast("string"), F.lit("")).alias("day"))
+
+
 @query("drop_blank_rows", "SELECT identifiant, pays FROM inp WHERE trim(identifiant) <> '' OR trim(pays) <> ''")
 def drop_blank(spark, sf):
     return blanked(drop_blank_rows(user_lines(spark, sf).select("identifiant", "pays")))
@@ -234,6 +256,32 @@ def status_labels(spark, sf):
     )
 
 
+@query("result_sink", f"SELECT {STATUS_LABEL.format('status')} AS label, count(*) AS lines FROM dec GROUP BY 1")
+def result_sink(spark, sf):
+    scope = scoping.scope_counts(user_lines(spark, sf), None, "identifiant")
+    paths = write_results(control(spark, sf), f"{run_folder(spark)}/results-{uuid.uuid4().hex}", ["ref"], scope)
+    written = spark.read.parquet(paths["siret_overview"])
+    return written.groupBy(F.col("siret_status").alias("label")).agg(F.count("*").alias("lines"))
+
+
+@query(
+    "run_log",
+    """SELECT 'input_siret_column' AS parameter, 'identifiant' AS value
+       UNION ALL SELECT 'input_row_count', CAST(count(*) AS VARCHAR) FROM dec""",
+)
+def run_log(spark, sf):
+    return control(spark, sf).run_log.filter(F.col("parameter").startswith("input_"))
+
+
+@query(
+    "history_of_list",
+    """SELECT siret, debut, coalesce(fin, '') AS fin FROM hist
+       WHERE siret IN (SELECT coalesce(siret, CASE WHEN type = 'SIRET' THEN key END) FROM dec)""",
+)
+def history_of_list(spark, sf):
+    return blanked(control(spark, sf).history.select("siret", F.col("dateDebut").alias("debut"), F.col("dateFin").alias("fin")))
+
+
 @query(
     "search_link",
     """SELECT siren, concat('https://registry.example/search?q=', url_encode(nom_entreprise)) AS link FROM company""",
