@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 
 from registra.llm.sorted_arrays import SortedArrays, write_part
 from registra.llm.words import WHITE_SPACE, find_words, mix, text_slices
-from registra.operators.held import held
-from registra.session import shared_folder
+from registra.operators.held import held, run_folder
 
 #: Tokens per part of the bigram table, and per share of one context.
 PART_TOKENS = 2_000_000
@@ -213,7 +212,7 @@ class Model:
 def fit(training: DataFrame, text: str = "text") -> Model:
     """Count `training` and write the model's arrays to the shared folder."""
     spark = training.sparkSession
-    home = f"{shared_folder(spark)}/registra/{spark.sparkContext.applicationId}/model-{uuid.uuid4().hex}"
+    home = f"{run_folder(spark)}/model-{uuid.uuid4().hex}"
     if "://" not in home and not home.startswith("file:"):
         home = f"file://{home}"
     texts = training.select(F.col(text).cast("string").alias("text"))

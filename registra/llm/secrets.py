@@ -181,7 +181,10 @@ def scan(docs: DataFrame, text: str = "text", classes: tuple[CharacterClass, ...
     added = F.concat(*[_entropy_spans(F.col(name), c, 3 + i) for i, (c, name) in enumerate(zip(classes, runs, strict=True))])
     judged = base.select("row", "base", added.alias("added"))
     new = F.filter("added", lambda x: ~F.exists("base", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
-    return judged.select("row", "base", F.sort_array(F.concat("base", new)).alias("spans"))
+    # Filters on the spans stay above the projections, which they would otherwise expand: no filter is moved past an
+    # expression that Spark may not evaluate twice, and the partition's number (never negative) is one.
+    found_spans = F.when(F.spark_partition_id() >= 0, F.sort_array(F.concat("base", new)))
+    return judged.select("row", F.when(F.spark_partition_id() >= 0, F.col("base")).alias("base"), found_spans.alias("spans"))
 
 
 def written(found: Column) -> Column:

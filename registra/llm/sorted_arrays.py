@@ -72,11 +72,3 @@ class SortedArrays:
 
     def values(self, part: int, name: str, places: np.ndarray) -> np.ndarray:
         return self._get(f"{part}-{name}")[places]
-
-
-def remove_folder(folder: str) -> None:
-    system, path = fs.FileSystem.from_uri(folder)
-    if system.get_file_info(path).type != fs.FileType.NotFound:
-        system.delete_dir(path)
-
-
