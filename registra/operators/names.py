@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from registra.functions.naming import without_legal_form
-from registra.functions.similarity import CEILING_ERROR, PREFIX_LENGTH, encode, similarities, similarity_ceiling
+from registra.functions.similarity import CEILING_ERROR, PREFIX_LENGTH, similarities, similarity_ceiling
 from registra.functions.text import search_link
 from registra.operators.establishments import by_siret, first_per_key
 from registra.operators.held import held
@@ -28,6 +28,7 @@ POSTCODE_BONUS = 0.05
 QUERIES_PER_BLOCK = 4_000
 PLACES_PER_BLOCK = 40_000
 SMALLEST_BLOCK = 1_000
+REPEATS = 4  # repetitions of one byte that ceilings tell apart
 MOST_PARTITIONS = 20_000
 RANKING_DIGITS = 10  # scores equal to this many digits are ties, settled by SIRET
 
@@ -94,10 +95,19 @@ def registry_places(registry: Registry, limit: int) -> DataFrame:
     return lowest.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= limit).drop("_rank")
 
 
-def _character_counts(codes: np.ndarray, alphabet: np.ndarray, depth: int) -> np.ndarray:
-    """Indicator per (byte, repetition): their dot product counts the bytes two names share."""
-    counts = np.stack([(codes == c).sum(axis=1) for c in alphabet], axis=1)
-    return (counts[:, :, None] > np.arange(depth)[None, None, :]).reshape(len(codes), -1).astype(np.float32)
+def _bytes_of(names: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per name: how often it has each byte, its first bytes, and its length. Wide in bytes, never in the longest name."""
+    values = [name.encode() for name in names]
+    lengths = np.fromiter(map(len, values), dtype=np.int32, count=len(values))
+    cells = np.repeat(np.arange(len(values)), lengths) * 256 + np.frombuffer(b"".join(values), dtype=np.uint8)
+    heads = np.array([v[:PREFIX_LENGTH] for v in values], dtype=f"S{PREFIX_LENGTH}")
+    counts = np.bincount(cells, minlength=256 * len(values)).reshape(-1, 256)
+    return counts.astype(np.int32), heads.view(np.uint8).reshape(-1, PREFIX_LENGTH), lengths
+
+
+def _marks(counts: np.ndarray) -> np.ndarray:
+    """Indicator per (byte, repetition up to REPEATS): their dot product counts the bytes two names share, up to that."""
+    return (counts[:, :, None] > np.arange(REPEATS)).reshape(len(counts), -1).astype(np.float32)
 
 
 def _best_of_block(queries: pd.DataFrame, places: pd.DataFrame, limit: int) -> pd.DataFrame:
@@ -108,31 +118,26 @@ def _best_of_block(queries: pd.DataFrame, places: pd.DataFrame, limit: int) -> p
     postcodes = places["postcode"].to_numpy(dtype=object)
     sirets = places["siret"].to_numpy(dtype=object)
     sirens = places["siren"].to_numpy(dtype=object)
-    place_codes, place_lengths = encode(places["place_name"])
+    place_counts, place_heads, place_lengths = _bytes_of(places["place_name"])
     siren_ids = pd.factorize(sirens)[0]
     siret_order = np.argsort(np.argsort(sirets))
     wanted = queries["clean"].to_numpy(dtype=object)
     zips = queries["zip"].to_numpy(dtype=object)
     results = []
     step = max(1, 8_000_000 // len(places))
-    query_codes, _ = encode(queries["clean"])
-    alphabet = np.setdiff1d(np.intersect1d(query_codes, place_codes), [0])
-    depth = 1
-    if len(alphabet):
-        depth = int(max((query_codes == c).sum(axis=1).max() for c in alphabet))
-        place_marks = _character_counts(place_codes, alphabet, depth)
+    query_counts, query_heads, query_lengths = _bytes_of(queries["clean"])
+    alphabet = np.flatnonzero(query_counts.any(axis=0) & place_counts.any(axis=0))
+    place_marks = _marks(place_counts[:, alphabet])
     for start in range(0, len(queries), step):
         part = slice(start, start + step)
-        codes, lengths = encode(queries["clean"].iloc[part])
-        common = (
-            _character_counts(codes, alphabet, depth) @ place_marks.T
-            if len(alphabet)
-            else np.zeros((len(codes), len(places)), dtype=np.float32)
-        )
+        counts, heads, lengths = query_counts[part][:, alphabet], query_heads[part], query_lengths[part]
+        # Repetitions beyond REPEATS are granted to every place, which keeps the ceiling a ceiling.
+        common = _marks(counts) @ place_marks.T + np.maximum(counts - REPEATS, 0).sum(axis=1, dtype=np.float32)[:, None]
+        common = np.minimum(common, np.minimum(lengths[:, None], place_lengths[None, :]).astype(np.float32))
         prefix = np.zeros(common.shape, dtype=np.int8)
         going = np.ones(common.shape, dtype=bool)
-        for i in range(min(PREFIX_LENGTH, codes.shape[1], place_codes.shape[1])):
-            going &= (codes[:, i, None] == place_codes[None, :, i]) & (codes[:, i, None] != 0)
+        for i in range(PREFIX_LENGTH):
+            going &= (heads[:, i, None] == place_heads[None, :, i]) & (heads[:, i, None] != 0)
             prefix += going
         ceiling = similarity_ceiling(common, lengths[:, None], place_lengths[None, :], prefix)
         near = (zips[part][:, None] == postcodes[None, :]) & (zips[part][:, None] != "")
@@ -140,10 +145,10 @@ def _best_of_block(queries: pd.DataFrame, places: pd.DataFrame, limit: int) -> p
 
         first = min(len(places), max(16, 4 * limit))
         ahead = np.argpartition(-ceiling, first - 1, axis=1)[:, :first]
-        scored = _scored(np.repeat(np.arange(len(codes)), first), ahead.ravel(), wanted[part], names, near)
+        scored = _scored(np.repeat(np.arange(len(counts)), first), ahead.ravel(), wanted[part], names, near)
         best = _best(scored, siren_ids, siret_order, limit)
-        held_count = np.bincount(best["query"], minlength=len(codes))
-        floor = np.full(len(codes), -1.0, dtype=np.float32)
+        held_count = np.bincount(best["query"], minlength=len(counts))
+        floor = np.full(len(counts), -1.0, dtype=np.float32)
         lowest = best.groupby("query")["score"].min()
         full = held_count[lowest.index] == limit
         floor[lowest.index[full]] = lowest.to_numpy()[full]

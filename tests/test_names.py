@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from registra.functions.similarity import CEILING_ERROR, encode, jaro_winkler_codes, similarities, similarity_ceiling
@@ -30,7 +31,6 @@ def test_similarity_equals_an_independent_implementation():
 
 def test_ceiling_is_never_below_the_score():
     left, right = random_names(2000, 1), random_names(2000, 2)
-    import pandas as pd
 
     a, la = encode(pd.Series(left))
     b, lb = encode(pd.Series(right))
@@ -108,3 +108,20 @@ def test_review_priority(spark, country, first, expected):
     df = spark.createDataFrame([(country, first)], "c string, s string")
     assert df.select(names.review_priority(F.col("c"), F.col("s"))).first()[0] == expected
     assert siret(1, 1)[:9] == siren(1)
+
+
+def test_junk_names_stay_cheap_and_exact():
+    rng = np.random.default_rng(4)
+    letters = list("abcdefgh ")
+    places = ["".join(rng.choice(letters, rng.integers(3, 14))) for _ in range(200)] + ["a" * 20_000, "ab" * 3_000, "aaaaaaaaab"]
+    queries = ["a" * 5_000, "aaaaaaaaaaaa", "abcabcabcabcab", "hgfe", "b" * 9]
+    left = pd.DataFrame({"clean": queries, "zip": ""})
+    right = pd.DataFrame(
+        {"place_name": places, "postcode": "", "siren": [f"{i:09d}" for i in range(len(places))], "siret": [f"{i:014d}" for i in range(len(places))]}
+    )
+    got = names._best_of_block(left, right, 3)
+    for query in queries:
+        scores = similarities(np.array([query] * len(places), dtype=object), np.array(places, dtype=object)).round(names.RANKING_DIGITS)
+        expected = sorted(zip(-scores, right["siret"]))[:3]
+        found = got[got["clean"] == query].sort_values(["score", "siret"], ascending=[False, True])
+        assert list(zip(-found["score"], found["siret"])) == expected
