@@ -1,13 +1,13 @@
 """Sharding by balanced label propagation: documents with equal texts move to a common shard, shard sizes stay even.
 
 Law: `rows`, counts at most one apart. Linked documents (groups of equal texts) start dealt out evenly. Each round joins
-every group's counts per shard with the room of the shards and moves members towards the neighbours' shard with most of
-them, gainful moves first, within the shard's quota; groups larger than a quota fill one shard after another. Documents
-without links have no neighbours and fill what is left. Propagation works on (group, shard) counts, a few rows a group
+every group's counts per shard with the group's strongest shard and moves members there, gainful moves first, as far as
+quotas allow: what enters a shard may fill its room and what leaves it, so full shards exchange members. Groups larger than a
+quota fill one shard after another. Documents without links have no neighbours and fill what is left. Propagation works on (group, shard) counts, a few rows a group
 whatever its size; quotas are dealt by sums of buckets, so no shard's candidates meet in one task.
 
 Built-in functions only. Defined cases: a null text is an empty one; repeated rows are rows of their own; a null doc_id is
-carried; fewer rows than shards leave shards empty; an empty table gives an empty table; ties go to the lower shard.
+carried; fewer rows than shards leave shards empty; an empty table gives an empty table; ties go by a hash of the group.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from registra.operators.held import held
 
 SHARDS = 8
 #: Rounds of propagation at most; members still apart then stay where they are.
-ROUNDS = 24
+ROUNDS = 12
 #: Buckets that share a shard's quota for moves of one gain.
 SALTS = 64
 
@@ -63,43 +63,74 @@ def _pick(values: list[int], index: Column) -> Column:
     return F.get(F.array(*[F.lit(v).cast("long") for v in values]), index)
 
 
+def granted(wishes: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How much of each wish (from, to) can be met at once: what enters a shard may fill its room and what leaves it."""
+    out = dict(wishes)
+    while True:
+        settled = True
+        for shard in range(len(room)):
+            enters = sum(n for (_, to), n in out.items() if to == shard)
+            excess = enters - sum(n for (source, _), n in out.items() if source == shard) - room[shard]
+            if excess > 0:
+                settled = False
+                for pair, n in out.items():
+                    if pair[1] == shard:
+                        out[pair] = max(0, n - -(-excess * n // enters))
+        if settled:
+            return out
+
+
 def propagate(counts: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
     """Balanced label propagation over (`group`, `shard`, `n`), the members of each group in each shard."""
+    shards = len(quotas)
+    closed: set[int] = set()
     for _ in range(rounds):
-        room = [quota - used for quota, used in zip(quotas, _totals(counts, len(quotas)), strict=True)]
-        roomy = counts.filter(_pick(room, F.col("shard")) > 0)
-        goal = roomy.groupBy("group").agg(F.max(F.struct("n", (-F.col("shard")).alias("turned"))).alias("goal"))
+        room = [quota - used for quota, used in zip(quotas, _totals(counts, shards), strict=True)]
+        # Equal shards are told apart by a hash of the group, so that wishes go both ways and can be exchanged.
+        strength = F.struct(F.col("n"), F.xxhash64("group", "shard").alias("turn"), F.col("shard"))
+        goal = counts.filter(~F.col("shard").isin(*closed) if closed else F.lit(True)).groupBy("group").agg(F.max(strength).alias("goal"))
         moves = (
-            counts.join(goal.select("group", F.col("goal.n").alias("there"), (-F.col("goal.turned")).alias("to")), "group")
-            .filter((F.col("shard") != F.col("to")) & ((F.col("n") < F.col("there")) | ((F.col("n") == F.col("there")) & (F.col("shard") > F.col("to")))))
+            counts.join(goal.select("group", F.col("goal.n").alias("there"), F.col("goal.shard").alias("to")), "group")
+            .filter((F.col("shard") != F.col("to")) & (F.col("n") <= F.col("there")))
             .withColumn("gain", F.length(F.bin("there")))
             .withColumn("salt", F.pmod(F.xxhash64("group"), F.lit(SALTS)))
         )
         moves = held(moves, "moves")
-        by_gain = Window.partitionBy("to").orderBy(F.col("gain").desc(), "salt").rowsBetween(Window.unboundedPreceding, -1)
+        # At most one row for each pair of shards comes back.
+        wishes = {(r["shard"], r["to"]): r["n"] for r in moves.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
+        grants = granted(wishes, room)
+        full = {to for _, to in wishes} - {to for (_, to), n in grants.items() if n}
+        # A shard that can take nobody is no goal from now on; its own members stay.
+        closed |= full
+        if not any(grants.values()):
+            if not full:
+                return counts
+            continue
+        grant = F.get(F.array(*[F.lit(grants.get((i, j), 0)).cast("long") for i in range(shards) for j in range(shards)]), F.col("shard") * shards + F.col("to"))
+        by_gain = Window.partitionBy("shard", "to").orderBy(F.col("gain").desc(), "salt").rowsBetween(Window.unboundedPreceding, -1)
         shares = (
-            moves.groupBy("to", "gain", "salt")
+            moves.groupBy("shard", "to", "gain", "salt")
             .agg(F.sum("n").alias("wish"))
-            .withColumn("share", _pick(room, F.col("to")) - F.coalesce(F.sum("wish").over(by_gain), F.lit(0)))
+            .withColumn("share", grant - F.coalesce(F.sum("wish").over(by_gain), F.lit(0)))
             .filter("share > 0")
-            .select("to", "gain", "salt", "share")
+            .select("shard", "to", "gain", "salt", "share")
         )
-        in_bucket = Window.partitionBy("to", "gain", "salt").orderBy("group", "shard").rowsBetween(Window.unboundedPreceding, -1)
+        in_bucket = Window.partitionBy("shard", "to", "gain", "salt").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
         before = F.coalesce(F.sum("n").over(in_bucket), F.lit(0))
-        accepted = held(
-            moves.join(shares, ["to", "gain", "salt"])
-            .withColumn("moved", F.greatest(F.lit(0), F.least(F.col("n"), F.col("share") - before)))
-            .filter("moved > 0")
-            .select("group", "shard", "to", "moved"),
-            "accepted",
-        )
-        if accepted.isEmpty():
-            return counts
-        changed = (
-            counts.unionByName(accepted.select("group", "shard", (-F.col("moved")).alias("n")))
-            .unionByName(accepted.select("group", F.col("to").alias("shard"), F.col("moved").alias("n")))
-        )
-        counts = held(changed.groupBy("group", "shard").agg(F.sum("n").alias("n")).filter("n > 0"), "labels")
+        moved = F.greatest(F.lit(0), F.least(F.col("n"), F.col("share") - before))
+        accepted = moves.join(shares, ["shard", "to", "gain", "salt"]).withColumn("moved", moved).filter("moved > 0")
+        # A move takes members from one shard of the group and brings them to another.
+        steps = accepted.select(
+            "group",
+            F.explode(
+                F.array(
+                    F.struct(F.col("shard").alias("shard"), (-F.col("moved")).alias("n")),
+                    F.struct(F.col("to").alias("shard"), F.col("moved").alias("n")),
+                )
+            ).alias("step"),
+        ).select("group", "step.shard", "step.n")
+        changed = counts.unionByName(steps).groupBy("group", "shard").agg(F.sum("n").alias("n"))
+        counts = held(changed.filter("n > 0"), "labels")
     return counts
 
 
