@@ -23,6 +23,9 @@ ROUNDS = 12
 #: Buckets that share a shard's quota for moves of one gain.
 SALTS = 64
 
+#: Times the wishes of a round are weighed against the room, at most.
+SWEEPS = 100
+
 _IN_PARTITION = (1 << 33) - 1
 _GROUP = ("text_hash", "text_crc32", "size")
 
@@ -65,17 +68,24 @@ def _pick(values: list[int], index: Column) -> Column:
 
 def granted(wishes: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
     """How much of each wish (from, to) can be met at once: what enters a shard may fill its room and what leaves it."""
-    out = dict(wishes)
+    out, sweep = dict(wishes), 0
     while True:
-        settled = True
+        settled, sweep = True, sweep + 1
         for shard in range(len(room)):
             enters = sum(n for (_, to), n in out.items() if to == shard)
             excess = enters - sum(n for (source, _), n in out.items() if source == shard) - room[shard]
             if excess > 0:
                 settled = False
-                for pair, n in out.items():
+                if sweep > SWEEPS:
+                    # Wishes in a circle can shrink by little each time; a shard still too full then takes nobody.
+                    excess = enters
+                # Every wish is cut by its share of the excess, rounded up, until the excess is gone.
+                left = excess
+                for pair, n in sorted(out.items(), key=lambda x: -x[1]):
                     if pair[1] == shard:
-                        out[pair] = max(0, n - -(-excess * n // enters))
+                        cut = min(n, left, -(-excess * n // enters))
+                        out[pair] = n - cut
+                        left -= cut
         if settled:
             return out
 

@@ -92,3 +92,16 @@ def test_shards_of_edge_cases(edge_docs, no_docs):
     # Null and empty texts are equal ones.
     assert len({r.in_shard for r in found if not r.t}) <= 2
     assert assigned(no_docs.drop("shard")) == []
+
+
+def test_grants_keep_every_shard_within_its_room():
+    for seed in range(300):
+        rng = random.Random(seed)
+        size = rng.randint(2, 8)
+        wishes = {(i, j): rng.choice([0, 1, 2, 10, 10**9]) for i in range(size) for j in range(size) if i != j and rng.random() < 0.6}
+        room = [rng.choice([0, 0, 1, 5, 10**8]) for _ in range(size)]
+        grants = sharding.granted(wishes, room)
+        assert all(0 <= grants[pair] <= n for pair, n in wishes.items())
+        for shard in range(size):
+            enters = sum(n for (_, to), n in grants.items() if to == shard)
+            assert enters - sum(n for (source, _), n in grants.items() if source == shard) <= room[shard]
