@@ -2,8 +2,9 @@
 
 Law: `rows`, counts at most one apart. Linked documents (groups of equal texts) start dealt out evenly. Each round joins
 every group's counts per shard with the group's strongest shard and moves members there, gainful moves first, as far as
-quotas allow: what enters a shard may fill its room and what leaves it, so full shards exchange members. Groups larger than a
-quota fill one shard after another. Documents without links have no neighbours and fill what is left. Propagation works on (group, shard) counts, a few rows a group
+quotas allow: what enters a shard may fill its room and what leaves it, so full shards exchange members. Groups that are
+apart in the end are packed whole, large ones first; fewer groups than there are shards stay cut. Groups larger than a quota
+fill one shard after another. Documents without links have no neighbours and fill what is left. Propagation works on (group, shard) counts, a few rows a group
 whatever its size; quotas are dealt by sums of buckets, so no shard's candidates meet in one task.
 
 Built-in functions only. Defined cases: a null text is an empty one; repeated rows are rows of their own; a null doc_id is
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from registra.operators.held import held
 
 SHARDS = 8
-#: Rounds of propagation at most; members still apart then stay where they are.
-ROUNDS = 12
+#: Propagation ends when no wish is met, or less than this part of them: packing brings together what is still apart.
+LEAST_SHARE = 64
 #: Buckets that share a shard's quota for moves of one gain.
 SALTS = 64
 
@@ -90,15 +91,18 @@ def granted(wishes: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[i
             return out
 
 
-def propagate(counts: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Balanced label propagation over (`group`, `shard`, `n`), the members of each group in each shard."""
+def propagate(counts: DataFrame, quotas: list[int]) -> DataFrame:
+    """Balanced label propagation over (`group`, `shard`, `n`), the members of each group in each shard.
+
+    Every move makes the sum of squared counts larger, so the rounds come to an end; `settle` takes what they leave apart.
+    """
     shards = len(quotas)
-    closed: set[int] = set()
-    for _ in range(rounds):
+    barred: set[int] = set()
+    while True:
         room = [quota - used for quota, used in zip(quotas, _totals(counts, shards), strict=True)]
         # Equal shards are told apart by a hash of the group, so that wishes go both ways and can be exchanged.
         strength = F.struct(F.col("n"), F.xxhash64("group", "shard").alias("turn"), F.col("shard"))
-        goal = counts.filter(~F.col("shard").isin(*closed) if closed else F.lit(True)).groupBy("group").agg(F.max(strength).alias("goal"))
+        goal = counts.filter(~F.col("shard").isin(*barred) if barred else F.lit(True)).groupBy("group").agg(F.max(strength).alias("goal"))
         moves = (
             counts.join(goal.select("group", F.col("goal.n").alias("there"), F.col("goal.shard").alias("to")), "group")
             .filter((F.col("shard") != F.col("to")) & (F.col("n") <= F.col("there")))
@@ -109,10 +113,13 @@ def propagate(counts: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Dat
         # At most one row for each pair of shards comes back.
         wishes = {(r["shard"], r["to"]): r["n"] for r in moves.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
         grants = granted(wishes, room)
+        moving = sum(grants.values())
+        if moving * LEAST_SHARE < sum(wishes.values()) and moving:
+            return counts
         full = {to for _, to in wishes} - {to for (_, to), n in grants.items() if n}
-        # A shard that can take nobody is no goal from now on; its own members stay.
-        closed |= full
-        if not any(grants.values()):
+        # Groups that a shard has refused wish for their next strongest one; once members have moved, older refusals are void.
+        barred = full if moving else barred | full
+        if not moving:
             if not full:
                 return counts
             continue
@@ -141,7 +148,78 @@ def propagate(counts: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Dat
         ).select("group", "step.shard", "step.n")
         changed = counts.unionByName(steps).groupBy("group", "shard").agg(F.sum("n").alias("n"))
         counts = held(changed.filter("n > 0"), "labels")
-    return counts
+
+
+def pack(sizes: dict[int, int], room: list[int]) -> tuple[dict[int, list[tuple[int, list[tuple[int, int]]]]], int]:
+    """Shards for groups, large ones first, each into the shard with most room; and how many groups had to be cut.
+
+    `sizes` counts the groups of each size. The plan has for each size runs of (groups, [(shard, members of each)]). A group that
+    fits nowhere fills the shards with most room; each such group closes a shard, so fewer groups are cut than there are shards,
+    as long as the room holds all members.
+    """
+    room, plan, cuts = list(room), {}, 0
+    for size in sorted(sizes, reverse=True):
+        left, whole, cut = sizes[size], [0] * len(room), []
+        while left:
+            shard = max(range(len(room)), key=lambda s: room[s])
+            fit = min(left, room[shard] // size)
+            if fit:
+                # Many equal groups are dealt out some at a time.
+                fit = max(1, fit // (2 * len(room)))
+                whole[shard] += fit
+                room[shard] -= fit * size
+                left -= fit
+                continue
+            parts, members = [], size
+            while members:
+                shard = max(range(len(room)), key=lambda s: room[s])
+                taken = min(members, room[shard])
+                parts.append((shard, taken))
+                room[shard] -= taken
+                members -= taken
+            cut.append((1, parts))
+            left -= 1
+        cuts += len(cut)
+        plan[size] = [(n, [(shard, size)]) for shard, n in enumerate(whole) if n] + cut
+    return plan, cuts
+
+
+def settle(counts: DataFrame, quotas: list[int]) -> DataFrame:
+    """Bring together the groups that `counts` still has in several shards: they are packed into the room that the others leave.
+
+    If that cuts groups and a packing of all groups cuts fewer, that one is taken. Only the number of groups of each size
+    comes to the driver, which is at most the root of twice the rows.
+    """
+    shards, spark = len(quotas), counts.sparkSession
+    groups = held(counts.groupBy("group").agg(F.sum("n").alias("size"), (F.count("*") > 1).alias("apart")), "groups")
+    every: dict[int, int] = {}
+    apart: dict[int, int] = {}
+    for r in groups.groupBy("size", "apart").agg(F.count("*").alias("groups")).collect():
+        every[r["size"]] = every.get(r["size"], 0) + r["groups"]
+        if r["apart"]:
+            apart[r["size"]] = r["groups"]
+    if not apart:
+        return counts
+    stay = held(counts.join(groups.filter("NOT apart").select("group"), "group").select("group", "shard", "n"), "together")
+    plan, cuts = pack(apart, [quota - used for quota, used in zip(quotas, _totals(stay, shards), strict=True)])
+    sizes, chosen = apart, groups.filter("apart")
+    if cuts:
+        other, fewer = pack(every, quotas)
+        if fewer < cuts:
+            plan, sizes, chosen, stay = other, every, groups, None
+    rows, first = [], 0
+    for size in sorted(plan):
+        end, runs = first, []
+        for n, parts in plan[size]:
+            end += n
+            runs.append((end, parts))
+        rows.append((size, runs))
+        first += sizes[size]
+    table = spark.createDataFrame(rows, "size long, runs array<struct<end:long,parts:array<struct<shard:int,n:long>>>>")
+    numbered = _numbered(chosen.select("group", "size").orderBy("size", "group"), "packed")
+    run = F.get(F.filter("runs", lambda x: F.col("number") < x["end"]), F.lit(0))
+    packed = numbered.join(table, "size").select("group", F.explode(run["parts"]).alias("part")).select("group", "part.shard", "part.n")
+    return held(packed if stay is None else stay.unionByName(packed), "settled")
 
 
 def assign_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -157,7 +235,7 @@ def assign_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = rows.count()
     quotas = [(total - s + shards - 1) // shards for s in range(shards)]
     dealt = linked.groupBy("group", F.pmod("number", F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
-    labels = propagate(held(dealt, "labels"), quotas)
+    labels = settle(propagate(held(dealt, "labels"), quotas), quotas)
     # Members of a group take its shards in order, each as many as the shard has been granted.
     used = F.transform(
         F.array_sort(F.collect_list(F.struct("shard", "n"))), lambda x: F.struct(x["shard"].alias("shard"), x["n"].alias("n"))

@@ -105,3 +105,52 @@ def test_grants_keep_every_shard_within_its_room():
         for shard in range(size):
             enters = sum(n for (_, to), n in grants.items() if to == shard)
             assert enters - sum(n for (source, _), n in grants.items() if source == shard) <= room[shard]
+
+
+def simple_packing(sizes, room):
+    """Large groups first, each into the fullest shard that holds it; how many fit nowhere."""
+    room, cut = list(room), 0
+    for n in sorted(sizes, reverse=True):
+        able = [s for s in range(len(room)) if room[s] >= n]
+        if able:
+            room[min(able, key=lambda s: room[s])] -= n
+        else:
+            cut += 1
+            for _ in range(n):
+                room[max(range(len(room)), key=lambda s: room[s])] -= 1
+    return cut
+
+
+@pytest.mark.parametrize("alone", [0, 0.1])
+def test_hardly_a_group_is_cut_when_few_rows_are_alone(spark, alone):
+    rng = random.Random(11)
+    sizes = [min(120, int(2 / rng.random() ** 0.8)) for _ in range(300)]
+    texts = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)]
+    texts += [f"own {i}" for i in range(int(len(texts) * alone / (1 - alone)))]
+    rng.shuffle(texts)
+    found = assigned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    well_formed(found, len(texts))
+    shards = collections.defaultdict(set)
+    for r in found:
+        shards[r.t].add(r.in_shard)
+    cut = sum(len(s) > 1 for s in shards.values())
+    print("cut", cut, "of", len(sizes))
+    assert cut <= simple_packing(sizes, [(len(texts) - s + 7) // 8 for s in range(8)]) + 1
+
+
+def test_packing_fills_no_shard_beyond_its_room():
+    for seed in range(300):
+        rng = random.Random(seed)
+        sizes = collections.Counter(rng.choice([2, 2, 3, 5, 40, 700]) for _ in range(rng.randint(1, 300)))
+        members = sum(size * n for size, n in sizes.items())
+        spare = rng.choice([0, 0, 3, members])
+        room = [(members + spare - s + 7) // 8 for s in range(8)]
+        plan, cuts = sharding.pack(sizes, room)
+        used = collections.Counter()
+        for size, runs in plan.items():
+            assert sum(n for n, _ in runs) == sizes[size]
+            for n, parts in runs:
+                assert sum(m for _, m in parts) == size
+                for shard, m in parts:
+                    used[shard] += n * m
+        assert all(used[s] <= room[s] for s in range(8)) and cuts < 8
