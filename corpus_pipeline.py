@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registra.llm import decontaminate, mixing, near_copies, quality_rules, sharding
+from registra.llm import decontaminate, mixing, quality_rules, sharding, simhash
 from registra.operators.held import held
 
 
@@ -20,8 +20,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word similarity 0.8: the one with the smallest doc_id, of repeated ones any one."""
-    return near_copies.one_of_each(docs)
+    """One document of each group of linked fingerprints: the one with the smallest doc_id, of repeated ones any one."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
