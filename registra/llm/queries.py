@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registra.llm import decontaminate, language_model, mixing, quality_model, quality_rules, secrets, sharding, simhash, substring, token_counts
+from registra.llm import decontaminate, language_model, mixing, quality_model, quality_rules, secrets, sharding, simhash, substring, token_counts, token_file
 from registra.llm.quality_rules import STOP_WORDS
 from registra.operators.held import held
 
 TOKEN_LIMIT = 1024
 QUALITY_SCORE = 0.7
+END_ID = 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +112,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op11_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+
+
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_model": op1_quality_model,
     "op2_secrets": op2_secrets,
@@ -122,6 +127,7 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
+    "op11_token_file": op11_token_file,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
