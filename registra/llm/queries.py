@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registra.llm import decontaminate, language_model, merkle, mixing, quality_model, quality_rules, secrets, sharding, simhash, substring, token_counts, token_file
+from registra.llm import decontaminate, language_model, merkle, mixing, prefix_trie, quality_model, quality_rules, secrets, sharding, simhash, substring, token_counts, token_file
 from registra.llm.quality_rules import STOP_WORDS
 from registra.operators.held import held
 
@@ -120,6 +120,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), merkle.tampered_text())
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_model": op1_quality_model,
     "op2_secrets": op2_secrets,
@@ -133,6 +137,7 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_token_file": op11_token_file,
     "op12_merkle": op12_merkle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
