@@ -157,8 +157,9 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> list[tuple[int, bytes]]:
     ends = np.cumsum(lengths)
     starts = ends - lengths
     # The distinct ids of all blocks, and the place of each in each block, 0 where it has none.
-    number = np.zeros(IDS, dtype=np.int64)
-    distinct = np.flatnonzero(np.bincount(ids, minlength=IDS))
+    there, number = np.zeros(IDS, dtype=bool), np.zeros(IDS, dtype=np.int32)
+    there[ids] = True
+    distinct = np.flatnonzero(there)
     number[distinct] = np.arange(len(distinct)) * lanes
     numbers = number[ids]
     place_of = np.zeros(len(distinct) * lanes, dtype=np.uint16)
@@ -189,7 +190,7 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> list[tuple[int, bytes]]:
         if len(missed) and not wanted.all():
             new = missed[wanted == 0]
             unit = coder.range.take(new) >> 16
-            coder.low[new] += unit * ids.take(at.take(new))
+            coder.low[new] += unit * ids.take(at.take(new)).astype(np.int64)
             coder.range[new] = unit
             coder.emit(new)
             place[new] = model.add(new)

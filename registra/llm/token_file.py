@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from registra.llm import context_coder
-from registra.llm.words import WHITE_SPACE, find_words, text_slices
+from registra.llm.words import WHITE_SPACE, Words, find_words, text_slices
 from registra.operators.held import held, run_folder
 
 #: Ids of one group at most, and of one file about.
@@ -44,12 +45,54 @@ _MAGIC = b"tokens01"
 _GROUP = "<IIQ"
 
 
+# Kinds of bytes inside words: ASCII letters, digits, other ASCII, letters of the Latin blocks C0 to 24F (two bytes each), all else.
+_LETTER, _DIGIT, _OTHER, _LATIN, _OPEN = range(1, 6)
+_KIND = np.array([_OPEN if b >= 0x80 or b == 0x27 else _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _OTHER for b in range(256)], dtype=np.uint8)
+
+
+def _joined(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    return np.fromiter(chain.from_iterable(found), dtype=np.uint16, count=int(lengths.sum())), lengths
+
+
+def cut_words(words: Words) -> Words:
+    """Words cut further where the vocabulary's pre-tokeniser cuts too: between letters, single digits and other ASCII.
+
+    Words with an apostrophe, or with characters that are neither ASCII nor Latin letters, stay whole: what they join or
+    cut is left to the library.
+    """
+    data = words.data
+    kind = _KIND[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC9))
+    after = data[lead + 1]
+    # Not the signs D7 and F7, nor the letter 130, whose lower case has a mark after the letter.
+    latin = (data[lead] != 0xC3) | ((after != 0x97) & (after != 0xB7))
+    latin &= ((data[lead] != 0xC4) | (after != 0xB0)) & ((data[lead] != 0xC9) | (after < 0x90))
+    latin = lead[latin]
+    kind[latin] = kind[latin + 1] = _LATIN
+    open_bytes = np.concatenate([[0], np.cumsum(kind == _OPEN)])
+    whole = open_bytes[words.end] > open_bytes[words.start]
+    kind[kind == _LATIN] = _LETTER
+    edge = np.zeros(len(data), dtype=bool)
+    edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    # No cut inside whole words nor in white space.
+    inside = np.zeros(len(data) + 1, dtype=np.int8)
+    inside[words.start[~whole]] += 1
+    inside[words.end[~whole]] -= 1
+    edge &= np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    edge[words.start] = False
+    cuts = np.flatnonzero(edge)
+    start = np.sort(np.concatenate([words.start, cuts]))
+    end = np.sort(np.concatenate([words.end, cuts]))
+    return Words(data, words.bounds, np.searchsorted(start, words.bounds), start, end)
+
+
 class WordEncoder:
     """Ids of one task's texts: each distinct word goes to the library once."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        if self.encode(["a b\t\na"])[0] != sum(self.encode(["a", "b", "a"]), []):
+        if self.encode(["A b,\t\nç12.-a"])[0] != sum(self.encode(["a", "b", ",", "ç", "1", "2", ".-", "a"]), []):
             raise ValueError(f"{path}: this vocabulary does not encode words on their own")
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         if self.size > context_coder.IDS:
@@ -64,59 +107,65 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of words; those of lower-case ASCII letters skip the normaliser and go to the library's model at once."""
-        out: list[list[int]] = []
-        others = [w.decode() for w in words if not (w.isalpha() and w.isascii() and w.islower())]
-        rest = iter(self.encode(others))
-        model = self.tokenizer.model
-        for word in words:
-            plain = word.isalpha() and word.isascii() and word.islower()
-            out.append([t.id for t in model.tokenize(word.decode())] if plain else next(rest))
-        return out
-
-    def _remember(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        found = self._words(words)
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        number = np.arange(len(found)) + len(self.start) - 1
+    def _words(self, words: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and the number of each; plain ones (lower-case ASCII letters) go to the library's model at once."""
+        tokenize = self.tokenizer.model.tokenize
+        rest = iter(self.encode([w.decode() for w, p in zip(words, plain.tolist(), strict=True) if not p]))
+        found = [[t.id for t in tokenize(w.decode())] if p else next(rest) for w, p in zip(words, plain.tolist(), strict=True)]
+        return _joined(found)
+
+    def _remember(self, hashes: np.ndarray, words: list[bytes], plain: np.ndarray) -> None:
+        ids, lengths = self._words(words, plain)
+        number = np.arange(len(words)) + len(self.start) - 1
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), dtype=np.uint16, count=int(lengths.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
         every = np.concatenate([self.hashes, hashes])
         order = np.argsort(every, kind="stable")
         self.hashes, self.number = every[order], np.concatenate([self.number, number])[order]
 
+    def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words, and whether each is remembered."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.number[at], self.hashes[at] == hashes
+
     def slice(self, bounds: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts one after another, and the number of each text's."""
         raw = data.tobytes()
         if any(name in raw for name in self.special):
             # Special strings are found before words are; such slices go to the library whole.
-            found = self.encode([raw[a:b].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
-            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            return np.fromiter((i for ids in found for i in ids), dtype=np.uint16, count=int(lengths.sum())), lengths
+            return _joined(self.encode([raw[a:b].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]))
         # A-Z are lower-cased first, as the normaliser would do.
-        words = find_words(bounds, data, WHITE_SPACE, lower=True)
-        hashes = words.hashes()
-        long = np.flatnonzero(words.end - words.start > REMEMBERED_BYTES)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        words = cut_words(find_words(bounds, data, WHITE_SPACE, lower=True))
+        if not len(words):
+            return np.zeros(0, dtype=np.uint16), np.zeros(len(bounds) - 1, dtype=np.int64)
+        sizes = words.end - words.start
+        long = np.flatnonzero(sizes > REMEMBERED_BYTES)
+        distinct, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(self.hashes) > REMEMBERED:
             self._forget()
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
-        new = np.flatnonzero(self.hashes[at] != distinct) if len(self.hashes) else np.arange(len(distinct))
-        new = new[(words.end - words.start)[first[new]] <= REMEMBERED_BYTES]
+        new = np.flatnonzero(~self._known(distinct)[1] & (sizes[first] <= REMEMBERED_BYTES))
         folded = words.data.tobytes()
-        self._remember(distinct[new], [folded[a:b] for a, b in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)])
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
-        number = (self.number[at] if len(self.number) else np.zeros(len(distinct), dtype=np.int64))[back]
-        start, sizes = self.start[:-1][number] if len(words) else number, np.diff(self.start)[number] if len(words) else number
+
+        def spelt(places: np.ndarray) -> list[bytes]:
+            return [folded[a:b] for a, b in zip(words.start[places].tolist(), words.end[places].tolist(), strict=True)]
+
+        letters = np.concatenate([[0], np.cumsum(_KIND[words.data] == _LETTER)])
+        plain = letters[words.end[first[new]]] - letters[words.start[first[new]]] == sizes[first[new]]
+        self._remember(distinct[new], spelt(first[new]), plain)
+        number = self._known(distinct)[0][back]
         ids = self.ids
+        if len(self.start) > 1:
+            start, counts = self.start[:-1][number], np.diff(self.start)[number]
+        else:
+            start, counts = number.copy(), number.copy()
         if len(long):
-            found = self.encode([folded[a:b].decode() for a, b in zip(words.start[long].tolist(), words.end[long].tolist(), strict=True)])
-            start, sizes = start.copy(), sizes.copy()
-            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            start[long], sizes[long] = len(ids) + np.cumsum(lengths) - lengths, lengths
-            ids = np.concatenate([ids, np.fromiter((i for one in found for i in one), dtype=np.uint16, count=int(lengths.sum()))])
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        places = np.arange(int(upto[-1])) + np.repeat(start - upto[:-1], sizes)
+            found, lengths = _joined(self.encode([w.decode() for w in spelt(long)]))
+            start[long], counts[long] = len(ids) + np.cumsum(lengths) - lengths, lengths
+            ids = np.concatenate([ids, found])
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        places = np.arange(int(upto[-1])) + np.repeat(start - upto[:-1], counts)
         return ids[places], np.diff(upto[words.first])
 
     def batch(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +203,7 @@ def tokenised(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: s
 def pack_group(ids: np.ndarray, keys: np.ndarray, null: np.ndarray, counts: np.ndarray) -> bytes:
     """A group: its ids in coded blocks, and the documents that end in it."""
     lengths = context_coder.block_lengths(len(ids))
-    coded = context_coder.encode(ids.astype(np.int64), lengths)
+    coded = context_coder.encode(ids, lengths)
     table = np.zeros(len(coded), dtype=[("ids", "<u4"), ("bytes", "<u4"), ("check", "<u4")])
     table["ids"], table["bytes"], table["check"] = lengths, [len(c) for _, c in coded], [check for check, _ in coded]
     documents = np.zeros(len(keys), dtype=[("key", "<i8"), ("null", "u1"), ("ids", "<u8")])
