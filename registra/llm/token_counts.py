@@ -14,9 +14,13 @@ time; repeated rows are counted one by one; an empty table gives an empty table;
 from __future__ import annotations
 
 import json
+import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -44,11 +48,11 @@ def _byte_letters() -> dict[str, int]:
 class Vocabulary:
     """Tokens by their bytes, and for each token the merges along its right and left edge."""
 
-    ids: dict[bytes, int]
+    #: Finds tokens by their last byte (bytes are written as the characters of the same number).
+    ends: ahocorasick.Automaton
     merged: dict[tuple[int, int], int]
     right_edge: list[tuple[tuple[int, float], ...]]
     left_edge: list[tuple[tuple[int, float], ...]]
-    longest: int
     special: tuple[str, ...]
     together: dict[int, bool] = field(default_factory=dict)
 
@@ -79,12 +83,16 @@ class Vocabulary:
                 *halves, swallowed = made_of[token]
                 token = halves[side]
 
+        ends = ahocorasick.Automaton()
+        for name, i in number.items():
+            if name in spelt and (i in made_of or len(spelt[name]) == 1):
+                ends.add_word(spelt[name].decode("latin-1"), (i, len(spelt[name])))
+        ends.make_automaton()
         return cls(
-            {spelt[name]: i for name, i in number.items() if name in spelt and (i in made_of or len(spelt[name]) == 1)},
+            ends,
             merged,
             [edge(i, 1) for i in range(size)],
             [edge(i, 0) for i in range(size)],
-            max(map(len, spelt.values())),
             tuple(t["content"] for t in content.get("added_tokens", [])),
         )
 
@@ -103,24 +111,24 @@ class Vocabulary:
 
     def prefixes(self, piece: bytes) -> list[int]:
         """Token count of every prefix of a piece, from none of its bytes to all."""
-        ids, together, longest, n = self.ids, self.together, self.longest, len(piece)
+        together, n = self.together, len(piece)
         if len(together) > REMEMBERED:
             together.clear()
         counts, last = [0] * (n + 1), [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(piece[start:end])
-                if token is None:
+        # Every token that ends at a place, longest first: the first one that fits is the last token of that prefix.
+        for place, (token, size) in self.ends.iter(piece.decode("latin-1")):
+            end = place + 1
+            if last[end] >= 0:
+                continue
+            start = end - size
+            if start:
+                pair = last[start] << 32 | token
+                fits = together.get(pair)
+                if fits is None:
+                    fits = together[pair] = self.stand_together(last[start], token)
+                if not fits:
                     continue
-                if start:
-                    pair = last[start] << 32 | token
-                    fits = together.get(pair)
-                    if fits is None:
-                        fits = together[pair] = self.stand_together(last[start], token)
-                    if not fits:
-                        continue
-                counts[end], last[end] = counts[start] + 1, token
-                break
+            counts[end], last[end] = counts[start] + 1, token
         return counts
 
 
@@ -130,6 +138,8 @@ class PrefixCounter:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.seen: dict[str, bytes] = {}
+        #: The last entry of each table in `seen`.
+        self.totals: dict[str, int] = {}
         self.pieces = regex.compile(PIECES)
         self.gaps = regex.compile(r"\p{White_Space}{2,}")
         self.special = regex.compile("|".join(map(regex.escape, vocabulary.special))) if vocabulary.special else None
@@ -150,9 +160,15 @@ class PrefixCounter:
         if len(piece) <= REMEMBERED_LENGTH:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
-            self.seen[piece] = table
+                self.totals.clear()
+            self.seen[piece], self.totals[piece] = table, int(counts[-1])
         return table
 
+    def total(self, piece: str) -> int:
+        """Tokens of a whole piece."""
+        known = self.totals.get(piece)
+        return int.from_bytes(self.piece(piece)[-4:], sys.byteorder) if known is None else known
+
     def ordinary(self, part: str) -> np.ndarray:
         """Token counts of the first 1, 2, ... characters of a text without special strings."""
         get, new = self.seen.get, self.piece
@@ -185,6 +201,26 @@ class PrefixCounter:
             out.append(total + self.ordinary(text[at:]))
         return np.concatenate(out)
 
+    def within(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of a text, and characters of its longest prefix with at most `budget` tokens (`longest_prefix`).
+
+        Whole pieces are added up. Prefixes are told apart only near the piece that goes beyond the budget: one that ends
+        two pieces later holds that piece whole, and one that ends there holds all that is two pieces before whole.
+        """
+        if self.special and self.special.search(text):
+            table = self.table(text)
+            return int(table[-1]), longest_prefix(table, budget)
+        pieces, get, new = self.pieces.findall(text), self.totals.get, self.total
+        counts = [get(piece) or new(piece) for piece in pieces]
+        tokens = sum(counts)
+        if tokens <= budget:
+            return tokens, len(text)
+        upto = list(accumulate(counts))
+        over = bisect_right(upto, budget)
+        first = max(0, over - 3)
+        start, before = sum(map(len, pieces[:first])), upto[first - 1] if first else 0
+        return tokens, start + longest_prefix(self.table("".join(pieces[first : over + 3])), budget - before)
+
 
 def tokens_in_prefix(table: np.ndarray, characters: int) -> int:
     """Tokens of the first `characters` characters of the text a table belongs to."""
@@ -225,9 +261,9 @@ def token_counts(docs: DataFrame, path: str, budget: int, key: str = "doc_id", t
         for batch in found:
             tokens, fitting = [], []
             for cell in batch.column(1):
-                table = counter.table(cell.as_py() or "")
-                tokens.append(int(table[-1]))
-                fitting.append(longest_prefix(table, budget) if table[-1] > budget else len(table) - 1)
+                n, characters = counter.within(cell.as_py() or "", budget)
+                tokens.append(n)
+                fitting.append(characters)
             columns = [batch.column(0), batch.column(2), pa.array(tokens, pa.int64()), pa.array(fitting, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "budget_chars"])
 

@@ -125,14 +125,16 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def test_every_prefix_has_the_librarys_count():
     library, counter = Tokenizer.from_file(PATH), token_counts.PrefixCounter(token_counts.Vocabulary.load(PATH))
     rng = random.Random(11)
-    pieces = ["a", "the", "ing", " ", "  ", "\n", "'", "'s", "'re", "'ll", "'v", "!", "??", "12", "é", "日本", "🎉", "<|endoftext|>", "<|endo", "|>", " world", "\r\n", "\x1c", "\x85", "Ⅷ", "aaaa", "===="]
-    for _ in range(600):
+    pieces = ["a", "the", "ing", " ", "  ", "\n", "'", "'s", "'re", "'ll", "'v", "!", "??", "12", "é", "日本", "🎉", "<|endoftext|>", "<|endo", "|>", " world", "\r\n", "\x1c", "\x85", "Ⅷ", "aaaa", "====", " \n ", "\t\t", " 's"]
+    for _ in range(900):
         text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
         table = counter.table(text).tolist()
         assert table == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)], text
         for budget in (0, 1, 3):
             longest = token_counts.longest_prefix(np.array(table), budget)
             assert table[longest] <= budget and all(n > budget for n in table[longest + 1 :])
+        for budget in range(table[-1] + 2):
+            assert counter.within(text, budget) == (table[-1], token_counts.longest_prefix(np.array(table), budget)), (text, budget)
 
 
 def test_token_counts(spark, edge_docs, no_docs, documents):
