@@ -107,25 +107,3 @@ def similarities(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         scores[step] = jaro_winkler_codes(a, la, b, lb)
         start = stop
     return scores
-
-
-def similarity_ceiling(
-    common: np.ndarray, la: np.ndarray, lb: np.ndarray, prefix: np.ndarray
-) -> np.ndarray:
-    """Highest similarity two names can have, given how many bytes they share in any order.
-
-    Single precision: allow CEILING_ERROR when comparing with a score.
-    """
-    one = np.float32(1.0)
-    jaro = common * (one / np.maximum(la, 1)).astype(np.float32)
-    jaro += common * (one / np.maximum(lb, 1)).astype(np.float32)
-    jaro += one
-    jaro *= np.float32(1.0 / 3.0)
-    jaro[common == 0] = 0.0
-    # A ceiling just under the boost threshold may round either way, so the boost starts a little early.
-    boost = prefix * np.float32(PREFIX_WEIGHT) * (one - jaro)
-    boost[jaro < BOOST_ABOVE - CEILING_ERROR] = 0.0
-    return jaro + boost
-
-
-CEILING_ERROR = 1e-5

@@ -1,23 +1,24 @@
 """Name search: the best establishments for each name of a list, one per legal unit.
 
-The result is exact: every query is compared with every distinct registry name, in one set-based job.
-  1. Registry rows collapse to (clean name, postcode); all rows of such a place score alike, so the
-     `limit` legal units with the lowest SIRET stand for it. Partial limits run before the shuffle.
-  2. Distinct queries and places are cut into blocks of bounded size and each pair of blocks is one
-     task-sized group. Nothing is broadcast and no group grows with the data.
-  3. Inside a group only pairs whose ceiling (shared characters, lengths, prefix) reaches the current
-     `limit`-th score are scored in full. A group returns its `limit` best per query, never its pairs.
+The answer is the best `limit` of all names, so no score can be excluded beforehand. It is found by threshold joins:
+  1. Registry rows collapse to names, with the few legal units that can matter, over all postcodes and per postcode.
+  2. Some names that share a query's rarest letter sequences are scored. The score of the `limit`-th legal unit among
+     them is the query's floor: whatever scores less cannot be part of the answer.
+  3. Names with the same bytes and the same beginning share a signature, which is enough for a ceiling of the score. A floor
+     asks for so many bytes in common that, of each length of names, only those that share one of the query's rarest bytes
+     can reach it: an equi-join of signatures on (scope, length, byte with its repetition). Pairs below the floor go.
+  4. The remaining pairs of names are scored in full and ranked by a window.
+The scope is everything, or a postcode, where the floor is lower by the bonus. Names without a byte in common score 0; of those
+only the lowest SIRETs can be part of an answer, and these are candidates of every query.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from registra.functions.naming import without_legal_form
-from registra.functions.similarity import CEILING_ERROR, PREFIX_LENGTH, similarities, similarity_ceiling
+from registra.functions.similarity import BOOST_ABOVE, PREFIX_LENGTH, PREFIX_WEIGHT, name_similarity
 from registra.functions.text import search_link
 from registra.operators.establishments import by_siret, first_per_key
 from registra.operators.held import held
@@ -25,11 +26,10 @@ from registra.sources.registry import Registry
 
 SHORTEST_NAME = 3
 POSTCODE_BONUS = 0.05
-QUERIES_PER_BLOCK = 4_000
-PLACES_PER_BLOCK = 40_000
-SMALLEST_BLOCK = 1_000
-REPEATS = 4  # repetitions of one byte that ceilings tell apart
-MOST_PARTITIONS = 20_000
+# What a query's floor is taken from: so many of its rarest letter sequences, and so many names of each. Neither changes results.
+RARE_SEQUENCES = 4
+NAMES_PER_SEQUENCE = 16
+SLACK = 1e-6  # between a ceiling and a score
 RANKING_DIGITS = 10  # scores equal to this many digits are ties, settled by SIRET
 
 # Name columns in order of preference, and the parts of the short address.
@@ -95,140 +95,174 @@ def registry_places(registry: Registry, limit: int) -> DataFrame:
     return lowest.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= limit).drop("_rank")
 
 
-def _bytes_of(names: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per name: how often it has each byte, its first bytes, and its length. Wide in bytes, never in the longest name."""
-    values = [name.encode() for name in names]
-    lengths = np.fromiter(map(len, values), dtype=np.int32, count=len(values))
-    cells = np.repeat(np.arange(len(values)), lengths) * 256 + np.frombuffer(b"".join(values), dtype=np.uint8)
-    heads = np.array([v[:PREFIX_LENGTH] for v in values], dtype=f"S{PREFIX_LENGTH}")
-    counts = np.bincount(cells, minlength=256 * len(values)).reshape(-1, 256)
-    return counts.astype(np.int32), heads.view(np.uint8).reshape(-1, PREFIX_LENGTH), lengths
-
-
-def _marks(counts: np.ndarray) -> np.ndarray:
-    """Indicator per (byte, repetition up to REPEATS): their dot product counts the bytes two names share, up to that."""
-    return (counts[:, :, None] > np.arange(REPEATS)).reshape(len(counts), -1).astype(np.float32)
-
-
-def _best_of_block(queries: pd.DataFrame, places: pd.DataFrame, limit: int) -> pd.DataFrame:
-    columns = ["clean", "zip", "siren", "siret", "score"]
-    if queries.empty or places.empty:
-        return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "object") for c in columns})
-    names = places["place_name"].to_numpy(dtype=object)
-    postcodes = places["postcode"].to_numpy(dtype=object)
-    sirets = places["siret"].to_numpy(dtype=object)
-    sirens = places["siren"].to_numpy(dtype=object)
-    place_counts, place_heads, place_lengths = _bytes_of(places["place_name"])
-    siren_ids = pd.factorize(sirens)[0]
-    siret_order = np.argsort(np.argsort(sirets))
-    wanted = queries["clean"].to_numpy(dtype=object)
-    zips = queries["zip"].to_numpy(dtype=object)
-    results = []
-    step = max(1, 8_000_000 // len(places))
-    query_counts, query_heads, query_lengths = _bytes_of(queries["clean"])
-    alphabet = np.flatnonzero(query_counts.any(axis=0) & place_counts.any(axis=0))
-    place_marks = _marks(place_counts[:, alphabet])
-    for start in range(0, len(queries), step):
-        part = slice(start, start + step)
-        counts, heads, lengths = query_counts[part][:, alphabet], query_heads[part], query_lengths[part]
-        # Repetitions beyond REPEATS are granted to every place, which keeps the ceiling a ceiling.
-        common = _marks(counts) @ place_marks.T + np.maximum(counts - REPEATS, 0).sum(axis=1, dtype=np.float32)[:, None]
-        common = np.minimum(common, np.minimum(lengths[:, None], place_lengths[None, :]).astype(np.float32))
-        prefix = np.zeros(common.shape, dtype=np.int8)
-        going = np.ones(common.shape, dtype=bool)
-        for i in range(PREFIX_LENGTH):
-            going &= (heads[:, i, None] == place_heads[None, :, i]) & (heads[:, i, None] != 0)
-            prefix += going
-        ceiling = similarity_ceiling(common, lengths[:, None], place_lengths[None, :], prefix)
-        near = (zips[part][:, None] == postcodes[None, :]) & (zips[part][:, None] != "")
-        ceiling += np.float32(POSTCODE_BONUS) * near
-
-        first = min(len(places), max(16, 4 * limit))
-        ahead = np.argpartition(-ceiling, first - 1, axis=1)[:, :first]
-        scored = _scored(np.repeat(np.arange(len(counts)), first), ahead.ravel(), wanted[part], names, near)
-        best = _best(scored, siren_ids, siret_order, limit)
-        held_count = np.bincount(best["query"], minlength=len(counts))
-        floor = np.full(len(counts), -1.0, dtype=np.float32)
-        lowest = best.groupby("query")["score"].min()
-        full = held_count[lowest.index] == limit
-        floor[lowest.index[full]] = lowest.to_numpy()[full]
-        open_pairs = ceiling >= (floor - np.float32(CEILING_ERROR))[:, None]
-        np.put_along_axis(open_pairs, ahead, False, axis=1)
-        pairs = np.nonzero(open_pairs)
-        if len(pairs[0]):
-            more = _scored(pairs[0], pairs[1], wanted[part], names, near)
-            best = _best(pd.concat([best, more]), siren_ids, siret_order, limit)
-        query, place = best["query"].to_numpy() + start, best["place"].to_numpy()
-        results.append(
-            pd.DataFrame(
-                {"clean": wanted[query], "zip": zips[query], "siren": sirens[place], "siret": sirets[place],
-                 "score": best["score"].to_numpy()}
-            )
-        )
-    return pd.concat(results, ignore_index=True)[columns]
-
-
-def _scored(query, place, wanted, names, near) -> pd.DataFrame:
-    """Full scores of pairs; a pair of texts met under several postcodes is compared once."""
-    texts = pd.DataFrame({"a": wanted[query], "b": names[place]})
-    number = texts.groupby(["a", "b"], sort=False).ngroup().to_numpy()
-    _, representative = np.unique(number, return_index=True)
-    distinct = similarities(
-        texts["a"].to_numpy(dtype=object)[representative], texts["b"].to_numpy(dtype=object)[representative]
-    )
-    base = distinct[number]
-    score = np.minimum(1.0, base + POSTCODE_BONUS * near[query, place])
-    return pd.DataFrame({"query": query, "place": place, "score": np.round(score, RANKING_DIGITS)})
-
+def _described(names: DataFrame, name: str) -> DataFrame:
+    """`names` with `bytes` (each byte with its repetition number), `head` (the first bytes) and the `signature` of both."""
+    digits = F.hex(F.encode(F.col(name), "UTF-8"))
 
-def _best(scored: pd.DataFrame, siren_ids: np.ndarray, siret_order: np.ndarray, limit: int) -> pd.DataFrame:
-    place = scored["place"].to_numpy()
-    ranked = scored.assign(siren=siren_ids[place], order=siret_order[place]).sort_values(
-        ["query", "score", "order"], ascending=[True, False, True]
-    )
-    ranked = ranked.drop_duplicates(["query", "siren"])
-    return ranked[ranked.groupby("query").cumcount() < limit][["query", "place", "score"]]
+    def counted(each: Column) -> Column:
+        def repeated(byte: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.size(F.filter(each, lambda other: other == byte))), lambda i: F.concat(byte, i.cast("string")))
 
+        return F.flatten(F.transform(F.array_sort(F.array_distinct(each)), repeated))
 
-def _blocks(df: DataFrame, keys: list[str], own: str, count: int, other: str, copies: int) -> DataFrame:
-    return df.withColumn(own, F.pmod(F.xxhash64(*keys), F.lit(count))).withColumn(
-        other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint")))
+    # Inside the outer transform the bytes are taken apart once, however often they are looked at.
+    each = F.regexp_extract_all(digits, F.lit("(..)"), 1)
+    return (
+        names.withColumn("bytes", F.get(F.transform(F.array(each), counted), F.lit(0)))
+        .withColumn("head", F.substring(digits, 1, 2 * PREFIX_LENGTH))
+        .withColumn("signature", F.md5(F.concat_ws("|", "head", F.concat_ws(",", "bytes"))))
     )
 
 
-def search_names(
-    queries: DataFrame,
-    registry: Registry,
-    limit: int = 3,
-    queries_per_block: int = QUERIES_PER_BLOCK,
-    places_per_block: int = PLACES_PER_BLOCK,
-) -> DataFrame:
+def _sequences(name: str) -> Column:
+    """Distinct runs of one, two and three letters."""
+    runs = [
+        F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - (n - 1)), lambda i, n=n: F.substring(F.col(name), i, F.lit(n))))
+        for n in (1, 2, 3)
+    ]
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.coalesce(run, none) for run in runs]))
+
+
+def _first_pairs(wanted: DataFrame, names: DataFrame) -> DataFrame:
+    """(clean, place_name) for names that share rare sequences with a query."""
+    of_name = names.select("place_name", F.explode(_sequences("place_name")).alias("run"))
+    of_query = wanted.select("clean", F.explode(_sequences("clean")).alias("run"))
+    runs = of_name.groupBy("run").agg(F.count("*").alias("names"))
+    # The rarest lead to the closest names; a floor needs several legal units, so the rarest with enough names are taken too.
+    known = of_query.join(runs, "run").withColumn("enough", F.col("names") >= NAMES_PER_SEQUENCE)
+    rarest = Window.partitionBy("clean", "enough").orderBy("names", F.length("run").desc(), "run")
+    chosen = known.withColumn("_rank", F.row_number().over(rarest)).filter(F.col("_rank") <= RARE_SEQUENCES)
+    some = Window.partitionBy("run").orderBy("place_name")
+    few = of_name.withColumn("_rank", F.row_number().over(some)).filter(F.col("_rank") <= NAMES_PER_SEQUENCE)
+    return chosen.select("clean", "run").join(few.select("run", "place_name"), "run").select("clean", "place_name").distinct()
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    return pairs.select("clean", "place_name", name_similarity(F.col("clean"), F.col("place_name")).alias("base"))
+
+
+def _floors(wanted: DataFrame, scored: DataFrame, holders: DataFrame, limit: int) -> DataFrame:
+    """`wanted` with `floor`, the score of the `limit`-th legal unit found so far, or -1."""
+    found = scored.join(holders, "place_name").groupBy("clean", "siren").agg(F.max("base").alias("score"))
+    order = Window.partitionBy("clean").orderBy(F.col("score").desc())
+    last = found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == limit).select("clean", F.col("score").alias("floor"))
+    return wanted.join(last, "clean", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0)))
+
+
+def _least_jaro(floor: Column) -> Column:
+    """The Jaro similarity that a score needs at least, whatever the common beginning."""
+    boost = PREFIX_LENGTH * PREFIX_WEIGHT
+    boosted = (floor - boost) / (1 - boost)
+    return F.when(floor <= BOOST_ABOVE, floor).otherwise(F.greatest(F.lit(BOOST_ABOVE), boosted))
+
+
+def _ceiling(common: Column, one: Column, other: Column, head: Column, other_head: Column) -> Column:
+    """Highest score of names of these lengths, with so many bytes in common and these beginnings."""
+    jaro = (common / one + common / other + 1) / 3
+    same = F.lit(0)
+    for n in range(PREFIX_LENGTH, 0, -1):
+        equal = F.substring(head, 1, 2 * n) == F.substring(other_head, 1, 2 * n)
+        same = F.when(equal, F.lit(n)).otherwise(same) if n == PREFIX_LENGTH else F.when((same == 0) & equal, F.lit(n)).otherwise(same)
+    # A ceiling just under the boost threshold may round either way.
+    return F.when(jaro >= BOOST_ABOVE - SLACK, jaro + same * PREFIX_WEIGHT * (1 - jaro)).otherwise(jaro)
+
+
+def _signature_pairs(wanted: DataFrame, names: DataFrame) -> DataFrame:
+    """(scope, signature, place_signature, ceiling) of all signatures that can reach the lowest floor of theirs.
+
+    `wanted` has (scope, signature, bytes, head, floor), `names` (scope, signature, bytes, head).
+    """
+    places = names.groupBy("scope", "signature").agg(F.first("bytes").alias("place_bytes"), F.first("head").alias("place_head"))
+    places = held(places.withColumn("place", F.monotonically_increasing_id()), "place_signatures")
+    asked = wanted.groupBy("scope", "signature").agg(F.first("bytes").alias("bytes"), F.first("head").alias("head"), F.min("floor").alias("floor"))
+    asked = held(asked.withColumn("query", F.monotonically_increasing_id()), "query_signatures")
+    # One row for each byte with its repetition; lengths of names are few, whatever their number.
+    postings = places.select("scope", "place", F.size("place_bytes").alias("length"), F.explode("place_bytes").alias("byte"))
+    often = postings.groupBy("byte").agg(F.count("*").alias("names"))
+    lengths = sorted(r["n"] for r in places.select(F.size("place_bytes").alias("n")).distinct().filter("n > 0").collect())
+    rarity = asked.select("query", "scope", F.size("bytes").alias("own"), "floor", F.explode("bytes").alias("byte")).join(often, "byte", "left")
+    by_rarity = Window.partitionBy("query").orderBy(F.coalesce("names", F.lit(0)), "byte")
+    ranked = rarity.withColumn("rank", F.row_number().over(by_rarity)).filter("names IS NOT NULL")
+    own, other = F.col("own"), F.col("length")
+    needed = (3 * _least_jaro(F.col("floor") - SLACK) - 1) * own * other / (own + other)
+    least = F.greatest(F.lit(1), F.ceil(needed - SLACK)).cast("int")
+    probes = (
+        ranked.select("query", "scope", "own", "floor", "byte", "rank", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("length"))
+        .withColumn("least", least)
+        .filter((F.col("least") <= other) & (F.col("rank") <= own - F.col("least") + 1))
+        .select("query", "scope", "length", "byte")
+    )
+    met = probes.join(postings, ["scope", "length", "byte"]).select("query", "place").distinct()
+    both = met.join(asked, "query").join(places.drop("scope").withColumnRenamed("signature", "place_signature"), "place")
+    common = F.size(F.array_intersect("bytes", "place_bytes"))
+    reach = _ceiling(common, F.size("bytes"), F.size("place_bytes"), F.col("head"), F.col("place_head"))
+    return both.withColumn("ceiling", reach).filter(F.col("ceiling") >= F.col("floor") - SLACK).select("scope", "signature", "place_signature", "ceiling")
+
+
+def _lowest(holders: DataFrame, limit: int) -> list[str]:
+    """Names of the legal units with the lowest SIRETs of all: the answer where nothing has a byte in common."""
+    per_unit = holders.groupBy("siren").agg(F.min(F.struct("siret", "place_name")).alias("first"))
+    return [r["name"] for r in per_unit.orderBy("first.siret").limit(limit).select(F.col("first.place_name").alias("name")).collect()]
+
+
+def compared_names(distinct: DataFrame, places: DataFrame, holders: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Floors of the names asked for, and (clean, place_name, base) of every pair that can be part of an answer.
+
+    `distinct` has (clean, zip), `places` those of `registry_places`, `holders` up to `limit` legal units of each name.
+    """
+    known = held(_described(holders.select("place_name").distinct(), "place_name"), "known_names")
+    wanted = held(_described(distinct.select("clean").distinct(), "clean"), "wanted_names")
+    first = held(_scored(_first_pairs(wanted, known)), "first_pairs")
+    floors = held(_floors(wanted, first, holders, limit), "floors")
+
+    everything = F.lit("")
+    there = places.filter("postcode <> ''").select("place_name", F.col("postcode").alias("scope")).distinct()
+    near = distinct.filter("zip <> ''").select("clean", F.col("zip").alias("scope"))
+    asked = floors.withColumn("scope", everything).unionByName(floors.join(near, "clean").withColumn("floor", F.col("floor") - POSTCODE_BONUS))
+    given = known.withColumn("scope", everything).unionByName(known.join(there, "place_name"))
+    reached = held(_signature_pairs(asked, given), "signature_pairs")
+    pairs = (
+        reached.join(asked.select("scope", "signature", "clean", "floor"), ["scope", "signature"])
+        .filter(F.col("ceiling") >= F.col("floor") - SLACK)
+        .join(given.select("scope", F.col("signature").alias("place_signature"), "place_name"), ["scope", "place_signature"])
+        .select("clean", "place_name")
+    )
+    # Nothing in common: the lowest SIRETs of all, and of the postcode.
+    lowest = F.array(*[F.lit(name) for name in _lowest(holders, limit)]).cast("array<string>")
+    pairs = pairs.unionByName(wanted.select("clean", F.explode(lowest).alias("place_name")))
+    in_zip = Window.partitionBy("postcode").orderBy("siret")
+    first_there = places.filter("postcode <> ''").groupBy("postcode", "siren").agg(F.min(F.struct("siret", "place_name")).alias("first"))
+    first_there = first_there.select("postcode", "first.siret", "first.place_name").withColumn("_rank", F.row_number().over(in_zip)).filter(F.col("_rank") <= limit)
+    pairs = pairs.unionByName(near.join(first_there.select(F.col("postcode").alias("scope"), "place_name"), "scope").select("clean", "place_name"))
+    rest = pairs.distinct().join(first.select("clean", "place_name"), ["clean", "place_name"], "left_anti")
+    return floors.select("clean", "floor"), held(first.unionByName(_scored(rest)), "scored_names")
+
+
+def search_names(queries: DataFrame, registry: Registry, limit: int = 3) -> DataFrame:
     """(row_id, rank, siret, denomination, adresse, score_similarite) for prepared queries."""
     places = held(registry_places(registry, limit), "places")
+    per_name = Window.partitionBy("place_name").orderBy("siret")
+    holders = places.groupBy("place_name", "siren").agg(F.min("siret").alias("siret"))
+    holders = held(holders.withColumn("_rank", F.row_number().over(per_name)).filter(F.col("_rank") <= limit).drop("_rank"), "holders")
     distinct = held(queries.select("clean", "zip").distinct(), "names")
-    place_count = places.count()
-    query_blocks = -(-distinct.count() // queries_per_block) or 1
-    place_blocks = -(-place_count // places_per_block) or 1
-    # Small inputs are cut finer, or most cores would wait for a few large groups.
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    finer = min(-(-2 * cores // query_blocks), -(-place_count // SMALLEST_BLOCK) or 1)
-    place_blocks = max(place_blocks, finer)
-    # A fixed number of partitions: the rows are few but each group is seconds of work, so sizes in bytes
-    # must not decide how they are packed.
-    partitions = min(query_blocks * place_blocks, MOST_PARTITIONS)
-
-    left = _blocks(distinct, ["clean", "zip"], "_q", query_blocks, "_p", place_blocks)
-    right = _blocks(places, ["place_name", "postcode", "siren"], "_p", place_blocks, "_q", query_blocks)
-    left, right = left.repartition(partitions, "_q", "_p"), right.repartition(partitions, "_q", "_p")
-
-    def best(query_block: pd.DataFrame, place_block: pd.DataFrame) -> pd.DataFrame:
-        return _best_of_block(query_block, place_block, limit)
-
-    scored = left.groupBy("_q", "_p").cogroup(right.groupBy("_q", "_p")).applyInPandas(
-        best, "clean string, zip string, siren string, siret string, score double"
-    )
+    floors, scored = compared_names(distinct, places, holders, limit)
+
     order = [F.col("score").desc(), F.col("siret").asc()]
-    per_unit = first_per_key(scored, ["clean", "zip", "siren"], order)
+    hopeful = scored.join(floors, "clean")
+    anywhere = hopeful.filter(F.col("base") >= F.col("floor") - SLACK).join(holders, "place_name")
+    anywhere = anywhere.select("clean", "siren", "siret", F.round("base", RANKING_DIGITS).alias("score"))
+    anywhere = first_per_key(anywhere, ["clean", "siren"], order)
+    best = Window.partitionBy("clean").orderBy(*order)
+    anywhere = anywhere.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= limit).drop("_rank")
+    near = (
+        hopeful.filter(F.col("base") + POSTCODE_BONUS >= F.col("floor") - SLACK)
+        .join(distinct.filter("zip <> ''"), "clean")
+        .join(places.withColumnRenamed("postcode", "zip"), ["place_name", "zip"])
+        .select("clean", "zip", "siren", "siret", F.round(F.least(F.lit(1.0), F.col("base") + POSTCODE_BONUS), RANKING_DIGITS).alias("score"))
+    )
+    candidates = anywhere.join(distinct, "clean").select("clean", "zip", "siren", "siret", "score").unionByName(near)
+    per_unit = first_per_key(candidates, ["clean", "zip", "siren"], order)
     ranked = per_unit.withColumn(
         "rank", F.row_number().over(Window.partitionBy("clean", "zip").orderBy(*order))
     ).filter(F.col("rank") <= limit)

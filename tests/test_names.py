@@ -2,10 +2,11 @@ import random
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pytest
 
-from registra.functions.similarity import CEILING_ERROR, encode, jaro_winkler_codes, similarities, similarity_ceiling
+from pyspark.sql import functions as F
+
+from registra.functions.similarity import similarities
 from registra.operators import names
 from tests.samples import est, registry, rows, siren, siret
 
@@ -29,16 +30,17 @@ def test_similarity_equals_an_independent_implementation():
     assert np.allclose(scores, reference_scores(left, right), atol=1e-12)
 
 
-def test_ceiling_is_never_below_the_score():
-    left, right = random_names(2000, 1), random_names(2000, 2)
-
-    a, la = encode(pd.Series(left))
-    b, lb = encode(pd.Series(right))
-    left, right = [x.encode() for x in left], [x.encode() for x in right]
-    common = np.array([sum(min(x.count(c), y.count(c)) for c in set(x)) for x, y in zip(left, right)])
-    prefix = np.array([next((i for i in range(4) if x[i : i + 1] != y[i : i + 1] or i >= len(x)), 4) for x, y in zip(left, right)])
-    ceiling = similarity_ceiling(common.astype(np.float32), la, lb, prefix)
-    assert (ceiling >= jaro_winkler_codes(a, la, b, lb) - CEILING_ERROR).all()
+def test_ceiling_is_never_below_the_score(spark):
+    pairs = spark.createDataFrame(list(zip(random_names(2000, 1), random_names(2000, 2))), "one string, other string")
+    described = names._described(names._described(pairs, "one").toDF("one", "other", "a", "head_a", "sig_a"), "other")
+    common = F.size(F.array_intersect("a", "bytes"))
+    ceiling = names._ceiling(common, F.size("a"), F.size("bytes"), F.col("head_a"), F.col("head"))
+    least = names._least_jaro(F.col("score"))
+    found = described.filter("one <> '' AND other <> ''").withColumn("score", names.name_similarity(F.col("one"), F.col("other")))
+    jaro = (common / F.size("a") + common / F.size("bytes") + 1) / 3
+    checked = found.select((ceiling >= F.col("score") - names.SLACK).alias("high"), ((common == 0) | (jaro >= least - names.SLACK)).alias("enough"), (common == 0).alias("none"), "score")
+    for r in checked.collect():
+        assert r.high and r.enough and (not r.none or r.score == 0)
 
 
 @pytest.fixture(scope="module")
@@ -79,11 +81,13 @@ def brute_force(establishments, units, lines, limit):
     return sorted(found, key=repr)
 
 
-@pytest.mark.parametrize(("per_query", "per_place", "limit"), [(4000, 40000, 3), (7, 13, 3), (7, 40, 1)])
-def test_search_equals_brute_force(spark, searched, per_query, per_place, limit):
+@pytest.mark.parametrize(("runs", "per_run", "limit"), [(4, 16, 3), (1, 1, 3), (4, 16, 1), (2, 3, 7)])
+def test_search_equals_brute_force(spark, searched, monkeypatch, runs, per_run, limit):
+    monkeypatch.setattr(names, "RARE_SEQUENCES", runs)
+    monkeypatch.setattr(names, "NAMES_PER_SEQUENCE", per_run)
     r, establishments, units, lines = searched
     queries = names.prepare_queries(lines, "id", "nom", "cp")
-    found = names.search_names(queries, r, limit, per_query, per_place)
+    found = names.search_names(queries, r, limit)
     expected = brute_force(establishments, units, [tuple(x) for x in lines.collect()], limit)
     assert rows(found, "row_id", "rank", "siret", "score_similarite") == expected
 
@@ -110,18 +114,35 @@ def test_review_priority(spark, country, first, expected):
     assert siret(1, 1)[:9] == siren(1)
 
 
-def test_junk_names_stay_cheap_and_exact():
+def test_junk_and_unlike_names_stay_exact(spark):
     rng = np.random.default_rng(4)
     letters = list("abcdefgh ")
-    places = ["".join(rng.choice(letters, rng.integers(3, 14))) for _ in range(200)] + ["a" * 20_000, "ab" * 3_000, "aaaaaaaaab"]
-    queries = ["a" * 5_000, "aaaaaaaaaaaa", "abcabcabcabcab", "hgfe", "b" * 9]
-    left = pd.DataFrame({"clean": queries, "zip": ""})
-    right = pd.DataFrame(
-        {"place_name": places, "postcode": "", "siren": [f"{i:09d}" for i in range(len(places))], "siret": [f"{i:014d}" for i in range(len(places))]}
-    )
-    got = names._best_of_block(left, right, 3)
+    places = ["".join(rng.choice(letters, rng.integers(3, 14))) for _ in range(200)] + ["a" * 20_000, "ab" * 3_000, "aaaaaaaaab", ""]
+    queries = ["a" * 5_000, "aaaaaaaaaaaa", "abcabcabcabcab", "hgfe", "b" * 9, "XYZ", "éÉ"]
+    table = [(name, f"{i % 7}", f"{i:09d}", f"{i:014d}") for i, name in enumerate(places)]
+    frame = spark.createDataFrame(table, "place_name string, postcode string, siren string, siret string")
+    distinct = spark.createDataFrame([(q, zip_code) for q in queries for zip_code in ("", "3")], "clean string, zip string")
+    floors, scored = names.compared_names(distinct, frame, frame.select("place_name", "siren", "siret"), 3)
+    floors = {r.clean: r.floor for r in floors.collect()}
+    met = {}
+    for r in scored.collect():
+        met.setdefault(r.clean, {})[r.place_name] = r.base
     for query in queries:
-        scores = similarities(np.array([query] * len(places), dtype=object), np.array(places, dtype=object)).round(names.RANKING_DIGITS)
-        expected = sorted(zip(-scores, right["siret"]))[:3]
-        found = got[got["clean"] == query].sort_values(["score", "siret"], ascending=[False, True])
-        assert list(zip(-found["score"], found["siret"])) == expected
+        scores = similarities(np.array([query] * len(places), dtype=object), np.array(places, dtype=object))
+        for zip_code in ("", "3"):
+            total = [round(min(1.0, s + (names.POSTCODE_BONUS if zip_code and row[1] == zip_code else 0.0)), names.RANKING_DIGITS) for s, row in zip(scores, table)]
+            expected = sorted(zip([-t for t in total], [row[3] for row in table], places))[:3]
+            assert all(name in met[query] for _, _, name in expected), (query, zip_code)
+            assert -expected[-1][0] >= floors[query] - names.SLACK
+
+
+def test_few_pairs_are_compared(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("ABCDEFGHIJKLMNOPRSTUVY") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    known = sorted({" ".join(rng.sample(words, 2)) for _ in range(1500)})
+    table = [(name, "", f"{i:09d}", f"{i:014d}") for i, name in enumerate(known)]
+    frame = spark.createDataFrame(table, "place_name string, postcode string, siren string, siret string")
+    asked = [name[:4] + name[5:] for name in known[::10]]
+    distinct = spark.createDataFrame([(name, "") for name in set(asked)], "clean string, zip string")
+    _, scored = names.compared_names(distinct, frame, frame.select("place_name", "siren", "siret"), 3)
+    assert scored.count() < 0.1 * len(set(asked)) * len(known)
