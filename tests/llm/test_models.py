@@ -39,6 +39,57 @@ def test_quality_edge_cases(spark, edge_docs, no_docs):
     assert {round(r.score, 6) for r in quality_model.scores(edge_docs, nothing).collect()} == {0.5}
 
 
+def test_ratios_and_descent_against_plain_python(spark, database):
+    """Class counts, their log ratios, one fit and the scores, with dictionaries and dense loops."""
+    rows = database.execute("SELECT doc_id, text, quality FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL ORDER BY doc_id LIMIT 40").fetchall()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, label int")
+    model = quality_model.fit(docs, labels)
+    sets = {}
+    for i, text, _ in rows:
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        ((_, places, _),) = quality_model.features(np.array([0, len(data)]), data)
+        sets[i] = sorted(set(places.tolist()))
+    counts = [collections.Counter(p for i, _, q in rows if q == side for p in sets[i]) for side in (0, 1)]
+    smooth, places = float(quality_model.SMOOTHING), quality_model.PLACES
+    totals = [sum(c.values()) + smooth * places for c in counts]
+    ratio = {p: math.log((counts[1][p] + smooth) / totals[1]) - math.log((counts[0][p] + smooth) / totals[0]) for found in sets.values() for p in found}
+    assert all(abs(model.ratio[p] - r) < 1e-5 for p, r in ratio.items())
+
+    # One fit: its hinge loss is as low as that of a plain descent carried on for long.
+    vectors = [np.array(sets[i], dtype=np.int64) for i, _, _ in rows]
+    wide, sign = model.ratio.astype(np.float64), np.array([1.0 if q else -1.0 for _, _, q in rows])
+    dense = [{**{p: wide[p] for p in v.tolist()}} for v in vectors]
+    for x in dense:
+        length = math.sqrt(sum(value * value for value in x.values()))
+        for p in x:
+            x[p] /= length
+
+    def objective(weight, bias):
+        margins = [sum(weight.get(p, 0.0) * value for p, value in x.items()) + bias for x in dense]
+        return (sum(w * w for w in weight.values()) + bias * bias) / 2 + quality_model.COST * sum(max(0.0, 1 - y * m) for y, m in zip(sign, margins))
+
+    weight, bias = quality_model.descend(vectors, wide, sign > 0)
+    plain, plain_bias, dual = {}, 0.0, [0.0] * len(dense)
+    for _ in range(300):
+        for i, x in enumerate(dense):
+            margin = sum(plain.get(p, 0.0) * value for p, value in x.items()) + plain_bias
+            new = min(max(dual[i] - (sign[i] * margin - 1) / 2, 0.0), quality_model.COST)
+            step, dual[i] = (new - dual[i]) * sign[i], new
+            if step:
+                plain_bias += step
+                for p, value in x.items():
+                    plain[p] = plain.get(p, 0.0) + step * value
+    assert objective({p: weight[p] for p in np.flatnonzero(weight).tolist()}, bias) <= 1.02 * objective(plain, plain_bias)
+
+    # A score is the curve of the ratio-scaled vector's margin; the model holds single-precision numbers.
+    got = {r.doc_id: r.score for r in quality_model.scores(docs, model).collect()}
+    for (i, _, _), x in zip(rows, dense):
+        length = math.sqrt(sum(ratio[p] ** 2 for p in sets[i]))
+        margin = sum(float(model.value[p]) for p in sets[i]) / length + model.bias
+        assert abs(got[i] - 1 / (1 + math.exp(-(model.slope * margin + model.shift)))) < 1e-3
+
+
 def test_features_are_distinct_and_whole():
     text = "ab ab ab c" * 200
     data = np.frombuffer(text.encode(), dtype=np.uint8)
