@@ -29,18 +29,17 @@ def spread_key(key: Column, row: Column) -> Column:
 
 
 def links_touching(links: DataFrame, keys: DataFrame) -> DataFrame:
-    """Links with an input on either end: semi-joins, so that only such links travel on. Never an OR condition."""
-    wanted = keys.select("siret").filter("siret is not null").distinct()
-    sources, targets = wanted.withColumnRenamed("siret", PREDECESSOR), wanted.withColumnRenamed("siret", SUCCESSOR)
-    ends = targets.withColumn("_to", F.lit(True))
-    # A link without a successor keeps a key of its own in the second join.
-    leaving = links.join(sources, PREDECESSOR, "left_semi").select(*links.columns)
-    spread = spread_key(F.col(SUCCESSOR), F.col(PREDECESSOR))
-    leaving = leaving.withColumn("_key", spread).join(ends.withColumnRenamed(SUCCESSOR, "_key"), "_key", "left")
-    arriving = links.join(targets, SUCCESSOR, "left_semi").select(*links.columns)
-    arriving = arriving.join(sources, PREDECESSOR, "left_anti").select(*links.columns, F.lit(AS_SUCCESSOR).alias("input_match_type"))
-    kind = F.when(F.col("_to"), BOTH).otherwise(AS_PREDECESSOR).alias("input_match_type")
-    return leaving.select(*links.columns, kind).unionByName(arriving)
+    """Links with an input on either end. Each link is looked up as two rows, one an end, in one pass and one semi-join."""
+    wanted = keys.select(F.col("siret").alias("_end")).filter("_end is not null").distinct()
+    both = F.array(*[F.struct(F.col(c).alias("end"), F.lit(side).alias("side")) for side, c in enumerate((PREDECESSOR, SUCCESSOR))])
+    # Numbered before the two rows are made, or each row would get a number of its own.
+    ends = links.withColumn("_link", F.monotonically_increasing_id()).withColumn("_one", F.explode(both))
+    ends = ends.select("_link", *links.columns, F.col("_one.end").alias("_end"), F.col("_one.side").alias("_side")).filter("_end is not null")
+    found = ends.join(wanted, "_end", "left_semi").groupBy("_link").agg(
+        *[F.any_value(c).alias(c) for c in links.columns], F.min("_side").alias("_first"), F.max("_side").alias("_last")
+    )
+    kind = F.when(F.col("_first") < F.col("_last"), BOTH).when(F.col("_first") == 0, AS_PREDECESSOR).otherwise(AS_SUCCESSOR)
+    return found.select(*links.columns, kind.alias("input_match_type"))
 
 
 def best_links(links: DataFrame) -> DataFrame:

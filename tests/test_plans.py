@@ -7,7 +7,7 @@ from registra.functions.identifiers import check_identifiers
 from registra.operators import establishments as est
 from registra.operators import reports, scoping
 from registra.operators.held import held
-from registra.operators.succession import best_links
+from registra.operators.succession import best_links, links_touching
 from registra.sources.registry import Registry, read_bucketed, registry_from_frames, save_bucketed
 from tests.samples import est as row
 from tests.samples import registry, rows, siren, siret
@@ -57,6 +57,12 @@ def test_rankings_are_cut_before_the_shuffle(spark):
         assert "Partial" in text
 
 
+def test_links_touching_the_list_are_one_semi_join(spark):
+    sample = registry(spark, [row(1, 1)], links=[(siret(1, 1), siret(2, 1), "", "")])
+    text = plan(links_touching(sample.links, spark.createDataFrame([(siret(1, 1),)], "siret string")))
+    assert text.count("SortMergeJoin LeftSemi") == 1 and "LeftOuter" not in text and "LeftAnti" not in text
+
+
 def test_counts_are_partial_hash_aggregates(spark):
     from registra.operators.history import history_summary
 
