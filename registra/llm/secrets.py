@@ -13,6 +13,7 @@ columns of the input are carried in a struct whatever their names.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -91,32 +92,36 @@ def _kinds(found: Column, kind: str, order: int) -> Column:
 def hot_stretch(run: Column, window: int, bits: float) -> Column:
     """First and last start of the windows of a run with at least `bits` of entropy, as a struct; null if there are none.
 
-    State of the fold: how often each character is in the window, the sum of c*log2(c) over them, and the stretch so far.
+    State of the fold: the window's characters, the sum of c*log2(c) over their counts, and the stretch so far. Only the counts of the
+    character that enters and of the one that leaves change; both are read from the window, so a run costs linear time.
     """
 
+    weights = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+
     def weight(count: Column) -> Column:
-        return F.when(count > 0, count * F.log2(F.greatest(count, F.lit(1)))).otherwise(F.lit(0.0))
+        return F.get(weights, count)
+
+    def times(character: Column, held: Column) -> Column:
+        return F.length(held) - F.length(F.replace(held, character, F.lit("")))
 
-    characters = F.split(run, "")
     start = F.struct(
-        F.create_map().cast("map<string,int>").alias("counts"),
+        F.lit("").alias("held"),
         F.lit(0.0).alias("sum"),
         F.lit(None).cast("int").alias("first"),
         F.lit(None).cast("int").alias("last"),
         F.lit(0).alias("at"),
     )
 
-    def step(state: Column, item: Column) -> Column:
-        enters, leaves, counts = item["enters"], item["leaves"], state["counts"]
-        had = F.coalesce(F.get(F.map_values(F.map_filter(counts, lambda k, v: k == enters)), F.lit(0)), F.lit(0))
-        entered = F.map_concat(F.map_filter(counts, lambda k, v: k != enters), F.create_map(enters, had + 1))
-        lost = F.coalesce(F.get(F.map_values(F.map_filter(entered, lambda k, v: k == leaves)), F.lit(0)), F.lit(0))
-        left = F.when(leaves.isNull(), entered).otherwise(F.transform_values(entered, lambda k, v: F.when(k == leaves, v - 1).otherwise(v)))
-        total = state["sum"] + weight(had + 1) - weight(had) + F.when(leaves.isNull(), F.lit(0.0)).otherwise(weight(lost - 1) - weight(lost))
+    def step(state: Column, enters: Column) -> Column:
+        held, full = state["held"], state["at"] >= window
+        leaves = F.substring(held, 1, 1)
+        had = times(enters, held)
+        lost = times(leaves, held) + F.when(leaves == enters, 1).otherwise(0)
+        total = state["sum"] + weight(had + 1) - weight(had) + F.when(full, weight(lost - 1) - weight(lost)).otherwise(F.lit(0.0))
         begins = state["at"] - (window - 1)
         hot = (begins >= 0) & (F.log2(F.lit(float(window))) - total / window >= bits - 1e-9)
         return F.struct(
-            left.alias("counts"),
+            F.concat(F.when(full, F.substring(held, 2, window - 1)).otherwise(held), enters).alias("held"),
             total.alias("sum"),
             F.when(hot, F.coalesce(state["first"], begins)).otherwise(state["first"]).alias("first"),
             F.when(hot, begins).otherwise(state["last"]).alias("last"),
@@ -126,10 +131,7 @@ def hot_stretch(run: Column, window: int, bits: float) -> Column:
     def finish(state: Column) -> Column:
         return F.when(state["first"].isNotNull(), F.struct(state["first"].alias("first"), (state["last"] + window).alias("end")))
 
-    items = F.transform(
-        characters, lambda c, i: F.struct(c.alias("enters"), F.when(i >= window, F.substring(run, i - window + 1, F.lit(1))).alias("leaves"))
-    )
-    return F.aggregate(items, start, step, finish)
+    return F.aggregate(F.split(run, ""), start, step, finish)
 
 
 def _allowed(found: Column) -> Column:

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -98,3 +99,23 @@ def test_secrets(spark, edge_docs, no_docs):
 def test_no_base_span_is_the_digest_of_nothing(spark):
     row = secrets.scan(spark.createDataFrame([(1, None)], "doc_id long, text string")).select(F.sha2(secrets.written(F.col("base")), 256).alias("s")).first()
     assert row.s == hashlib.sha256(b"").hexdigest()
+
+
+def test_a_run_of_a_million_characters_costs_linear_time(spark):
+    """The stretch is that of the windows taken one by one, and five times the length costs not much more than five times the time."""
+    letters = "".join(chr(c) for c in (*range(48, 58), *range(65, 91), *range(97, 123)))
+    state, run = 7, []
+    for _ in range(1_000_000):
+        state = (state * 6364136223846793005 + 1442695040888963407) % 2**64
+        run.append(letters[(state >> 33) % 62])
+    run = "a" * 300 + "".join(run)
+    frame = spark.createDataFrame([(run[:2000],), (run[:200_000],), (run,)], "run string")
+    stretch = F.when(F.length("run") > 0, secrets.hot_stretch(F.col("run"), 20, 3.6))
+    first = next(i for i in range(1000) if entropy(run[i : i + 20]) >= 3.6)
+    took = []
+    for size in (2000, 200_000, len(run)):
+        began = time.perf_counter()
+        got = frame.filter(F.length("run") == size).select(stretch.alias("s")).first().s
+        took.append(time.perf_counter() - began)
+        assert got.first == first and size - 200 < got.end <= size
+    assert took[2] < 12 * took[1] + 5
