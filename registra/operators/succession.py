@@ -115,20 +115,20 @@ def resolve_successors(starts: DataFrame, edges: DataFrame, max_depth: int = MAX
     )
 
 
-def link_profile(links: DataFrame) -> DataFrame:
-    """Volumes of the link table: two partial aggregations, the second over one row per predecessor."""
+def link_counts() -> list[Column]:
+    """Counts of one predecessor's links. Those of disjoint sets of links add up; the ends keep the lesser and greater."""
     same = F.substring(PREDECESSOR, 1, 9) == F.substring(SUCCESSOR, 1, 9)
-    per_predecessor = (
-        links.filter(F.col(PREDECESSOR).isNotNull() & F.col(SUCCESSOR).isNotNull())
-        .groupBy(PREDECESSOR)
-        .agg(
-            F.count("*").alias("links"),
-            F.count_if(same).alias("same"),
-            F.count_if(~same & is_true(F.col("continuiteEconomique"))).alias("other_continued"),
-            F.min(F.substring(SUCCESSOR, 1, 9)).alias("lowest"),
-            F.max(F.substring(SUCCESSOR, 1, 9)).alias("highest"),
-        )
-    )
+    return [
+        F.count("*").alias("links"),
+        F.count_if(same).alias("same"),
+        F.count_if(~same & is_true(F.col("continuiteEconomique"))).alias("other_continued"),
+        F.min(F.substring(SUCCESSOR, 1, 9)).alias("lowest"),
+        F.max(F.substring(SUCCESSOR, 1, 9)).alias("highest"),
+    ]
+
+
+def profile_of_counts(per_predecessor: DataFrame) -> DataFrame:
+    """Volumes of a link table from one row per predecessor."""
     several = F.col("links") > 1
     return per_predecessor.agg(
         F.coalesce(F.sum("links"), F.lit(0)).alias("links"),
@@ -140,3 +140,9 @@ def link_profile(links: DataFrame) -> DataFrame:
         F.count_if(several & (F.col("lowest") != F.col("highest"))).alias("predecessors_with_several_sirens"),
         F.coalesce(F.max("links"), F.lit(0)).alias("max_links"),
     )
+
+
+def link_profile(links: DataFrame) -> DataFrame:
+    """Volumes of the link table: two partial aggregations, the second over one row per predecessor."""
+    complete = links.filter(F.col(PREDECESSOR).isNotNull() & F.col(SUCCESSOR).isNotNull())
+    return profile_of_counts(complete.groupBy(PREDECESSOR).agg(*link_counts()))

@@ -195,7 +195,8 @@ def decide(matched: DataFrame, registry: Registry, max_depth: int = MAX_DEPTH) -
         walked = matched.withColumns({"successor_siret": nothing, "succession_outcome": nothing})
     else:
         starts = matched.filter(rules.is_closed()).select(F.col("siret_normalized").alias("siret"))
-        edges = with_successor_state(best_links(registry.links), registry.establishments)
+        best = best_links(registry.links) if registry.successors is None else registry.successors
+        edges = with_successor_state(best, registry.establishments)
         found = resolve_successors(starts, edges, max_depth).select(
             F.col("siret").alias("siret_normalized"),
             F.col("successor").alias("successor_siret"),
@@ -461,9 +462,10 @@ class ControlResult:
         if self.registry.links is None:
             return closed
         sources = decided.select(F.col("siret_lookup_key").alias(PREDECESSOR)).distinct()
-        successors = best_links(self.registry.links.join(sources, PREDECESSOR, "left_semi")).select(
-            F.col("predecessor").alias("siret_lookup_key"), F.col("successor").alias("successeur_potentiel")
-        )
+        # With published best links the join below finds the few it needs.
+        published = self.registry.successors
+        best = best_links(self.registry.links.join(sources, PREDECESSOR, "left_semi")) if published is None else published
+        successors = best.select(F.col("predecessor").alias("siret_lookup_key"), F.col("successor").alias("successeur_potentiel"))
         return closed.join(successors, "siret_lookup_key", "left")
 
     @cached_property

@@ -41,7 +41,8 @@ RANKING_FIELDS = (
 class Registry:
     """Canonical, lazy registry tables. Optional tables are None when not supplied or not usable.
 
-    `siblings` is a second copy of the ranking columns laid out by `siren`, when there is one.
+    `siblings` is a second copy of the ranking columns laid out by `siren`, when there is one. `successors` holds the best
+    link of each predecessor where a publication keeps it (`registra.operators.link_state`); runs then rank no links.
     """
 
     establishments: DataFrame
@@ -51,6 +52,7 @@ class Registry:
     resolutions: tuple[Resolution, ...] = ()
     siblings: DataFrame | None = None
     paths: RegistryPaths | None = None
+    successors: DataFrame | None = None
 
     @property
     def ranking(self) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from registra.operators import establishments as est
-from registra.operators import scoping
+from registra.operators import link_state, scoping
 from registra.operators.diff import ONLY_AFTER, ONLY_BEFORE, run_diff
 from registra.operators.history import history_slice, history_summary
 from registra.operators.profile import (
@@ -158,6 +158,27 @@ def test_link_profile(spark):
     }
 
 
+def test_link_state_merges_like_one_table(spark):
+    """Random links, ties, short and null ends: any split merges to what ranking the whole table gives."""
+    rng = random.Random(5)
+    ends = [A, B, C, D, "12", "123", "12é", None]
+    days = ["", None, "2020-01-01", "2021-05-05 "]
+    links = [(rng.choice(ends), rng.choice(ends), rng.choice(days), rng.choice(["true", "false", None])) for _ in range(300)]
+    table = lambda part: registry(spark, [row(1, 1)], links=part).links
+    whole = table(links)
+    expected = rows(best_links(whole), "predecessor", "successor")
+    assert rows(link_state.best_of(link_state.link_state(whole)), "predecessor", "successor") == expected
+    for cuts in ((0, 150), (100, 200)):
+        parts = [links[: cuts[0]], links[cuts[0] : cuts[1]], links[cuts[1] :]]
+        state = link_state.merged(*[link_state.link_state(table(p)) for p in parts])
+        assert rows(link_state.best_of(state), "predecessor", "successor") == expected
+        assert link_state.profile_of(state).first() == link_profile(whole).first()
+    corrected = [x for x in links if x[0] != A] + [(B, D, "2030-01-01", "true")]
+    changed = spark.createDataFrame([(A,), (B,), (B,), (None,)], "predecessor string")
+    after = link_state.replaced(link_state.link_state(whole), table(corrected), changed)
+    assert rows(after, "*") == rows(link_state.link_state(table(corrected)), "*")
+
+
 def test_history(spark):
     history = registry(spark, [row(1, 1)], history=[
         (A, siren(1), "2001-01-01", "2002-01-01"), (A, siren(1), "2002-01-02", None),

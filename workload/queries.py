@@ -13,9 +13,9 @@ from registra.functions import identifiers as ids
 from registra.functions import naming, similarity, text
 from registra.operators import establishments as est
 from registra.operators import history as hist
-from registra.operators import names, profile, reports, rules, scoping, succession
+from registra.operators import link_state, names, profile, reports, rules, scoping, succession
 from registra.operators.diff import run_diff
-from registra.operators.held import run_folder
+from registra.operators.held import held, run_folder
 from registra.plans.control import ControlOptions, ControlResult, identifier_keys, keys_of_type, run_control
 from registra.schema import PREDECESSOR, SUCCESSOR, filled_counts, padded_id
 from registra.sources.sinks import write_results
@@ -594,19 +594,37 @@ def resolve_successor(spark, sf):
     return blanked(succession.resolve_successors(starts, edges))
 
 
-@query(
-    "link_profile",
-    """SELECT count(*) AS links, count(*) FILTER (same) AS same_siren_links, count(*) FILTER (NOT same) AS other_siren_links,
-         count(*) FILTER (NOT same AND cont) AS other_siren_with_continuity, count(DISTINCT pred) AS predecessors,
-         (SELECT count(*) FROM (SELECT pred FROM lnk GROUP BY pred HAVING count(*) > 1)) AS predecessors_with_several_links,
-         (SELECT count(*) FROM (SELECT pred FROM lnk GROUP BY pred HAVING count(DISTINCT left(succ, 9)) > 1)) AS predecessors_with_several_sirens,
-         (SELECT max(n) FROM (SELECT count(*) AS n FROM lnk GROUP BY pred)) AS max_links
-       FROM (SELECT *, left(pred, 9) = left(succ, 9) AS same FROM lnk)""",
-)
+LINK_PROFILE = """SELECT count(*) AS links, count(*) FILTER (same) AS same_siren_links, count(*) FILTER (NOT same) AS other_siren_links,
+    count(*) FILTER (NOT same AND cont) AS other_siren_with_continuity, count(DISTINCT pred) AS predecessors,
+    (SELECT count(*) FROM (SELECT pred FROM lnk GROUP BY pred HAVING count(*) > 1)) AS predecessors_with_several_links,
+    (SELECT count(*) FROM (SELECT pred FROM lnk GROUP BY pred HAVING count(DISTINCT left(succ, 9)) > 1)) AS predecessors_with_several_sirens,
+    (SELECT max(n) FROM (SELECT count(*) AS n FROM lnk GROUP BY pred)) AS max_links
+    FROM (SELECT *, left(pred, 9) = left(succ, 9) AS same FROM lnk)"""
+
+
+@query("link_profile", LINK_PROFILE)
 def link_profile(spark, sf):
     return succession.link_profile(registry(spark, sf).links)
 
 
+def _merged_links(spark: SparkSession, sf: str) -> DataFrame:
+    """State of all links, merged from the states of an earlier publication and of the links dated since."""
+    links = registry(spark, sf).links
+    recent = F.coalesce("dateLienSuccession", F.lit("")) >= "1996-01-01"
+    before, since = (link_state.link_state(links.filter(part)) for part in (~recent, recent))
+    return link_state.merged(held(before, "links-before"), held(since, "links-since"))
+
+
+@query("best_link_merged", "SELECT pred, succ FROM best")
+def best_link_merged(spark, sf):
+    return link_state.best_of(_merged_links(spark, sf)).toDF("pred", "succ")
+
+
+@query("link_profile_merged", LINK_PROFILE)
+def link_profile_merged(spark, sf):
+    return link_state.profile_of(_merged_links(spark, sf))
+
+
 # ---- rules ------------------------------------------------------------------------------------------
 
 
