@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from registra.functions.text import date_or_null, is_true
+from registra.sources.pruned import in_ranges_of
 from registra.sources.registry import RANKING_FIELDS
 
 STATE = "etatAdministratifEtablissement"
@@ -23,12 +24,13 @@ def state_code(state: Column) -> Column:
 
 def by_siret(establishments: DataFrame, keys: DataFrame) -> DataFrame:
     """Establishments whose `siret` is in `keys` (one column `siret`)."""
-    return establishments.join(keys.select("siret").distinct(), "siret", "left_semi")
+    opened = in_ranges_of(establishments, keys, "siret")
+    return opened.join(keys.select("siret").distinct(), "siret", "left_semi")
 
 
 def by_siren(table: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of any registry table whose `siren` is in `keys` (one column `siren`)."""
-    return table.join(keys.select("siren").distinct(), "siren", "left_semi")
+    return in_ranges_of(table, keys, "siren").join(keys.select("siren").distinct(), "siren", "left_semi")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from registra.sources.pruned import in_ranges_of
+
 SUMMARY = ("historique_records_count", "historique_latest_dateDebut", "historique_latest_dateFin")
 
 
 def history_slice(history: DataFrame, sirets: DataFrame | None = None, sirens: DataFrame | None = None) -> DataFrame:
     """Periods of the given establishments; by legal unit only when no SIRET set is given."""
     if sirets is not None:
-        return history.join(sirets.select("siret").distinct(), "siret", "left_semi")
+        return in_ranges_of(history, sirets, "siret").join(sirets.select("siret").distinct(), "siret", "left_semi")
     if sirens is None:
         raise ValueError("history_slice needs SIRET or SIREN keys")
-    return history.join(sirens.select("siren").distinct(), "siren", "left_semi")
+    return in_ranges_of(history, sirens, "siren").join(sirens.select("siren").distinct(), "siren", "left_semi")
 
 
 def history_summary(history: DataFrame, key: str = "siret", has_start: bool = True, has_end: bool = True) -> DataFrame:

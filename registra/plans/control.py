@@ -42,7 +42,7 @@ from registra.operators.succession import (
 )
 from registra import schema
 from registra.schema import ESTABLISHMENT_FIELDS, LEGAL_UNIT_FIELDS, PREDECESSOR, SUCCESSOR
-from registra.sources.registry import RANKING_FIELDS, Registry
+from registra.sources.registry import Registry
 
 COUNTS = ("total_etablissements", "total_etablissements_actifs", "total_etablissements_fermes")
 ESTABLISHMENT_DATA = tuple(f for f in ESTABLISHMENT_FIELDS if f not in ("siret", "siren"))
@@ -159,7 +159,7 @@ def keys_of_type(keys: DataFrame, kind: str, name: str) -> DataFrame:
 
 def match(keys: DataFrame, registry: Registry) -> DataFrame:
     """Keys with the establishment that answers them, sibling counts, sibling choice and status."""
-    ranked = registry.establishments.select(*RANKING_FIELDS)
+    ranked = registry.narrow
     # Written: the siblings wanted and the answers both start from it.
     direct = held(one_per_siret(by_siret(ranked, keys_of_type(keys, "SIRET", "siret"))), "direct")
     wanted = direct.select("siren").unionByName(keys_of_type(keys, "SIREN", "siren"))

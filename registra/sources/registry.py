@@ -36,6 +36,9 @@ RANKING_FIELDS = (
     "dateCreationEtablissement",
 )
 
+#: Column of a copy laid out by ranges (`registra.sources.pruned`); lookups use it and drop it.
+KEY_RANGE = "key_range"
+
 
 @dataclass(frozen=True)
 class Registry:
@@ -57,7 +60,13 @@ class Registry:
     @property
     def ranking(self) -> DataFrame:
         """Ranking columns of every establishment, for lookups by `siren`."""
-        return self.establishments.select(*RANKING_FIELDS) if self.siblings is None else self.siblings
+        return self.narrow if self.siblings is None else self.siblings
+
+    @property
+    def narrow(self) -> DataFrame:
+        """Ranking columns of every establishment, with the range of a copy laid out by ranges."""
+        laid_out = [c for c in self.establishments.columns if c == KEY_RANGE]
+        return self.establishments.select(*RANKING_FIELDS, *laid_out)
 
     def missing(self, table: TableSpec) -> set[str]:
         """Canonical columns the stored table does not have."""
@@ -197,6 +206,7 @@ def read_bucketed(spark: SparkSession, tables: RegistryTables) -> Registry:
 
 
 __all__ = [
+    "KEY_RANGE",
     "RANKING_FIELDS",
     "Registry",
     "RegistryPaths",

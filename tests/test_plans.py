@@ -1,13 +1,16 @@
 """What the plans must and must not contain at scale."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from registra import ControlOptions, run_control
 from registra.functions.identifiers import check_identifiers
 from registra.operators import establishments as est
 from registra.operators import reports, scoping
 from registra.operators.held import held
+from registra.operators.history import history_slice
 from registra.operators.succession import best_links, links_touching
+from registra.sources.pruned import OTHER, RANGE, read_pruned, save_pruned
 from registra.sources.registry import Registry, read_bucketed, registry_from_frames, save_bucketed
 from tests.samples import est as row
 from tests.samples import registry, rows, siren, siret
@@ -82,6 +85,87 @@ def test_scan_reads_only_the_columns_in_use(spark, tmp_path):
     assert "EqualTo(siret" in text.split("PushedFilters")[1].splitlines()[0]
 
 
+def far(n):
+    """Numbers whose identifiers begin with different digits."""
+    return n * 1_000_000 + n
+
+
+def test_pruned_copy_opens_only_the_ranges_of_the_keys(spark, no_broadcast, tmp_path):
+    sample = registry(
+        spark, [row(far(n), k) for n in range(20) for k in (1, 2)],
+        history=[(siret(far(n), 1), siren(far(n)), "2001-01-01", None) for n in range(20)],
+    )
+    save_pruned(sample, str(tmp_path / "copy"))
+    stored = read_pruned(spark, str(tmp_path / "copy"))
+    sirets = spark.createDataFrame([(siret(far(3), 1),), (siret(far(7), 1),)], "siret string")
+    sirens = spark.createDataFrame([(siren(far(3)),), (siren(far(7)),)], "siren string")
+    for whole, cut, found in (
+        (stored.establishments, est.by_siret(stored.establishments, sirets), 2),
+        (stored.establishments, est.by_siren(stored.establishments, sirens), 4),
+        (stored.narrow, est.by_siren(stored.ranking, sirens), 4),
+        (stored.legal_units, est.by_siren(stored.legal_units, sirens), 2),
+        (stored.history, history_slice(stored.history, sirets=sirets), 2),
+        (stored.history, history_slice(stored.history, sirens=sirens), 2),
+    ):
+        assert RANGE not in cut.columns
+        assert "dynamicpruning" in plan(cut).split("PartitionFilters")[1].splitlines()[0]
+        assert cut.count() == found
+        files = whole.inputFiles()
+        wanted = [f for f in files if any(f"{RANGE}={r}/" in f for r in (siren(far(3))[:3], siren(far(7))[:3], OTHER))]
+        assert files_read(cut) == len(wanted) < len(files) / 2
+
+
+def files_read(df):
+    """Files the scans of `df` opened, once it has run."""
+    df.collect()
+    todo, count = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        metric = node.metrics().get("numFiles")
+        count += metric.get().value() if metric.isDefined() else 0
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return count
+
+
+def test_pruned_copy_gives_the_same_run(spark, tmp_path):
+    sample = registry(
+        spark, [row(far(n), k, "A" if k == 1 else "F") for n in range(20) for k in (1, 2)],
+        links=[(siret(far(1), 2), siret(far(3), 1), "2020-01-01", "true")],
+    )
+    save_pruned(sample, str(tmp_path / "copy"))
+    stored = read_pruned(spark, str(tmp_path / "copy"))
+    assert stored.history is None
+    lines = spark.createDataFrame([(str(n), siret(far(n), 2)) for n in range(5)] + [("9", siren(far(9))), ("10", "x")], "ref string, id string")
+    results = [run_control(lines, "id", r, ControlOptions(row_id="ref")).overview for r in (sample, stored)]
+    assert results[0].columns == results[1].columns
+    assert rows(results[0], *results[0].columns) == rows(results[1], *results[0].columns)
+
+
+def test_pruned_copy_keeps_odd_identifiers_and_empty_tables(spark, tmp_path):
+    fields = "siret string, siren string, etatAdministratifEtablissement string"
+    odd = [
+        ("12A45678900011", "12A456789", "A"), ("12345678900011", "999456789", "A"), ("7", None, "A"), (None, None, "A"),
+        (None, "123456789", "A"), ("12345678900029", None, "A"), ("٣٣٣", "123456789", "A"),
+    ]
+    none = spark.createDataFrame([], "siren string, denominationUniteLegale string")
+    links = spark.createDataFrame([], "siretEtablissementPredecesseur string, siretEtablissementSuccesseur string")
+    sample = registry_from_frames(spark.createDataFrame(odd, fields), none, links, pad_ids=False)
+    save_pruned(sample, str(tmp_path / "copy"))
+    stored = read_pruned(spark, str(tmp_path / "copy"))
+    assert stored.establishments.count() == len(odd) and stored.establishments.filter(F.col(RANGE) == OTHER).count() == 5
+    assert stored.legal_units.count() == 0 and stored.links.count() == 0 and stored.history is None
+    for key, lookup in (("siret", est.by_siret), ("siren", est.by_siren)):
+        for value in {r[0 if key == "siret" else 1] for r in odd} | {"555"}:
+            keys = spark.createDataFrame([(value,), (None,), (value,)], f"{key} string")
+            assert rows(lookup(stored.establishments, keys), "siret", "siren") == rows(lookup(sample.establishments, keys), "siret", "siren")
+
+
 def test_bucketed_copy_gives_the_same_without_being_shuffled(spark, no_broadcast, tmp_path):
     sample = registry(
         spark, [row(n, k, "A" if k == 1 else "F") for n in range(20) for k in (1, 2)],

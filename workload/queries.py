@@ -18,6 +18,7 @@ from registra.operators.diff import run_diff
 from registra.operators.held import held, run_folder
 from registra.plans.control import ControlOptions, ControlResult, identifier_keys, keys_of_type, run_control
 from registra.schema import PREDECESSOR, SUCCESSOR, filled_counts, padded_id
+from registra.sources.pruned import read_pruned, save_pruned
 from registra.sources.sinks import write_results
 from registra.sources.user_list import drop_blank_rows, read_user_list
 from workload.derive import registry, stage
@@ -426,6 +427,14 @@ def lookup_siret(spark, sf):
     return blanked(found.select("siret", "siren", F.col(est.STATE).alias("etat"), F.col("libelleCommuneEtablissement").alias("commune")))
 
 
+@query("pruned_lookup", "SELECT siret, siren, coalesce(etat, '') AS etat, n_name AS commune FROM etab WHERE siret IN (SELECT key FROM val WHERE type = 'SIRET')")
+def pruned_lookup(spark, sf):
+    folder = f"{run_folder(spark)}/pruned-{uuid.uuid4().hex}"
+    save_pruned(registry(spark, sf), folder)
+    found = est.by_siret(read_pruned(spark, folder).establishments, list_keys(spark, sf, "SIRET", "siret"))
+    return blanked(found.select("siret", "siren", F.col(est.STATE).alias("etat"), F.col("libelleCommuneEtablissement").alias("commune")))
+
+
 @query("siblings", "SELECT siret, siren, coalesce(etat, '') AS etat FROM etab WHERE siren IN (SELECT key FROM val WHERE type = 'SIREN')")
 def siblings(spark, sf):
     found = est.by_siren(registry(spark, sf).establishments, list_keys(spark, sf, "SIREN", "siren"))
