@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from registra.operators import establishments as est
 from registra.operators import link_state, scoping
-from registra.operators.diff import ONLY_AFTER, ONLY_BEFORE, run_diff
+from registra.operators.diff import NO_KEY, ONLY_AFTER, ONLY_BEFORE, changed_rows, run_diff, slice_digests
 from registra.operators.history import history_slice, history_summary
 from registra.operators.profile import (
     COUNTRY_TERMS, IDENTIFIER_TERMS, name_match, profile_columns, suggested_columns,
@@ -236,3 +236,50 @@ def test_run_diff(spark):
     found = {(r.status, r.column_name): r.changed_rows for r in run_diff(before, after, "id", "s").collect()}
     assert found[("a", "v")] == 1 and found[("b", "v")] == 0
     assert found[("c", ONLY_BEFORE)] == 1 and found[("c", ONLY_AFTER)] == 1
+
+
+def test_equal_runs_join_no_row(spark):
+    columns = "id long, v string, s string"
+    lines = [(i, None if i % 5 == 0 else f"v{i % 7}", None if i % 11 == 0 else f"s{i % 3}") for i in range(3_000)]
+    before = spark.createDataFrame(lines, columns)
+    again = spark.createDataFrame(lines[::-1], columns)
+    digests = slice_digests(before, again, "id", ["v", "s"], "s")
+    assert digests.filter("not equal").count() == 0
+    assert changed_rows(before, "id", digests).count() == changed_rows(again, "id", digests).count() == 0
+    found = run_diff(before, again, "id", "s").collect()
+    assert {(r.status, r.column_name) for r in found} == {(s, c) for s in (None, "s0", "s1", "s2") for c in ("v", "s", ONLY_BEFORE, ONLY_AFTER)}
+    assert all(r.changed_rows == 0 for r in found)
+    one = before.withColumn("v", F.when(F.col("id") == 77, "other").otherwise(F.col("v")))
+    digests = slice_digests(before, one, "id", ["v", "s"], "s")
+    assert 1 <= changed_rows(one, "id", digests).count() < 10
+    assert digests.filter("not equal").select("slice").distinct().count() == 1
+    assert [tuple(r) for r in run_diff(before, one, "id", "s").filter("changed_rows > 0").collect()] == [(None, "v", 1)]
+
+
+@pytest.mark.parametrize("slices", [1, 16, 65_536])
+def test_run_diff_equals_a_plain_comparison(spark, slices):
+    """Values that move between columns, nulls, equal changes in two rows, missing rows and rows without a key."""
+    rng = random.Random(slices)
+
+    def cell():
+        return rng.choice([None, "", "a", "b"])
+
+    old = {i: (cell(), cell(), rng.choice([None, "p", "q"])) for i in range(400)}
+    new = {i: v if rng.random() < 0.8 else (v[1], v[0], rng.choice([v[2], "r"])) for i, v in old.items() if rng.random() < 0.97}
+    new |= {i: (cell(), cell(), "p") for i in range(400, 420)}
+    columns = "id long, v string, `w.x` string, s string"
+    before = spark.createDataFrame([(i, *v) for i, v in old.items()] + [(None, "a", "a", "p")], columns)
+    after = spark.createDataFrame([(i, *v) for i, v in new.items()] + [(None, "a", "a", "p")], columns)
+    expected = {}
+    for i in [*(old.keys() | new.keys())]:
+        a, b = old.get(i), new.get(i)
+        status = (a and a[2]) or (b and b[2])
+        for n, name in enumerate(("v", "w.x", "s")):
+            expected[status, name] = expected.get((status, name), 0) + bool(a and b and a[n] != b[n])
+        expected[status, ONLY_BEFORE] = expected.get((status, ONLY_BEFORE), 0) + (b is None)
+        expected[status, ONLY_AFTER] = expected.get((status, ONLY_AFTER), 0) + (a is None)
+    expected["p", ONLY_BEFORE] += 1
+    expected["p", ONLY_AFTER] += 1
+    assert {(r.status, r.column_name): r.changed_rows for r in run_diff(before, after, "id", "s", slices).collect()} == expected
+    keyless = slice_digests(before, after, "id", ["v", "w.x", "s"], "s", slices).filter(F.col("slice") == NO_KEY)
+    assert [r.equal for r in keyless.collect()] == [False]

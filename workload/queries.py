@@ -868,6 +868,9 @@ def move_candidates(spark, sf):
     return blanked(control(spark, sf).move_candidates.select("row_id", "siret", F.col("successeur_potentiel").alias("successor")))
 
 
+_COMPARED = ["row_id", "siret_status", "siret_remplacement_recommande", "analysis_synthese_remplacement"]
+
+
 @query(
     "run_diff",
     f"""SELECT label AS status, changed AS column_name, CAST(count(*) FILTER (differs) AS BIGINT) AS changed_rows FROM (
@@ -881,8 +884,23 @@ def move_candidates(spark, sf):
 def run_diff_job(spark, sf):
     after = control(spark, sf)
     before = dataclasses.replace(after, options=dataclasses.replace(after.options, max_depth=1))
-    columns = ["row_id", "siret_status", "siret_remplacement_recommande", "analysis_synthese_remplacement"]
-    return run_diff(before.overview.select(*columns), after.overview.select(*columns), "row_id", "siret_status")
+    return run_diff(held(before.overview.select(*_COMPARED), "before"), held(after.overview.select(*_COMPARED), "after"), "row_id", "siret_status")
+
+
+@query(
+    "run_diff_one_row",
+    f"""SELECT {STATUS_LABEL.format('d.status')} AS status, changed AS column_name,
+          CAST(count(*) FILTER (changed = 'siret_status' AND row_id = (SELECT max(row_id) FROM dec)) AS BIGINT) AS changed_rows
+        FROM dec d CROSS JOIN (SELECT unnest(['siret_remplacement_recommande', 'analysis_synthese_remplacement', 'siret_status', '(only before)', '(only after)']) AS changed)
+        GROUP BY 1, 2""",
+)
+def run_diff_one_row(spark, sf):
+    """A run against itself with the status of its last line changed: only that line's slice is joined."""
+    before = held(control(spark, sf).overview.select(*_COMPARED), "before")
+    last = before.agg(F.max("row_id").alias("last"))
+    after = before.join(F.broadcast(last), F.col("row_id") == F.col("last"), "left")
+    status = F.when(F.col("last").isNotNull(), F.concat("siret_status", F.lit(" (changed)"))).otherwise(F.col("siret_status"))
+    return run_diff(before, held(after.withColumn("siret_status", status).drop("last"), "after"), "row_id", "siret_status")
 
 
 # ---- names and columns --------------------------------------------------------------------------------
