@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import csv
+import itertools
 import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from registra.operators.held import held
 
 DELIMITERS = ",;\t|"
 SNIFFED_LINES = 20
@@ -23,22 +28,41 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
         return ","
 
 
-def _refuse_damage(spark: SparkSession, path: str, separator: str, columns: int, multi_line: bool) -> None:
-    """Raise where reading would lose cells: rows with more cells than columns, and quotes left open by a line's end.
+def _read_csv(spark: SparkSession, path: str, has_header: bool, separator: str, multi_line: bool) -> DataFrame:
+    """Parse the list in one pass, writing it to the run's folder, and raise where the pass has lost cells.
 
-    Quoted cells are taken out first. With `multi_line` a file is one value, as it is for the reader.
+    Cells are lost by rows with more cells than columns and by quotes left open by a line's end. The reader is given one column more
+    than the list has, so that each good record counts as short and comes with its raw text: a record without it has exactly one
+    cell too many, and the others are counted with quoted cells taken out. The counts are observed while the cells are written, so
+    the files are parsed once, and a record is the largest value, also with `multi_line`.
     """
+    options = {"header": has_header, "sep": separator, "multiLine": multi_line, "escape": '"'}
+    headed = spark.read.csv(path, inferSchema=False, **options)
+    names = headed.columns
+    if not names:  # a file without any line
+        return headed
+    taken = {name.lower() for name in names}
+    more, raw = (next(n for n in (f"_{i}{kind}" for i in itertools.count()) if n not in taken) for kind in ("more", "raw"))
+    fields = T.StructType([T.StructField(n, T.StringType()) for n in (*names, more, raw)])
+    parsed = spark.read.csv(path, schema=fields, mode="PERMISSIVE", columnNameOfCorruptRecord=raw, **options)
     cut = re.escape(separator)
-    bare = F.regexp_replace("value", rf'(?m)(^|{cut})"[^"]*+(?:""[^"]*+)*+"', "$1")
-    lines = spark.read.text(path, wholetext=multi_line).select(F.explode(F.split(bare, "\r?\n")).alias("line"))
-    found = lines.agg(
-        F.count_if(F.size(F.split("line", cut, -1)) > columns).alias("wide"), F.count_if(F.col("line").rlike(rf'(?:^|{cut})"')).alias("open")
-    ).first()
+    bare = F.regexp_replace(F.regexp_replace(F.col(raw), "[\\r\\n]+$", ""), rf'(?m)(^|{cut})"[^"]*+(?:""[^"]*+)*+"', "$1")
+    damage = Observation(f"damage-{uuid.uuid4().hex}")
+    # Short columns of flags pass the observation; the text itself ends in this projection.
+    judged = parsed.select(
+        F.struct(*[F.col(f"`{n}`") for n in names]).alias("cells"),
+        # The added column is asked for too; a reader spared it would compare with the list's own columns.
+        (F.col(more).isNotNull() | F.col(raw).isNull() | (F.size(F.split(bare, cut, -1)) > len(names))).alias("wide"),
+        F.coalesce(bare.rlike(rf'(?m)(?:^|{cut})"'), F.lit(False)).alias("open"),
+    ).observe(damage, F.count_if("wide").alias("wide"), F.count_if("open").alias("open"))
+    cells = held(judged.select("cells"), "list").select("cells.*")
+    found = damage.get
     if found["open"]:
         hint = "" if multi_line else "; cells with line breaks need `multi_line=True`"
         raise ValueError(f"{path}: {found['open']} lines leave a quote open{hint}")
     if found["wide"]:
-        raise ValueError(f"{path}: {found['wide']} rows have more than {columns} cells; the delimiter read is {separator!r}")
+        raise ValueError(f"{path}: {found['wide']} rows have more than {len(names)} cells; the delimiter read is {separator!r}")
+    return cells
 
 
 def numbered_columns(df: DataFrame) -> DataFrame:
@@ -78,10 +102,7 @@ def read_user_list(
         df = stored.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in stored.columns])
     else:
         separator = delimiter or sniff_delimiter(spark, path)
-        df = spark.read.csv(
-            path, header=has_header, sep=separator, inferSchema=False, multiLine=multi_line, escape='"'
-        )
-        _refuse_damage(spark, path, separator, len(df.columns), multi_line)
+        df = _read_csv(spark, path, has_header, separator, multi_line)
         if not has_header:
             df = numbered_columns(df)
     if ignore_blank_rows:

@@ -103,7 +103,13 @@ def test_empty_list_is_refused(spark, tmp_path):
 
 @pytest.mark.parametrize(
     ("text", "problem"),
-    [("id;b\n1;a\n2;b;EXTRA\n3\n", "1 rows have more than 2 cells"), ('id;b\n1;"two\nlines"\n', "quote open.*multi_line")],
+    [
+        ("id;b\n1;a\n2;b;EXTRA\n3\n", "1 rows have more than 2 cells"),
+        ("id;b\n1;a;\n2;b;\n", "2 rows have more than 2 cells"),
+        ("id;b\n1;a;;;\n2;b;c;d\n", "2 rows have more than 2 cells"),
+        ('id;b\n"1;2";"a";"x;y"\n', "1 rows have more than 2 cells"),
+        ('id;b\n1;"two\nlines"\n', "quote open.*multi_line"),
+    ],
 )
 def test_damaged_csv_is_refused(spark, tmp_path, text, problem):
     path = tmp_path / "list.csv"
@@ -112,6 +118,33 @@ def test_damaged_csv_is_refused(spark, tmp_path, text, problem):
         read_user_list(spark, str(path), delimiter=";")
 
 
+@pytest.mark.parametrize(("text", "problem"), [('id;b\n1;"a\n2;b\n3;c\n', "1 lines leave a quote open$"), ('id;b\n1;"a\nb";c\n2;d\n', "1 rows have more")])
+def test_damaged_records_of_many_lines_are_refused(spark, tmp_path, text, problem):
+    path = tmp_path / "list.csv"
+    path.write_text(text, encoding="utf-8")
+    with pytest.raises(ValueError, match=problem):
+        read_user_list(spark, str(path), delimiter=";", multi_line=True)
+
+
+def test_list_is_parsed_once(spark, tmp_path):
+    """What is handed on reads the written cells; neither the list nor whole files as values are read again."""
+    folder = tmp_path / "list"
+    folder.mkdir()
+    for part in range(3):
+        (folder / f"{part}.csv").write_text(f"_0more;_0RAW\n{part};x\n\n;\n", encoding="utf-8")
+    listed = read_user_list(spark, str(folder), delimiter=";")
+    assert rows(listed, "_0more", "_0RAW") == [("0", "x"), ("1", "x"), ("2", "x")]
+    assert listed.inputFiles() and all(f.endswith(".parquet") for f in listed.inputFiles())
+    assert read_user_list(spark, str(folder), delimiter=";", ignore_blank_rows=False).count() == 6
+
+
+def test_file_without_lines(spark, tmp_path):
+    path = tmp_path / "list.csv"
+    path.write_text("", encoding="utf-8")
+    with pytest.raises(ValueError, match="no row left"):
+        read_user_list(spark, str(path))
+
+
 def test_unclear_delimiter_is_refused(spark, tmp_path, monkeypatch):
     def unclear(*_, **__):
         raise csv.Error
