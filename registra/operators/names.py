@@ -3,11 +3,12 @@
 The answer is the best `limit` of all names, so no score can be excluded beforehand. It is found by threshold joins:
   1. Registry rows collapse to names, with the few legal units that can matter, over all postcodes and per postcode.
   2. Some names that share a query's rarest letter sequences are scored. The score of the `limit`-th legal unit among
-     them is the query's floor: whatever scores less cannot be part of the answer.
+     them is the floor of the query and its postcode: whatever scores less cannot be part of the answer.
   3. Names with the same bytes and the same beginning share a signature, which is enough for a ceiling of the score. A floor
-     asks for so many bytes in common that, of each length of names, only those that share one of the query's rarest bytes
-     can reach it: an equi-join of signatures on (scope, length, byte with its repetition). Pairs below the floor go.
-  4. The remaining pairs of names are scored in full and ranked by a window.
+     asks for so many bytes in common that, of each length and beginning of names, only those can reach it that have one of
+     their own rarest bytes in common with the query's rarest: an equi-join of signatures. Pairs below the floor go.
+  4. The remaining pairs of names are scored in full, those with high ceilings first (`BANDS`): the best so far are kept for
+     each query, and their floor leaves less to the next band.
 The scope is everything, or a postcode, where the floor is lower by the bonus. Names without a byte in common score 0; of those
 only the lowest SIRETs can be part of an answer, and these are candidates of every query.
 """
@@ -29,6 +30,9 @@ POSTCODE_BONUS = 0.05
 # What a query's floor is taken from: so many of its rarest letter sequences, and so many names of each. Neither changes results.
 RARE_SEQUENCES = 4
 NAMES_PER_SEQUENCE = 16
+# Lower ends of the bands of ceilings that are scored one after another. They do not change results either.
+BANDS = (0.975, 0.95, -2.0)
+REPETITIONS = 1 << 20  # more than a name repeats a byte
 SLACK = 1e-6  # between a ceiling and a score
 RANKING_DIGITS = 10  # scores equal to this many digits are ties, settled by SIRET
 
@@ -96,12 +100,13 @@ def registry_places(registry: Registry, limit: int) -> DataFrame:
 
 
 def _described(names: DataFrame, name: str) -> DataFrame:
-    """`names` with `bytes` (each byte with its repetition number), `head` (the first bytes) and the `signature` of both."""
+    """`names` with `bytes` (each byte with its repetition, as a number), `head` (the first bytes) and the `signature` of both."""
     digits = F.hex(F.encode(F.col(name), "UTF-8"))
 
     def counted(each: Column) -> Column:
         def repeated(byte: Column) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.size(F.filter(each, lambda other: other == byte))), lambda i: F.concat(byte, i.cast("string")))
+            number = F.conv(byte, 16, 10).cast("int") * REPETITIONS
+            return F.transform(F.sequence(F.lit(1), F.size(F.filter(each, lambda other: other == byte))), lambda i: number + i)
 
         return F.flatten(F.transform(F.array_sort(F.array_distinct(each)), repeated))
 
@@ -110,7 +115,7 @@ def _described(names: DataFrame, name: str) -> DataFrame:
     return (
         names.withColumn("bytes", F.get(F.transform(F.array(each), counted), F.lit(0)))
         .withColumn("head", F.substring(digits, 1, 2 * PREFIX_LENGTH))
-        .withColumn("signature", F.md5(F.concat_ws("|", "head", F.concat_ws(",", "bytes"))))
+        .withColumn("signature", F.md5(F.concat_ws("|", "head", F.concat_ws(",", F.col("bytes").cast("array<string>")))))
     )
 
 
@@ -142,24 +147,49 @@ def _scored(pairs: DataFrame) -> DataFrame:
     return pairs.select("clean", "place_name", name_similarity(F.col("clean"), F.col("place_name")).alias("base"))
 
 
-def _floors(wanted: DataFrame, scored: DataFrame, holders: DataFrame, limit: int) -> DataFrame:
-    """`wanted` with `floor`, the score of the `limit`-th legal unit found so far, or -1."""
-    found = scored.join(holders, "place_name").groupBy("clean", "siren").agg(F.max("base").alias("score"))
-    order = Window.partitionBy("clean").orderBy(F.col("score").desc())
-    last = found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == limit).select("clean", F.col("score").alias("floor"))
-    return wanted.join(last, "clean", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0)))
+def _best(scored: DataFrame, distinct: DataFrame, places: DataFrame, holders: DataFrame, limit: int, known: DataFrame | None = None) -> DataFrame:
+    """(clean, zip, siren, siret, score, rank) of the best `limit` legal units among scored pairs and those `known` as such."""
+    order = [F.col("score").desc(), F.col("siret").asc()]
+    anywhere = scored.join(holders, "place_name").select("clean", "siren", "siret", F.round("base", RANKING_DIGITS).alias("score"))
+    anywhere = first_per_key(anywhere, ["clean", "siren"], order)
+    per_name = Window.partitionBy("clean").orderBy(*order)
+    anywhere = anywhere.withColumn("_rank", F.row_number().over(per_name)).filter(F.col("_rank") <= limit).drop("_rank")
+    near = (
+        scored.join(distinct.filter("zip <> ''"), "clean")
+        .join(places.withColumnRenamed("postcode", "zip"), ["place_name", "zip"])
+        .select("clean", "zip", "siren", "siret", F.round(F.least(F.lit(1.0), F.col("base") + POSTCODE_BONUS), RANKING_DIGITS).alias("score"))
+    )
+    found = anywhere.join(distinct, "clean").select("clean", "zip", "siren", "siret", "score").unionByName(near)
+    if known is not None:
+        found = found.unionByName(known.drop("rank"))
+    per_unit = first_per_key(found, ["clean", "zip", "siren"], order)
+    per_query = Window.partitionBy("clean", "zip").orderBy(*order)
+    return per_unit.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= limit)
 
 
-def _least_jaro(floor: Column) -> Column:
-    """The Jaro similarity that a score needs at least, whatever the common beginning."""
-    boost = PREFIX_LENGTH * PREFIX_WEIGHT
+def _floors(distinct: DataFrame, best: DataFrame, limit: int) -> DataFrame:
+    """`distinct` with `floor`, the score of the `limit`-th legal unit found so far, or -1."""
+    last = best.filter(F.col("rank") == limit).select("clean", "zip", F.col("score").alias("floor"))
+    return distinct.join(last, ["clean", "zip"], "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0)))
+
+
+def _least_jaro(floor: Column, same: int = PREFIX_LENGTH) -> Column:
+    """The Jaro similarity that a score needs at least with so many first bytes in common, by default the most that count."""
+    boost = same * PREFIX_WEIGHT
     boosted = (floor - boost) / (1 - boost)
     return F.when(floor <= BOOST_ABOVE, floor).otherwise(F.greatest(F.lit(BOOST_ABOVE), boosted))
 
 
-def _ceiling(common: Column, one: Column, other: Column, head: Column, other_head: Column) -> Column:
-    """Highest score of names of these lengths, with so many bytes in common and these beginnings."""
+def _ceiling(common: Column, one: Column, other: Column, head: Column, other_head: Column, crossed: Column | None = None) -> Column:
+    """Highest score of names of these lengths, with so many bytes in common and these beginnings.
+
+    `crossed`: two bytes that both names have once come in another order. Matched, they are a transposition; else one is missing.
+    """
     jaro = (common / one + common / other + 1) / 3
+    if crossed is not None:
+        swapped = (common / one + common / other + 1 - 1 / common) / 3
+        without = ((common - 1) / one + (common - 1) / other + 1) / 3
+        jaro = F.when(crossed, F.greatest(swapped, without)).otherwise(jaro)
     same = F.lit(0)
     for n in range(PREFIX_LENGTH, 0, -1):
         equal = F.substring(head, 1, 2 * n) == F.substring(other_head, 1, 2 * n)
@@ -168,36 +198,62 @@ def _ceiling(common: Column, one: Column, other: Column, head: Column, other_hea
     return F.when(jaro >= BOOST_ABOVE - SLACK, jaro + same * PREFIX_WEIGHT * (1 - jaro)).otherwise(jaro)
 
 
-def _signature_pairs(wanted: DataFrame, names: DataFrame) -> DataFrame:
-    """(scope, signature, place_signature, ceiling) of all signatures that can reach the lowest floor of theirs.
+def _alone(head: str, counted: str) -> Column:
+    """Bytes of a beginning that its name has once, in their order."""
+    first = [F.conv(F.substring(head, 1 + 2 * n, 2), 16, 10).cast("int") * REPETITIONS for n in range(PREFIX_LENGTH)]
+    there = F.slice(F.array(*first), F.lit(1), F.least(F.lit(PREFIX_LENGTH), F.size(counted)))
+    return F.filter(there, lambda byte: ~F.array_contains(F.col(counted), byte + 2))
 
-    `wanted` has (scope, signature, bytes, head, floor), `names` (scope, signature, bytes, head).
-    """
+
+def _place_signatures(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct signatures of `names` (scope, signature, bytes, head), and their bytes by rarity, one row each."""
     places = names.groupBy("scope", "signature").agg(F.first("bytes").alias("place_bytes"), F.first("head").alias("place_head"))
-    places = held(places.withColumn("place", F.monotonically_increasing_id()), "place_signatures")
-    asked = wanted.groupBy("scope", "signature").agg(F.first("bytes").alias("bytes"), F.first("head").alias("head"), F.min("floor").alias("floor"))
-    asked = held(asked.withColumn("query", F.monotonically_increasing_id()), "query_signatures")
+    places = places.withColumn("place", F.monotonically_increasing_id()).withColumn("place_alone", _alone("place_head", "place_bytes"))
+    places = held(places, "place_signatures")
     # One row for each byte with its repetition; lengths of names are few, whatever their number.
-    postings = places.select("scope", "place", F.size("place_bytes").alias("length"), F.explode("place_bytes").alias("byte"))
-    often = postings.groupBy("byte").agg(F.count("*").alias("names"))
-    lengths = sorted(r["n"] for r in places.select(F.size("place_bytes").alias("n")).distinct().filter("n > 0").collect())
-    rarity = asked.select("query", "scope", F.size("bytes").alias("own"), "floor", F.explode("bytes").alias("byte")).join(often, "byte", "left")
+    bytes_ = places.select("scope", "place", "place_head", F.size("place_bytes").alias("length"), F.explode("place_bytes").alias("byte"))
+    often = bytes_.groupBy("byte").agg(F.count("*").alias("names"))
+    by_rarity = Window.partitionBy("place").orderBy("names", "byte")
+    return places, held(bytes_.join(often, "byte").withColumn("place_rank", F.row_number().over(by_rarity)), "postings")
+
+
+def _signature_pairs(wanted: DataFrame, places: DataFrame, postings: DataFrame, low: float, high: float) -> DataFrame:
+    """(scope, signature, place_signature, ceiling) of all signatures that can reach the lowest floor of theirs, with a ceiling from `low` to below `high`.
+
+    `wanted` has (scope, signature, bytes, head, floor).
+    """
+    asked = wanted.groupBy("scope", "signature").agg(F.first("bytes").alias("bytes"), F.first("head").alias("head"), F.min("floor").alias("floor"))
+    asked = asked.filter(F.col("floor") - SLACK < high).withColumn("query", F.monotonically_increasing_id())
+    asked = held(asked.withColumn("alone", _alone("head", "bytes")).withColumn("aim", F.greatest("floor", F.lit(low))), "query_signatures")
+    often = postings.select("byte", "names").distinct()
+    lengths = sorted(r["length"] for r in postings.select("length").distinct().collect())
+    rarity = asked.select("query", "scope", "head", F.size("bytes").alias("own"), "aim", F.explode("bytes").alias("byte")).join(often, "byte", "left")
     by_rarity = Window.partitionBy("query").orderBy(F.coalesce("names", F.lit(0)), "byte")
     ranked = rarity.withColumn("rank", F.row_number().over(by_rarity)).filter("names IS NOT NULL")
-    own, other = F.col("own"), F.col("length")
-    needed = (3 * _least_jaro(F.col("floor") - SLACK) - 1) * own * other / (own + other)
-    least = F.greatest(F.lit(1), F.ceil(needed - SLACK)).cast("int")
+    own, other, sames = F.col("own"), F.col("length"), range(PREFIX_LENGTH + 1)
+
+    def least(same: int) -> Column:
+        needed = (3 * _least_jaro(F.col("aim") - SLACK, same) - 1) * own * other / (own + other)
+        return F.greatest(F.lit(1), F.ceil(needed - SLACK)).cast("int")
+
+    # A pair is met by the number of first bytes it has in common: the more, the fewer bytes it needs elsewhere.
+    asks = F.explode(F.array(*[F.struct(F.lit(n).alias("same"), F.substring("head", 1, 2 * n).alias("start"), least(n).alias("least")) for n in sames]))
     probes = (
-        ranked.select("query", "scope", "own", "floor", "byte", "rank", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("length"))
-        .withColumn("least", least)
-        .filter((F.col("least") <= other) & (F.col("rank") <= own - F.col("least") + 1))
-        .select("query", "scope", "length", "byte")
+        ranked.select("*", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("length"))
+        .select("query", "scope", "own", "byte", "rank", "length", asks.alias("ask"))
+        .select("query", "scope", "own", "byte", "rank", "length", "ask.*")
+        .filter((F.col("least") <= F.least(own, other)) & (F.col("rank") <= own - F.col("least") + 1))
+        .select("query", "scope", "length", "byte", "same", "start", "least")
     )
-    met = probes.join(postings, ["scope", "length", "byte"]).select("query", "place").distinct()
-    both = met.join(asked, "query").join(places.drop("scope").withColumnRenamed("signature", "place_signature"), "place")
+    starts = F.explode(F.array(*[F.struct(F.lit(n).alias("same"), F.substring("place_head", 1, 2 * n).alias("start")) for n in sames]))
+    filed = postings.select("scope", "place", "length", "byte", "place_rank", starts.alias("at")).select("scope", "place", "length", "byte", "place_rank", "at.*")
+    met = probes.join(filed, ["scope", "length", "byte", "same", "start"]).filter(F.col("place_rank") <= other - F.col("least") + 1)
+    both = met.select("query", "place").distinct().join(asked, "query").join(places.drop("scope").withColumnRenamed("signature", "place_signature"), "place")
     common = F.size(F.array_intersect("bytes", "place_bytes"))
-    reach = _ceiling(common, F.size("bytes"), F.size("place_bytes"), F.col("head"), F.col("place_head"))
-    return both.withColumn("ceiling", reach).filter(F.col("ceiling") >= F.col("floor") - SLACK).select("scope", "signature", "place_signature", "ceiling")
+    crossed = F.array_intersect("alone", "place_alone") != F.array_intersect("place_alone", "alone")
+    reach = _ceiling(common, F.size("bytes"), F.size("place_bytes"), F.col("head"), F.col("place_head"), crossed)
+    both = both.withColumn("ceiling", reach).filter((F.col("ceiling") >= F.greatest(F.col("floor") - SLACK, F.lit(low))) & (F.col("ceiling") < high))
+    return both.select("scope", "signature", "place_signature", "ceiling")
 
 
 def _lowest(holders: DataFrame, limit: int) -> list[str]:
@@ -206,37 +262,53 @@ def _lowest(holders: DataFrame, limit: int) -> list[str]:
     return [r["name"] for r in per_unit.orderBy("first.siret").limit(limit).select(F.col("first.place_name").alias("name")).collect()]
 
 
-def compared_names(distinct: DataFrame, places: DataFrame, holders: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Floors of the names asked for, and (clean, place_name, base) of every pair that can be part of an answer.
-
-    `distinct` has (clean, zip), `places` those of `registry_places`, `holders` up to `limit` legal units of each name.
-    """
+def _searched(distinct: DataFrame, places: DataFrame, holders: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The best of each query (`_best`), and (clean, place_name, base) of every pair that was compared for it."""
     known = held(_described(holders.select("place_name").distinct(), "place_name"), "known_names")
     wanted = held(_described(distinct.select("clean").distinct(), "clean"), "wanted_names")
-    first = held(_scored(_first_pairs(wanted, known)), "first_pairs")
-    floors = held(_floors(wanted, first, holders, limit), "floors")
-
     everything = F.lit("")
-    there = places.filter("postcode <> ''").select("place_name", F.col("postcode").alias("scope")).distinct()
     near = distinct.filter("zip <> ''").select("clean", F.col("zip").alias("scope"))
-    asked = floors.withColumn("scope", everything).unionByName(floors.join(near, "clean").withColumn("floor", F.col("floor") - POSTCODE_BONUS))
-    given = known.withColumn("scope", everything).unionByName(known.join(there, "place_name"))
-    reached = held(_signature_pairs(asked, given), "signature_pairs")
-    pairs = (
-        reached.join(asked.select("scope", "signature", "clean", "floor"), ["scope", "signature"])
-        .filter(F.col("ceiling") >= F.col("floor") - SLACK)
-        .join(given.select("scope", F.col("signature").alias("place_signature"), "place_name"), ["scope", "place_signature"])
-        .select("clean", "place_name")
-    )
+    first = _first_pairs(wanted, known)
     # Nothing in common: the lowest SIRETs of all, and of the postcode.
     lowest = F.array(*[F.lit(name) for name in _lowest(holders, limit)]).cast("array<string>")
-    pairs = pairs.unionByName(wanted.select("clean", F.explode(lowest).alias("place_name")))
+    first = first.unionByName(wanted.select("clean", F.explode(lowest).alias("place_name")))
     in_zip = Window.partitionBy("postcode").orderBy("siret")
     first_there = places.filter("postcode <> ''").groupBy("postcode", "siren").agg(F.min(F.struct("siret", "place_name")).alias("first"))
     first_there = first_there.select("postcode", "first.siret", "first.place_name").withColumn("_rank", F.row_number().over(in_zip)).filter(F.col("_rank") <= limit)
-    pairs = pairs.unionByName(near.join(first_there.select(F.col("postcode").alias("scope"), "place_name"), "scope").select("clean", "place_name"))
-    rest = pairs.distinct().join(first.select("clean", "place_name"), ["clean", "place_name"], "left_anti")
-    return floors.select("clean", "floor"), held(first.unionByName(_scored(rest)), "scored_names")
+    first = first.unionByName(near.join(first_there.select(F.col("postcode").alias("scope"), "place_name"), "scope").select("clean", "place_name"))
+    scored = held(_scored(first.distinct()), "first_pairs")
+    best = held(_best(scored, distinct, places, holders, limit), "best")
+
+    there = places.filter("postcode <> ''").select("place_name", F.col("postcode").alias("scope")).distinct()
+    given = known.withColumn("scope", everything).unionByName(known.join(there, "place_name"))
+    signatures, postings = _place_signatures(given)
+    high = 2.0
+    for low in BANDS:
+        floors = _floors(distinct, best, limit)
+        anywhere = floors.groupBy("clean").agg(F.min("floor").alias("floor")).withColumn("scope", everything)
+        there = floors.filter("zip <> ''").select("clean", (F.col("floor") - POSTCODE_BONUS).alias("floor"), F.col("zip").alias("scope"))
+        asked = held(wanted.join(anywhere.unionByName(there), "clean"), "asked")
+        reached = held(_signature_pairs(asked, signatures, postings, low, high), "signature_pairs")
+        pairs = (
+            reached.join(asked.select("scope", "signature", "clean", "floor"), ["scope", "signature"])
+            .filter(F.col("ceiling") >= F.col("floor") - SLACK)
+            .join(given.select("scope", F.col("signature").alias("place_signature"), "place_name"), ["scope", "place_signature"])
+            .select("clean", "place_name")
+            .distinct()
+        )
+        more = held(_scored(pairs), "scored_names")
+        best = held(_best(more, distinct, places, holders, limit, best), "best")
+        scored, high = scored.unionByName(more), low
+    return best, scored
+
+
+def compared_names(distinct: DataFrame, places: DataFrame, holders: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Floors of the names asked for, and (clean, place_name, base) of every pair that can be part of an answer.
+
+    `distinct` has (clean, zip), `places` those of `registry_places`, `holders` up to `limit` legal units of each name.
+    """
+    best, scored = _searched(distinct, places, holders, limit)
+    return _floors(distinct, best, limit).groupBy("clean").agg(F.min("floor").alias("floor")), scored.distinct()
 
 
 def search_names(queries: DataFrame, registry: Registry, limit: int = 3) -> DataFrame:
@@ -246,27 +318,7 @@ def search_names(queries: DataFrame, registry: Registry, limit: int = 3) -> Data
     holders = places.groupBy("place_name", "siren").agg(F.min("siret").alias("siret"))
     holders = held(holders.withColumn("_rank", F.row_number().over(per_name)).filter(F.col("_rank") <= limit).drop("_rank"), "holders")
     distinct = held(queries.select("clean", "zip").distinct(), "names")
-    floors, scored = compared_names(distinct, places, holders, limit)
-
-    order = [F.col("score").desc(), F.col("siret").asc()]
-    hopeful = scored.join(floors, "clean")
-    anywhere = hopeful.filter(F.col("base") >= F.col("floor") - SLACK).join(holders, "place_name")
-    anywhere = anywhere.select("clean", "siren", "siret", F.round("base", RANKING_DIGITS).alias("score"))
-    anywhere = first_per_key(anywhere, ["clean", "siren"], order)
-    best = Window.partitionBy("clean").orderBy(*order)
-    anywhere = anywhere.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= limit).drop("_rank")
-    near = (
-        hopeful.filter(F.col("base") + POSTCODE_BONUS >= F.col("floor") - SLACK)
-        .join(distinct.filter("zip <> ''"), "clean")
-        .join(places.withColumnRenamed("postcode", "zip"), ["place_name", "zip"])
-        .select("clean", "zip", "siren", "siret", F.round(F.least(F.lit(1.0), F.col("base") + POSTCODE_BONUS), RANKING_DIGITS).alias("score"))
-    )
-    candidates = anywhere.join(distinct, "clean").select("clean", "zip", "siren", "siret", "score").unionByName(near)
-    per_unit = first_per_key(candidates, ["clean", "zip", "siren"], order)
-    ranked = per_unit.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("clean", "zip").orderBy(*order))
-    ).filter(F.col("rank") <= limit)
-    ranked = held(ranked.select("clean", "zip", "rank", "siret", "score"), "ranked")
+    ranked, _ = _searched(distinct, places, holders, limit)
 
     shown = by_siret(registry.establishments, ranked).select(
         "siret", "siren", "denominationUsuelleEtablissement", "enseigne1Etablissement", *SHORT_ADDRESS

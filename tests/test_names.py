@@ -146,3 +146,40 @@ def test_few_pairs_are_compared(spark):
     distinct = spark.createDataFrame([(name, "") for name in set(asked)], "clean string, zip string")
     _, scored = names.compared_names(distinct, frame, frame.select("place_name", "siren", "siret"), 3)
     assert scored.count() < 0.1 * len(set(asked)) * len(known)
+
+
+def numbered_names(count):
+    """Names that differ in a few digits only, as numbered ones do, and the same with two letters swapped."""
+    known = [f"CUSTOMER#{n:06d}" for n in range(count)]
+    return known, [name[:2] + name[3] + name[2] + name[4:] for name in known[::7]]
+
+
+def test_numbered_names_leave_few_pairs(spark):
+    known, asked = numbered_names(3000)
+    table = [(name, f"{i % 5}", f"{i:09d}", f"{i:014d}") for i, name in enumerate(known)]
+    frame = spark.createDataFrame(table, "place_name string, postcode string, siren string, siret string")
+    distinct = spark.createDataFrame([(q, f"{i % 5}" if i % 2 else "") for i, q in enumerate(asked)], "clean string, zip string")
+    floors, scored = names.compared_names(distinct, frame, frame.select("place_name", "siren", "siret"), 3)
+    pairs = [tuple(r) for r in scored.select("clean", "place_name").collect()]
+    assert len(pairs) < 0.05 * len(asked) * len(known)
+    met = {}
+    for clean, place in pairs:
+        met.setdefault(clean, set()).add(place)
+    for i, query in enumerate(asked[:60]):
+        scores = similarities(np.array([query] * len(known), dtype=object), np.array(known, dtype=object))
+        zip_code = f"{i % 5}" if i % 2 else ""
+        total = [round(min(1.0, s + (names.POSTCODE_BONUS if row[1] == zip_code else 0.0)), names.RANKING_DIGITS) for s, row in zip(scores, table)]
+        expected = sorted(zip([-t for t in total], [row[3] for row in table], known))[:3]
+        assert all(name in met[query] for _, _, name in expected), query
+
+
+def test_ceilings_know_bytes_in_another_order(spark):
+    pairs = spark.createDataFrame(list(zip(random_names(3000, 3, "ABCDEFGHIJ"), random_names(3000, 4, "ABCDEFGHIJ"))), "one string, other string")
+    described = names._described(names._described(pairs, "one").toDF("one", "other", "a", "head_a", "sig_a"), "other")
+    described = described.withColumn("alone_a", names._alone("head_a", "a")).withColumn("alone", names._alone("head", "bytes"))
+    common = F.size(F.array_intersect("a", "bytes"))
+    crossed = F.array_intersect("alone_a", "alone") != F.array_intersect("alone", "alone_a")
+    ceiling = names._ceiling(common, F.size("a"), F.size("bytes"), F.col("head_a"), F.col("head"), crossed)
+    found = described.filter("one <> '' AND other <> ''").withColumn("score", names.name_similarity(F.col("one"), F.col("other")))
+    checked = found.select((ceiling >= F.col("score") - names.SLACK).alias("high"), crossed.alias("crossed")).collect()
+    assert all(r.high for r in checked) and sum(r.crossed for r in checked) > 100
