@@ -33,6 +33,7 @@ _STEP, _NEW = 4, 3
 #: Scale of cumulative frequencies (bits), of chances, and of log-odds (units of 1/256).
 _TOTAL, _ONE, _EDGE = 15, 1 << 16, 2047
 _LEARN = 9
+_ROWS = 256
 _SQUASH = np.array([round(_ONE / (1 + math.exp(-x / 256))) for x in range(-_EDGE, _EDGE + 1)], dtype=np.int64)
 #: Class of a frequency: its length in bits.
 _CLASS = np.array([min(15, x.bit_length()) for x in range(1 << 16)], dtype=np.int64)
@@ -43,7 +44,8 @@ class _Model:
 
     def __init__(self, lanes: int, steps: int) -> None:
         self.lanes, self.lane = lanes, np.arange(lanes, dtype=np.int64)
-        self.rows = 1 << (steps + 1).bit_length()
+        # One more than a block has ids: places go up to their number.
+        self.rows = 1 << steps.bit_length()
         self.count = np.zeros((self.rows, lanes), dtype=np.uint16)
         self.count[0] = _NEW
         self.upto = np.full((self.rows + 1, lanes), (1 << 16) - 1, dtype=np.uint16)
@@ -67,7 +69,10 @@ class _Model:
         upto = np.cumsum(self.count[:used, :active], axis=0, dtype=np.uint16)
         # Divided last: a block's own top is exact, whatever the others have seen.
         self.upto[0, :active] = 0
-        self.upto[1:used, :active] = upto[:-1] * float(1 << _TOTAL) / upto[-1]
+        # A part of the rows at a time, for the sake of the wide numbers in between.
+        for low in range(0, used - 1, _ROWS):
+            high = min(used - 1, low + _ROWS)
+            self.upto[low + 1 : high + 1, :active] = upto[low:high] * float(1 << _TOTAL) / upto[-1]
         self.upto[used, :active] = 1 << _TOTAL
         self.half = 1 << (used.bit_length() - 1)
 
@@ -140,13 +145,17 @@ class _Encoder:
         """All digits, block after block, and the number of each block's."""
         every = np.arange(len(self.low), dtype=np.uint16)
         lanes = np.concatenate([*self.lanes, every, every, every])
-        digits = np.concatenate([*self.digits, self.low >> 32, self.low >> 16 & 0xFFFF, self.low & 0xFFFF])
+        tail = [x.astype(np.uint32) for x in (self.low >> 32, self.low >> 16 & 0xFFFF, self.low & 0xFFFF)]
+        digits = np.concatenate([*self.digits, *tail])
+        self.lanes, self.digits = [], []
+        counts = np.bincount(lanes, minlength=len(every))
         digits = digits[np.argsort(lanes, kind="stable")]
-        while (digits > 0xFFFF).any():
-            carry = digits >> 16
-            digits &= 0xFFFF
-            digits[:-1] += carry[1:]
-        return digits.astype("<u2"), np.bincount(lanes, minlength=len(every))
+        del lanes
+        while (over := np.flatnonzero(digits > 0xFFFF)).size:
+            carry = digits[over] >> 16
+            digits[over] &= 0xFFFF
+            digits[over - 1] += carry
+        return digits.astype("<u2"), counts
 
 
 def encode(ids: np.ndarray, lengths: np.ndarray) -> list[tuple[int, bytes]]:
@@ -196,6 +205,8 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> list[tuple[int, bytes]]:
             place[new] = model.add(new)
             place_of[own.take(new)] = place.take(new)
         model.learn(active, chance, hit, place)
+    # The tables are the larger part of what is held here.
+    del model, place_of, numbers, number, own, place
     digits, counts = coder.finish()
     cuts = np.cumsum(counts)
     narrow = ids.astype("<u2")

@@ -34,7 +34,7 @@ from registra.llm.words import WHITE_SPACE, Words, find_words, text_slices
 from registra.operators.held import held, run_folder
 
 #: Ids of one group at most, and of one file about.
-GROUP_IDS = 2048 * context_coder.BLOCK
+GROUP_IDS = 1024 * context_coder.BLOCK
 FILE_IDS = 1 << 23
 #: Words remembered by a task; beyond that it starts a new table, which only costs time.
 REMEMBERED = 1 << 21
@@ -287,11 +287,13 @@ def write_files(tokens: DataFrame, folder: str) -> DataFrame:
                 continue
             if writer is None:
                 writer, first = _Writer(home), batch.select(["doc_id", "place", "at"]).slice(0, 1).to_pylist()[0]
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype="<u2").astype(np.uint16)
-            key = batch.column("doc_id")
-            counts = batch.column("n_tokens").to_numpy()
-            writer.add(ids, key.fill_null(0).to_numpy(), key.is_null().to_numpy(zero_copy_only=False), counts)
-            n += int(counts.sum())
+            for low in range(0, batch.num_rows, 1000):
+                rows = batch.slice(low, 1000)
+                ids = np.frombuffer(b"".join(rows.column("ids").to_pylist()), dtype="<u2").astype(np.uint16)
+                key = rows.column("doc_id")
+                counts = rows.column("n_tokens").to_numpy()
+                writer.add(ids, key.fill_null(0).to_numpy(), key.is_null().to_numpy(zero_copy_only=False), counts)
+                n += int(counts.sum())
         if writer is not None:
             writer.close()
             kind = pa.struct([("doc_id", pa.int64()), ("place", pa.int64()), ("at", pa.int64())])

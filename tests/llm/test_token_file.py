@@ -1,6 +1,7 @@
 """Token files: blocks, groups and files against plain copies of their ids."""
 
 import io
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -105,3 +106,16 @@ def test_edge_cases(spark, edge_docs, edge_rows, no_docs):
 def test_query(spark, documents):
     rows = sorted((r.doc_id, r.text) for r in documents.select("doc_id", "text").collect())
     assert sorted(tuple(r) for r in JOBS["op11_token_file"](spark, SF).collect()) == sorted(expected(rows))
+
+
+def test_a_group_is_coded_in_little_memory():
+    """Tables of a full group and what its digits are gathered in stay small next to an executor's memory."""
+    ids = skewed(token_file.GROUP_IDS, 40000).astype(np.uint16)
+    lengths = context_coder.block_lengths(len(ids))
+    tracemalloc.start()
+    try:
+        coded = context_coder.encode(ids, lengths)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(coded) == len(lengths) and peak < 200 << 20
