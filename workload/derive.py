@@ -53,29 +53,39 @@ def _sirens(spark: SparkSession, sf: str) -> DataFrame:
 def establishments(spark: SparkSession, sf: str) -> DataFrame:
     orders = source(spark, sf, "orders")
     nations = spark.read.parquet(f"{sf}/nation.parquet")
-    numbered = orders.withColumn(
-        "rn", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    in_order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    numbered = (
+        orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+        .withColumn("rn", F.row_number().over(in_order))
+        # The neighbours of an order among those of its customer, which links and the list refer to.
+        .withColumn("previous", F.lag("o_orderkey").over(in_order))
+        .withColumn("following", F.lead(F.struct("o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority")).over(in_order))
     )
     joined = numbered.join(_sirens(spark, sf), F.col("o_custkey") == F.col("c_custkey")).join(
         nations, F.col("c_nationkey") == F.col("n_nationkey")
     )
     key = F.col("o_orderkey")
     created = F.col("o_orderdate").cast("date")
-    state = (
-        F.when(key % 50 == 7, F.lit(None))
-        .when(F.col("o_custkey") % 7 == 0, "F")
-        .when(F.col("o_orderstatus") == "O", "A")
-        .otherwise("F")
-    )
-    short = F.lpad(F.col("rn").cast("string"), 4, "0")
+
+    def state(key: Column, order_status: Column) -> Column:
+        return (
+            F.when(key % 50 == 7, F.lit(None))
+            .when(F.col("o_custkey") % 7 == 0, "F")
+            .when(order_status == "O", "A")
+            .otherwise("F")
+        )
+
+    def siret(number: Column) -> Column:
+        body = F.concat("siren", F.lpad(number.cast("string"), 4, "0"))
+        return F.concat(body, check_digit(body, 13))
+
     street = F.when(key % 40 == 0, "[ND]").when(key % 40 == 20, "[ nd ]").otherwise(F.col("o_orderpriority"))
     return (
-        joined.withColumn("_p", F.concat("siren", short))
-        .withColumn("siret", F.concat("_p", check_digit(F.col("_p"), 13)))
+        joined.withColumn("siret", siret(F.col("rn")))
         .select(
             "o_orderkey", "o_custkey", "rn", "siren", "siret", "o_orderpriority", "c_nationkey", "n_name",
             F.substring("siret", 10, 5).alias("nic"),
-            state.alias("etat"),
+            state(key, F.col("o_orderstatus")).alias("etat"),
             ((F.col("rn") == 1) & (F.col("o_custkey") % 11 != 0)).alias("siege"),
             created.cast("string").alias("creation"),
             F.when(key % 9 != 4, F.trunc(created, "year").cast("string")).alias("debut"),
@@ -84,6 +94,11 @@ def establishments(spark: SparkSession, sf: str) -> DataFrame:
             street.alias("voie"),
             F.lpad((F.col("c_nationkey") * 100 + F.col("rn") % 3).cast("string"), 5, "0").alias("cp"),
             F.when(key % 13 == 0, F.concat(F.lit("ENSEIGNE "), F.col("c_mktsegment"))).alias("enseigne"),
+            F.when(F.col("previous").isNotNull(), siret(F.col("rn") - 1)).alias("previous_siret"),
+            F.when(F.col("following").isNotNull(), siret(F.col("rn") + 1)).alias("next_siret"),
+            state(F.col("following.o_orderkey"), F.col("following.o_orderstatus")).alias("next_etat"),
+            F.col("following.o_orderdate").cast("date").cast("string").alias("next_creation"),
+            F.col("following.o_orderpriority").alias("next_priority"),
         )
     )
 
@@ -110,35 +125,32 @@ def legal_units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def links(etab: DataFrame) -> DataFrame:
-    closed = F.col("p.etat") == "F"
-    p, s = etab.alias("p"), etab.alias("s")
-    next_one = (F.col("s.siren") == F.col("p.siren")) & (F.col("s.rn") == F.col("p.rn") + 1)
-    date = F.when(F.col("p.o_orderkey") % 19 == 0, "").otherwise(F.col("s.creation"))
-    forward = p.join(s, next_one).filter(closed)
-    urgent = F.col("p.o_orderpriority").isin("1-URGENT", "2-HIGH")
+    closed = F.col("etat") == "F"
+    date = F.when(F.col("o_orderkey") % 19 == 0, "").otherwise(F.col("next_creation"))
+    # No first order of a customer follows another one, so the next establishment is never a head office.
+    forward = etab.filter(closed & F.col("next_siret").isNotNull())
     columns = lambda pred, succ, day, kept, head: [
         pred.alias("siretPredecesseur"), succ.alias("siretSuccesseur"), day.alias("dateLienSuccession"),
         head.alias("transfereSiege"), kept.alias("continuiteEconomique"),
     ]
-    own = forward.select(*columns(F.col("p.siret"), F.col("s.siret"), date, F.col("p.o_orderkey") % 2 == 0, F.col("s.siege")))
-    across = (
-        p.join(s, F.col("s.o_orderkey") == F.col("p.o_orderkey") + 1)
-        .filter(closed & urgent)
-        .select(*columns(F.col("p.siret"), F.col("s.siret"), F.col("s.creation"), F.lit(True), F.col("s.siege")))
+    no = F.lit(False)
+    own = forward.select(*columns(F.col("siret"), F.col("next_siret"), date, F.col("o_orderkey") % 2 == 0, no))
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    p = etab.filter(closed & urgent).select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.col("siret").alias("pred"))
+    across = p.join(etab.select("o_orderkey", "siret", "creation", "siege"), "o_orderkey").select(
+        *columns(F.col("pred"), F.col("siret"), F.col("creation"), F.lit(True), F.col("siege"))
     )
-    back = forward.filter((F.col("s.etat") == "F") & (F.col("s.o_orderpriority") == "5-LOW")).select(
-        *columns(F.col("s.siret"), F.col("p.siret"), F.col("s.creation"), F.lit(False), F.lit(False))
+    back = forward.filter((F.col("next_etat") == "F") & (F.col("next_priority") == "5-LOW")).select(
+        *columns(F.col("next_siret"), F.col("siret"), F.col("next_creation"), no, no)
     )
-    gone = (
-        p.filter(closed & (F.col("p.rn") == 3))
-        .select(*columns(F.col("p.siret"), F.concat(F.col("p.siren"), F.lit("99999")), F.lit("2030-01-01"), F.lit(False), F.lit(False)))
+    gone = etab.filter(closed & (F.col("rn") == 3)).select(
+        *columns(F.col("siret"), F.concat("siren", F.lit("99999")), F.lit("2030-01-01"), no, no)
     )
     return own.unionByName(across).unionByName(back).unionByName(gone)
 
 
 def user_list(etab: DataFrame) -> DataFrame:
     siret, key = F.col("siret"), F.col("o_orderkey")
-    previous = F.lag("siret").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     v = key % 10
     spaced = F.concat(
         F.lit("SIRET "), F.substring(siret, 1, 3), F.lit(" "), F.substring(siret, 4, 6), F.lit("-"), F.substring(siret, 10, 5)
@@ -153,7 +165,7 @@ def user_list(etab: DataFrame) -> DataFrame:
         .when(v == 6, "00000")
         .when(v == 7, F.concat(siret, F.lit(".0")))
         .when(v == 8, "804172633")
-        .otherwise(F.coalesce(previous, siret))
+        .otherwise(F.coalesce("previous_siret", siret))
     )
     countries = ("FR", "France", "DE", "", "0", "FRA")
     country = F.element_at(F.array(*[F.lit(c) for c in countries]), (key % 6 + 1).cast("int"))
@@ -209,10 +221,10 @@ def stage(spark: SparkSession, sf: str) -> Staged:
     units.drop("c_custkey", "c_nationkey").write.mode("overwrite").parquet(f"{root}/stockunitelegale")
     name_list(units).write.mode("overwrite").parquet(f"{root}/names.parquet")
     links(etab).write.mode("overwrite").parquet(f"{root}/links")
-    lines = source(spark, sf, "lineitem")
+    lines = source(spark, sf, "lineitem").select("l_orderkey", "l_linestatus", "l_shipdate")
     ship = F.col("l_shipdate").cast("date")
-    lines.join(etab.select("o_orderkey", "siret", "siren"), F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "siret", "siren", ship.cast("string").alias("dateDebut"),
+    lines.join(etab.select("o_orderkey", "siret"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "siret", F.substring("siret", 1, 9).alias("siren"), ship.cast("string").alias("dateDebut"),
         F.when(F.col("l_linestatus") != "O", F.date_add(ship, 30).cast("string")).alias("dateFin"),
     ).write.mode("overwrite").parquet(f"{root}/history")
     listed = user_list(etab)
