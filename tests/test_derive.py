@@ -3,7 +3,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from registra.functions.identifiers import luhn_valid
 from workload import derive
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -26,3 +28,14 @@ def test_links_and_list_shuffle_establishments_once(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert derive.links(etab).filter("siretSuccesseur IS NULL OR siretPredecesseur IS NULL").isEmpty()
+
+
+def test_sirets_take_the_customers_part_of_the_check_digit_once(spark, tmp_path):
+    frame = derive.establishments(spark, SF)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    # Digits of the legal unit are taken below the join with its orders, where a customer has one row.
+    above = plan[: plan.index("Join Inner")]
+    assert "siren_sum" in above
+    assert "substring(siren" not in above and "cast(siren" not in above and "substring(concat" not in above
+    numbers = frame.select(F.explode(F.array("siret", "previous_siret", "next_siret")).alias("number")).filter("number IS NOT NULL")
+    assert numbers.filter(~luhn_valid(F.col("number")) | (F.length("number") != 14)).isEmpty()

@@ -34,20 +34,28 @@ def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def _luhn_sum(number: Column, length: int, after: int) -> Column:
+    """What a number of so many digits adds to the Luhn sum of one in which `after` more follow them."""
+    digits = [(number / 10 ** (length - i)).cast("int") % 10 for i in range(1, length + 1)]
+    doubled = [(length - i + after) % 2 for i in range(1, length + 1)]
+    return reduce(add, [d * 2 - (d > 4).cast("int") * 9 if twice else d for d, twice in zip(digits, doubled)])
+
+
+def _closing_digit(luhn_sum: Column) -> Column:
+    return F.pmod(10 - luhn_sum % 10, F.lit(10)).cast("string")
+
+
 def check_digit(body: Column, length: int) -> Column:
     """Last digit that makes an identifier pass the Luhn key."""
-    terms = []
-    for i in range(1, length + 1):
-        digit = F.substring(body, i, 1).cast("int")
-        doubled = 2 * digit - F.when(digit > 4, 9).otherwise(0)
-        terms.append(doubled if (length - i) % 2 == 0 else digit)
-    return F.pmod(10 - reduce(add, terms) % 10, F.lit(10)).cast("string")
+    return _closing_digit(_luhn_sum(body.cast("long"), length, 1))
 
 
 def _sirens(spark: SparkSession, sf: str) -> DataFrame:
     customers = source(spark, sf, "customer")
     body = (F.lit(30000000) + F.col("c_custkey")).cast("string")
-    return customers.withColumn("_b", body).withColumn("siren", F.concat("_b", check_digit(F.col("_b"), 8))).drop("_b")
+    numbered = customers.withColumn("_b", body).withColumn("siren", F.concat("_b", check_digit(F.col("_b"), 8))).drop("_b")
+    # Taken once a customer: five more digits follow in each SIRET.
+    return numbered.withColumn("siren_sum", _luhn_sum(F.col("siren").cast("long"), 9, 5))
 
 
 def establishments(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,8 +84,8 @@ def establishments(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     def siret(number: Column) -> Column:
-        body = F.concat("siren", F.lpad(number.cast("string"), 4, "0"))
-        return F.concat(body, check_digit(body, 13))
+        own = F.lpad(number.cast("string"), 4, "0")
+        return F.concat("siren", own, _closing_digit(F.col("siren_sum") + _luhn_sum(own.cast("int"), 4, 1)))
 
     street = F.when(key % 40 == 0, "[ND]").when(key % 40 == 20, "[ nd ]").otherwise(F.col("o_orderpriority"))
     return (
