@@ -1,8 +1,9 @@
 """Jaro-Winkler similarity over whole Arrow batches.
 
 Spark has no built-in for it. Names become matrices of UTF-8 bytes and the matching loop runs once per
-position for all pairs of a batch at the same time, so Python cost does not grow with rows. Bytes and not
-characters are compared, as SQL engines do, which only shows in accented names.
+position for all pairs of a batch at the same time, so Python cost does not grow with rows. Places of names of up
+to 64 bytes are the bits of one number. Bytes and not characters are compared, as SQL engines do, which only
+shows in accented names.
 """
 
 from __future__ import annotations
@@ -16,27 +17,24 @@ from pyspark.sql import types as T
 PREFIX_WEIGHT = 0.1
 PREFIX_LENGTH = 4
 BOOST_ABOVE = 0.7
+WORD = 64
 
 
-def encode(names: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Byte matrix (rows padded with 0) and lengths."""
-    values = [name.encode() for name in names.fillna("")]
     lengths = np.fromiter(map(len, values), dtype=np.int32, count=len(values))
     width = max(int(lengths.max(initial=0)), 1)
     fixed = np.array(values, dtype=f"S{width}")
     return fixed.view(np.uint8).reshape(len(values), width), lengths
 
 
-def jaro_winkler_codes(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """Similarity of row i of `a` with row i of `b`."""
-    n = len(la)
-    if n == 0:
-        return np.zeros(0)
+def _matched_matrix(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes of both sides are matched, for names of any length."""
     reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
     columns = np.arange(b.shape[1])
     taken_b = columns[None, :] >= lb[:, None]  # padding can never be matched
     taken_a = np.zeros(a.shape, dtype=bool)
-    rows = np.arange(n)
+    rows = np.arange(len(la))
     for i in range(a.shape[1]):
         fits = (
             (b == a[:, i : i + 1])
@@ -49,6 +47,39 @@ def jaro_winkler_codes(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndar
         taken_a[:, i] = hit
         taken_b[rows[hit], first[hit]] = True
     taken_b &= columns[None, :] < lb[:, None]
+    return taken_a, taken_b
+
+
+def _matched_words(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same where both have at most 64 columns: a row's places are the bits of one number."""
+    one, width = np.uint64(1), b.shape[1]
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    # Bits below lb, without a shift by 64.
+    free = np.where(lb > 0, ~np.uint64(0) >> (WORD - np.maximum(lb, 1)).astype(np.uint64), np.uint64(0))
+    valid = free.copy()
+    # Places from i - reach to i + reach, for i = 0 and then one further each time.
+    near = (one << (reach + 1).astype(np.uint64)) - one
+    equal = np.zeros((len(la), 8), dtype=np.uint8)
+    taken_a = np.zeros(a.shape, dtype=bool)
+    for i in range(a.shape[1]):
+        packed = np.packbits(b == a[:, i : i + 1], axis=1, bitorder="little")
+        equal[:, : packed.shape[1]] = packed
+        fits = equal.view("<u8")[:, 0] & free & near
+        fits[i >= la] = 0
+        taken_a[:, i] = fits != 0
+        free &= ~(fits & (~fits + one))
+        near = (near << one) | (i < reach)
+    bits = (valid & ~free).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return taken_a, np.unpackbits(bits, axis=1, count=width, bitorder="little").astype(bool)
+
+
+def jaro_winkler_codes(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Similarity of row i of `a` with row i of `b`."""
+    n = len(la)
+    if n == 0:
+        return np.zeros(0)
+    rows = np.arange(n)
+    taken_a, taken_b = (_matched_words if max(a.shape[1], b.shape[1]) <= WORD else _matched_matrix)(a, la, b, lb)
     matches = taken_a.sum(axis=1)
 
     # Matched characters of both sides in order: k-th match of a against k-th match of b. Both masks
@@ -93,8 +124,8 @@ def similarities(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     Pairs are taken in length order, so one very long name does not widen the matrices of all others.
     """
     scores = np.zeros(len(left))
-    # Four bytes at most per character: an upper bound is enough to size the steps.
-    longest = 4 * np.fromiter((max(len(a), len(b)) for a, b in zip(left, right)), dtype=np.int64, count=len(left))
+    sides = [[name.encode() for name in side] for side in (left, right)]
+    longest = np.fromiter((max(len(a), len(b)) for a, b in zip(*sides)), dtype=np.int64, count=len(left))
     order = np.argsort(longest, kind="stable")
     start = 0
     while start < len(order):
@@ -102,8 +133,6 @@ def similarities(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         while stop > start + 1 and (stop - start) * longest[order[stop - 1]] > CELLS_PER_STEP:
             stop = start + (stop - start + 1) // 2
         step = order[start:stop]
-        a, la = encode(pd.Series(left[step]))
-        b, lb = encode(pd.Series(right[step]))
-        scores[step] = jaro_winkler_codes(a, la, b, lb)
+        scores[step] = jaro_winkler_codes(*[part for side in sides for part in _matrix([side[i] for i in step.tolist()])])
         start = stop
     return scores

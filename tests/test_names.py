@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from registra.functions import similarity
 from registra.functions.similarity import similarities
 from registra.operators import names
 from tests.samples import est, registry, rows, siren, siret
@@ -30,6 +31,18 @@ def test_similarity_equals_an_independent_implementation():
     assert np.allclose(scores, reference_scores(left, right), atol=1e-12)
 
 
+def test_places_as_bits_match_as_matrices_do():
+    pick = random.Random(9)
+    left, right = (["".join(pick.choice("AB") for _ in range(pick.choice((0, 1, 31, 62, 63, 64)))) for _ in range(2000)] for _ in "ab")
+    sides = [part for side in (left, right) for part in similarity._matrix([name.encode() for name in side])]
+    for words, matrix in zip(similarity._matched_words(*sides), similarity._matched_matrix(*sides)):
+        assert np.array_equal(words, matrix)
+    longer = ["AB" * n for n in (31, 32, 33, 40)] * 4
+    others = [name for name in ("BA" * 16, "A" * 64, "BA" * 33, "B") for _ in range(4)]
+    scores = similarities(np.array(longer, dtype=object), np.array(others, dtype=object))
+    assert np.allclose(scores, reference_scores(longer, others), atol=1e-12)
+
+
 def test_ceiling_is_never_below_the_score(spark):
     pairs = spark.createDataFrame(list(zip(random_names(2000, 1), random_names(2000, 2))), "one string, other string")
     described = names._described(names._described(pairs, "one").toDF("one", "other", "a", "head_a", "sig_a"), "other")
