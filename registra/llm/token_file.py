@@ -36,6 +36,8 @@ from registra.operators.held import held, run_folder
 #: Ids of one group at most, and of one file about.
 GROUP_IDS = 1024 * context_coder.BLOCK
 FILE_IDS = 1 << 23
+#: Bytes of text encoded at a time: words take many times their own size while they are told apart.
+TEXT_BYTES = 1 << 20
 #: Words remembered by a task; beyond that it starts a new table, which only costs time.
 REMEMBERED = 1 << 21
 #: Longer words are not told apart by their hash and not remembered.
@@ -171,7 +173,7 @@ class WordEncoder:
     def batch(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a column's texts, each followed by the end id, and the number of each text's."""
         parts, counts = [np.zeros(0, dtype=np.uint16)], [np.zeros(0, dtype=np.int64)]
-        for _, _, bounds, data in text_slices(column):
+        for _, _, bounds, data in text_slices(column, TEXT_BYTES):
             ids, lengths = self.slice(bounds, data)
             parts.append(np.insert(ids, np.cumsum(lengths), end))
             counts.append(lengths + 1)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -119,3 +120,18 @@ def test_a_group_is_coded_in_little_memory():
     finally:
         tracemalloc.stop()
     assert len(coded) == len(lengths) and peak < 200 << 20
+
+
+def test_texts_are_encoded_in_little_memory():
+    """A batch of texts needs room for a part of them at a time, whatever its rows hold."""
+    pick = np.random.default_rng(3)
+    texts = [" ".join(f"w{n:x}" for n in pick.integers(0, 1 << 18, 600).tolist()) for _ in range(1000)]
+    encoder = token_file.WordEncoder(PATH)
+    tracemalloc.start()
+    try:
+        ids, counts = encoder.batch(pa.array(texts), 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(counts) == len(texts) and int(counts.sum()) == len(ids)
+    assert peak < 200 << 20, peak
