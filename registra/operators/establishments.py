@@ -53,6 +53,17 @@ def one_per_siren(legal_units: DataFrame) -> DataFrame:
     return first_per_key(legal_units, ["siren"], [F.col(c).asc_nulls_last() for c in others])
 
 
+def known_unique(df: DataFrame, key: str) -> DataFrame:
+    """The rows of `df`, which has one per `key`, as an aggregate.
+
+    The optimizer sees from it that the key is unique, and leaves out a left join, with the reads behind it, of which no
+    column is asked for. The rows arrive by key already, so nothing is shuffled for it.
+    """
+    rest = [c for c in df.columns if c != key]
+    row = F.first(F.struct(*rest)).alias("_row")
+    return df.groupBy(key).agg(row).select(*[c if c == key else F.col(f"_row.`{c}`") for c in df.columns])
+
+
 def sibling_counts(establishments: DataFrame) -> DataFrame:
     state = F.upper(F.col(STATE))
     return establishments.groupBy("siren").agg(

@@ -24,6 +24,7 @@ from registra.operators.establishments import (
     active_siblings,
     by_siren,
     by_siret,
+    known_unique,
     one_per_siren,
     one_per_siret,
     pick_for_siren,
@@ -202,7 +203,7 @@ def decide(matched: DataFrame, registry: Registry, max_depth: int = MAX_DEPTH) -
             F.col("successor").alias("successor_siret"),
             F.col("outcome").alias("succession_outcome"),
         )
-        walked = matched.join(found, "siret_normalized", "left")
+        walked = matched.join(known_unique(found, "siret_normalized"), "siret_normalized", "left")
     return with_rules(walked)
 
 
@@ -260,8 +261,8 @@ def history_key() -> Column:
 def own_data(decided: DataFrame, registry: Registry) -> DataFrame:
     """Decisions with the matched establishment's own data, before any substitution."""
     establishments = by_siret(registry.establishments, decided.select("siret").filter("siret is not null"))
-    data = one_per_siret(establishments).select("siret", *ESTABLISHMENT_DATA)
-    units = one_per_siren(by_siren(registry.legal_units, siren_keys(decided)))
+    data = known_unique(one_per_siret(establishments).select("siret", *ESTABLISHMENT_DATA), "siret")
+    units = known_unique(one_per_siren(by_siren(registry.legal_units, siren_keys(decided))), "siren")
     frame = _joined(decided.drop(*ESTABLISHMENT_DATA), data, F.col("siret"), "siret")
     frame = _joined(frame, units, F.col("siren"), "siren")
     frame = _with_history(frame, registry, history_key())
@@ -291,6 +292,7 @@ def shown_data(decided: DataFrame, registry: Registry, load_replacements: bool =
     data = one_per_siret(wide).select(
         "siret", F.col("siren").alias("_shown_siren"), F.lit(True).alias("_loaded"), *ESTABLISHMENT_DATA
     )
+    data = known_unique(data, "siret")
     frame = _joined(aimed.drop(*ESTABLISHMENT_DATA), data, F.col("_shown"), "siret")
 
     frame = _with_history(frame, registry, history_key())
@@ -308,7 +310,7 @@ def shown_data(decided: DataFrame, registry: Registry, load_replacements: bool =
     described = ~closed | F.col("siren").isNotNull()
     frame = frame.withColumns({c: F.when(described, F.col(c)) for c in (*COUNTS, *SUMMARY)})
 
-    units = one_per_siren(by_siren(registry.legal_units, found))
+    units = known_unique(one_per_siren(by_siren(registry.legal_units, found)), "siren")
     frame = _joined(frame, units, F.col("siren"), "siren")
     frame = frame.withColumns(
         {
@@ -397,8 +399,15 @@ class ControlResult:
 
     @cached_property
     def control_table(self) -> DataFrame:
-        """Lines with their own registry data, before substitution."""
-        return self._control_rows(self.decided)
+        """Lines with their own registry data, before substitution.
+
+        Decisions come from their table where it is written already, else straight from the matches: whoever asks for
+        columns that no succession decides then walks no links.
+        """
+        written = "decided" in self.__dict__
+        return self._control_rows(
+            self.decided if written else decide(self.matched, self.registry, self.options.max_depth)
+        )
 
     def _control_rows(self, decided: DataFrame) -> DataFrame:
         frame = self._filled(self._on_list(own_data(decided, self.registry)))

@@ -10,6 +10,7 @@ from registra.operators import reports, scoping
 from registra.operators.held import held
 from registra.operators.history import history_slice
 from registra.operators.succession import best_links, links_touching
+from registra.schema import PREDECESSOR
 from registra.sources.pruned import OTHER, RANGE, read_pruned, save_pruned
 from registra.sources.registry import Registry, read_bucketed, registry_from_frames, save_bucketed
 from tests.samples import est as row
@@ -52,6 +53,34 @@ def test_no_product_joins_and_no_python(spark, run, no_broadcast):
             assert refused not in text
 
 
+def test_columns_without_registry_data_need_no_wide_read(spark, no_broadcast):
+    """Asking for decisions only joins them with the list; the registry's wide tables and the history are left out."""
+    twice = [row(1, 2, "F", start="2001-01-01"), row(1, 2, "F", start="2002-01-01")]
+    sample = registry(
+        spark, [row(1, 1), *twice], links=[(siret(1, 2), siret(1, 1), "2020-01-01", "true")],
+        history=[(siret(1, 1), siren(1), "2001-01-01", None)],
+    )
+    lines = spark.createDataFrame([("1", siret(1, 2)), ("2", siren(1)), ("3", "x")], "ref string, id string")
+    result = run_control(lines, "id", sample, ControlOptions(row_id="ref"))
+    columns = ("row_id", "siret_remplacement_recommande", "analysis_alerte_siren_different")
+    narrow = result.overview.select(*columns)
+    text = plan(narrow).split("\n\n")[0]
+    assert text.count("Join") == 1 and "Window" not in text
+    assert rows(narrow, *columns) == rows(held(result.overview, "overview"), *columns)
+    assert len(rows(narrow, *columns)) == 3
+
+
+def test_control_table_walks_no_links_for_registry_data(spark, run, no_broadcast):
+    _, result = run
+    table = result.control_table.select("row_id", "nic", "historique_records_count")
+    assert "decided" not in vars(result)
+    assert "predecessor" not in plan(table) and PREDECESSOR not in plan(table)
+    whole = rows(held(result.control_table, "table"), *result.control_table.columns)
+    del vars(result)["control_table"]
+    assert result.decided is not None
+    assert whole == rows(result.control_table, *result.control_table.columns)
+
+
 def test_rankings_are_cut_before_the_shuffle(spark):
     sample = registry(spark, [row(1, 1)], links=[(siret(1, 1), siret(2, 1), "", "")])
     for frame in (est.pick_for_siren(sample.establishments), best_links(sample.links), est.active_siblings(sample.establishments)):
