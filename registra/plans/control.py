@@ -348,19 +348,24 @@ def _list_names(columns: list[str], taken: set[str]) -> dict[str, str]:
 
 @dataclass(frozen=True)
 class ControlResult:
-    """Results of a run: lazy, but for the identifier tables that `run_control` writes and the count in `run_log`.
+    """Results of a run: lazy, but for the identifier tables that the first result written needs and the count in `run_log`.
 
-    What is decided per distinct identifier is written to the shared folder as soon as it is known, so the
-    list itself is read twice only: once for its identifiers and once for the final join.
+    What is decided per distinct identifier is written to the shared folder when it is first asked for, so the
+    list itself is read twice only: once for its identifiers and once for the final join. The run log asks for none of it.
     """
 
     checked: DataFrame
-    matched: DataFrame
     registry: Registry
     options: ControlOptions
     identifier_column: str
     list_columns: tuple[str, ...]
 
+    @cached_property
+    def matched(self) -> DataFrame:
+        """What the registry holds per identifier, written: every result but the run log starts from it."""
+        keys = held(identifier_keys(self.checked), "keys")
+        return held(match(keys, self.registry), "matched")
+
     @cached_property
     def decided(self) -> DataFrame:
         """Decisions per identifier, written too: the wide read and the list join start from it."""
@@ -545,6 +550,4 @@ def run_control(
         F.col(f"`{identifier_column}`").alias("_identifier"),
     )
     checked = check_identifiers(packed, "_identifier").drop("_identifier")
-    keys = held(identifier_keys(checked), "keys")
-    matched = held(match(keys, registry), "matched")
-    return ControlResult(checked, matched, registry, options, identifier_column, tuple(lines.columns))
+    return ControlResult(checked, registry, options, identifier_column, tuple(lines.columns))

@@ -81,6 +81,12 @@ def test_control_table_walks_no_links_for_registry_data(spark, run, no_broadcast
     assert whole == rows(result.control_table, *result.control_table.columns)
 
 
+def test_run_log_looks_nothing_up(spark, run):
+    _, result = run
+    assert {r.parameter: r.value for r in result.run_log.collect()}["input_row_count"] == "3"
+    assert not {"matched", "decided"} & set(vars(result))
+
+
 def test_rankings_are_cut_before_the_shuffle(spark):
     sample = registry(spark, [row(1, 1)], links=[(siret(1, 1), siret(2, 1), "", "")])
     for frame in (est.pick_for_siren(sample.establishments), best_links(sample.links), est.active_siblings(sample.establishments)):
