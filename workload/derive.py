@@ -132,6 +132,15 @@ def legal_units(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def as_number(siret: str) -> Column:
+    """A SIRET as it is shuffled: none begins with a zero here, and a number is half as long."""
+    return F.col(siret).cast("long")
+
+
+def as_siret(number: str) -> Column:
+    return F.col(number).cast("string")
+
+
 def links(etab: DataFrame) -> DataFrame:
     closed = F.col("etat") == "F"
     date = F.when(F.col("o_orderkey") % 19 == 0, "").otherwise(F.col("next_creation"))
@@ -145,8 +154,11 @@ def links(etab: DataFrame) -> DataFrame:
     own = forward.select(*columns(F.col("siret"), F.col("next_siret"), date, F.col("o_orderkey") % 2 == 0, no))
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     p = etab.filter(closed & urgent).select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.col("siret").alias("pred"))
-    across = p.join(etab.select("o_orderkey", "siret", "creation", "siege"), "o_orderkey").select(
-        *columns(F.col("pred"), F.col("siret"), F.col("creation"), F.lit(True), F.col("siege"))
+    across = p.withColumn("pred", as_number("pred")).join(
+        etab.select("o_orderkey", as_number("siret").alias("siret"), F.col("creation").cast("date").alias("creation"), "siege"),
+        "o_orderkey",
+    ).select(
+        *columns(as_siret("pred"), as_siret("siret"), F.col("creation").cast("string"), F.lit(True), F.col("siege"))
     )
     back = forward.filter((F.col("next_etat") == "F") & (F.col("next_priority") == "5-LOW")).select(
         *columns(F.col("next_siret"), F.col("siret"), F.col("next_creation"), no, no)
@@ -157,6 +169,22 @@ def links(etab: DataFrame) -> DataFrame:
     return own.unionByName(across).unionByName(back).unionByName(gone)
 
 
+def history(lines: DataFrame, etab: DataFrame) -> DataFrame:
+    """One period a line item. Its day and whether it has ended are shuffled as one number."""
+    ended = F.coalesce(F.col("l_linestatus") != "O", F.lit(False)).cast("int")
+    periods = lines.select("l_orderkey", (F.unix_date(F.col("l_shipdate").cast("date")) * 2 + ended).alias("period"))
+    owners = etab.select("o_orderkey", as_number("siret").alias("number"))
+    start = F.date_from_unix_date(F.shiftright("period", 1))
+    return (
+        periods.join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
+        .withColumn("siret", as_siret("number"))
+        .select(
+            "siret", F.substring("siret", 1, 9).alias("siren"), start.cast("string").alias("dateDebut"),
+            F.when(F.col("period").bitwiseAND(1) == 1, F.date_add(start, 30).cast("string")).alias("dateFin"),
+        )
+    )
+
+
 def user_list(etab: DataFrame) -> DataFrame:
     siret, key = F.col("siret"), F.col("o_orderkey")
     v = key % 10
@@ -229,15 +257,8 @@ def stage(spark: SparkSession, sf: str) -> Staged:
     units.drop("c_custkey", "c_nationkey").write.mode("overwrite").parquet(f"{root}/stockunitelegale")
     name_list(units).write.mode("overwrite").parquet(f"{root}/names.parquet")
     links(etab).write.mode("overwrite").parquet(f"{root}/links")
-    lines = source(spark, sf, "lineitem").select("l_orderkey", "l_linestatus", "l_shipdate")
-    ship = F.col("l_shipdate").cast("date")
-    lines.join(etab.select("o_orderkey", "siret"), F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "siret", F.substring("siret", 1, 9).alias("siren"), ship.cast("string").alias("dateDebut"),
-        F.when(F.col("l_linestatus") != "O", F.date_add(ship, 30).cast("string")).alias("dateFin"),
-    ).write.mode("overwrite").parquet(f"{root}/history")
-    listed = user_list(etab)
-    listed.write.mode("overwrite").parquet(f"{root}/list.parquet")
-    listed.write.mode("overwrite").option("header", "true").option("sep", ";").csv(f"{root}/list.csv")
+    history(source(spark, sf, "lineitem"), etab).write.mode("overwrite").parquet(f"{root}/history")
+    user_list(etab).write.mode("overwrite").parquet(f"{root}/list.parquet")
     _STAGED[key] = Staged(
         RegistryPaths(f"{root}/stocketablissement", f"{root}/stockunitelegale", f"{root}/links", f"{root}/history"),
         f"{root}/list.csv", f"{root}/list.parquet", f"{root}/names.parquet",
@@ -245,5 +266,18 @@ def stage(spark: SparkSession, sf: str) -> Staged:
     return _STAGED[key]
 
 
+_WRITTEN: set[str] = set()
+
+
+def list_csv(spark: SparkSession, sf: str) -> str:
+    """The list as CSV, written once when a job first reads it so: most read the Parquet copy."""
+    staged = stage(spark, sf)
+    if staged.list_csv not in _WRITTEN:
+        listed = spark.read.parquet(staged.list_parquet)
+        listed.write.mode("overwrite").option("header", "true").option("sep", ";").csv(staged.list_csv)
+        _WRITTEN.add(staged.list_csv)
+    return staged.list_csv
+
+
 def registry(spark: SparkSession, sf: str) -> Registry:
     return read_registry(spark, stage(spark, sf).registry_paths)

@@ -21,7 +21,7 @@ from registra.schema import PREDECESSOR, SUCCESSOR, filled_counts, padded_id
 from registra.sources.pruned import read_pruned, save_pruned
 from registra.sources.sinks import write_results
 from registra.sources.user_list import drop_blank_rows, read_user_list
-from workload.derive import registry, stage
+from workload.derive import list_csv, registry, stage
 from workload.oracle import STATUS_LABEL, key_valid, luhn, sql, without_form
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -94,7 +94,7 @@ def scan_registry(spark, sf):
 
 @query("read_list", "SELECT ref, identifiant, pays, list_siren AS siren FROM inp")
 def read_list(spark, sf):
-    return blanked(read_user_list(spark, stage(spark, sf).list_csv))
+    return blanked(read_user_list(spark, list_csv(spark, sf)))
 
 
 @query("header_policy", "SELECT ref AS column_1, identifiant AS column_2, pays AS column_3, list_siren AS column_4 FROM inp")
@@ -431,7 +431,9 @@ def lookup_siret(spark, sf):
 def pruned_lookup(spark, sf):
     folder = f"{run_folder(spark)}/pruned-{uuid.uuid4().hex}"
     save_pruned(registry(spark, sf), folder)
-    found = est.by_siret(read_pruned(spark, folder).establishments, list_keys(spark, sf, "SIRET", "siret"))
+    # Written: the ranges to open and the lookup both start from them.
+    keys = held(list_keys(spark, sf, "SIRET", "siret"), "keys")
+    found = est.by_siret(read_pruned(spark, folder).establishments, keys)
     return blanked(found.select("siret", "siren", F.col(est.STATE).alias("etat"), F.col("libelleCommuneEtablissement").alias("commune")))
 
 
