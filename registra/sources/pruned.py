@@ -33,9 +33,11 @@ def _range_of_row(columns: list[str]) -> Column:
     odd = F.lit(False)
     for c, digits in zip(present, ranges):
         odd = odd | (F.col(c).isNotNull() & digits.isNull())
-    # Nulls are skipped by both: a row with one identifier agrees with itself.
-    agreed = F.array_size(F.array_distinct(F.array_compact(F.array(*ranges)))) == 1
-    return F.when(agreed & ~odd, F.coalesce(*ranges)).otherwise(OTHER)
+    # A row with one identifier agrees with itself; one with none has no range. Plain comparisons compile, arrays do not.
+    first, agreed = F.coalesce(*ranges), F.lit(True)
+    for digits in ranges:
+        agreed = agreed & F.coalesce(digits == first, F.lit(True))
+    return F.coalesce(F.when(agreed & ~odd, first), F.lit(OTHER))
 
 
 def save_pruned(registry: Registry, folder: str, partitions: int | None = None) -> None:

@@ -11,7 +11,7 @@ from registra.operators.held import held
 from registra.operators.history import history_slice
 from registra.operators.succession import best_links, links_touching
 from registra.schema import PREDECESSOR
-from registra.sources.pruned import OTHER, RANGE, read_pruned, save_pruned
+from registra.sources.pruned import OTHER, RANGE, _range_of_row, read_pruned, save_pruned
 from registra.sources.registry import Registry, read_bucketed, registry_from_frames, save_bucketed
 from tests.samples import est as row
 from tests.samples import registry, rows, siren, siret
@@ -87,6 +87,12 @@ def test_run_log_looks_nothing_up(spark, run):
     assert not {"matched", "decided"} & set(vars(result))
 
 
+def test_ranges_of_a_pruned_copy_compile(spark):
+    sample = registry(spark, [row(1, 1)])
+    text = plan(sample.establishments.withColumn(RANGE, _range_of_row(sample.establishments.columns)))
+    assert "lambda" not in text and "array_distinct" not in text
+
+
 def test_rankings_are_cut_before_the_shuffle(spark):
     sample = registry(spark, [row(1, 1)], links=[(siret(1, 1), siret(2, 1), "", "")])
     for frame in (est.pick_for_siren(sample.establishments), best_links(sample.links), est.active_siblings(sample.establishments)):
