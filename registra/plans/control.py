@@ -117,6 +117,8 @@ INVALID_LINE = {
     "analysis_status_note": INVALID_NOTE,
     "analysis_data_applied": rules.OWN_DATA,
 }
+# Identifiers are digits, which a codec that only looks for repeats keeps at a byte each.
+COMPRESSION = "zstd"
 MASKED_MARK = r"(?i)\[\s*ND\s*\]"
 
 
@@ -162,9 +164,9 @@ def match(keys: DataFrame, registry: Registry) -> DataFrame:
     """Keys with the establishment that answers them, sibling counts, sibling choice and status."""
     ranked = registry.narrow
     # Written: the siblings wanted and the answers both start from it.
-    direct = held(one_per_siret(by_siret(ranked, keys_of_type(keys, "SIRET", "siret"))), "direct")
+    direct = held(one_per_siret(by_siret(ranked, keys_of_type(keys, "SIRET", "siret"))), "direct", COMPRESSION)
     wanted = direct.select("siren").unionByName(keys_of_type(keys, "SIREN", "siren"))
-    siblings = held(by_siren(registry.ranking, wanted), "siblings")
+    siblings = held(by_siren(registry.ranking, wanted), "siblings", COMPRESSION)
 
     answers = direct.select(
         F.col("siret").alias("siret_lookup_key"), "siret", "siren", STATE, F.lit(None).cast("string").alias("matched_mode")
@@ -203,7 +205,10 @@ def decide(matched: DataFrame, registry: Registry, max_depth: int = MAX_DEPTH) -
             F.col("successor").alias("successor_siret"),
             F.col("outcome").alias("succession_outcome"),
         )
-        walked = matched.join(known_unique(found, "siret_normalized"), "siret_normalized", "left")
+        # Only closed ones have a row there; the others need not be shuffled to find that out.
+        closed = F.coalesce(rules.is_closed(), F.lit(False))
+        walked = matched.filter(closed).join(known_unique(found, "siret_normalized"), "siret_normalized", "left")
+        walked = walked.unionByName(matched.filter(~closed), allowMissingColumns=True)
     return with_rules(walked)
 
 
@@ -363,13 +368,13 @@ class ControlResult:
     @cached_property
     def matched(self) -> DataFrame:
         """What the registry holds per identifier, written: every result but the run log starts from it."""
-        keys = held(identifier_keys(self.checked), "keys")
-        return held(match(keys, self.registry), "matched")
+        keys = held(identifier_keys(self.checked), "keys", COMPRESSION)
+        return held(match(keys, self.registry), "matched", COMPRESSION)
 
     @cached_property
     def decided(self) -> DataFrame:
         """Decisions per identifier, written too: the wide read and the list join start from it."""
-        return held(decide(self.matched, self.registry, self.options.max_depth), "decided")
+        return held(decide(self.matched, self.registry, self.options.max_depth), "decided", COMPRESSION)
 
     def _on_list(self, decisions: DataFrame) -> DataFrame:
         """Bring per-identifier results back to the lines of the list."""

@@ -10,6 +10,7 @@ from registra.operators import reports, scoping
 from registra.operators.held import held
 from registra.operators.history import history_slice
 from registra.operators.succession import best_links, links_touching
+from registra.plans.control import decide
 from registra.schema import PREDECESSOR
 from registra.sources.pruned import OTHER, RANGE, _range_of_row, read_pruned, save_pruned
 from registra.sources.registry import Registry, read_bucketed, registry_from_frames, save_bucketed
@@ -81,6 +82,20 @@ def test_control_table_walks_no_links_for_registry_data(spark, run, no_broadcast
     assert whole == rows(result.control_table, *result.control_table.columns)
 
 
+def test_only_closed_identifiers_are_shuffled_to_their_successors(spark, run, no_broadcast):
+    _, result = run
+    found = decide(result.matched, result.registry)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    closed = text.split("Join LeftOuter, (siret_normalized")[1]
+    assert "Union" in text.split("Join LeftOuter, (siret_normalized")[0] and "siret_status" in closed.split("Relation")[0]
+    assert rows(found, "siret_normalized", "successor_siret") == [(siret(1, 2), siret(1, 1)), (siren(2), None)]
+
+
+def test_tables_of_the_run_are_compressed_beyond_repeats(spark, run):
+    _, result = run
+    assert all(".zstd." in name for df in (result.matched, result.decided) for name in df.inputFiles())
+
+
 def test_run_log_looks_nothing_up(spark, run):
     _, result = run
     assert {r.parameter: r.value for r in result.run_log.collect()}["input_row_count"] == "3"

@@ -237,7 +237,7 @@ def stage(spark: SparkSession, sf: str) -> Staged:
         return _STAGED[key]
     root = f"{shared_folder(spark)}/registra/{key[0]}/data-{hashlib.sha256(sf.encode()).hexdigest()[:12]}"
     stored = establishments(spark, sf)
-    stored.write.mode("overwrite").parquet(f"{root}/derived")
+    stored.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/derived")
     etab = spark.read.schema(stored.schema).parquet(f"{root}/derived")
     etab.select(
         "siret", "siren", "nic",
@@ -252,13 +252,13 @@ def stage(spark: SparkSession, sf: str) -> Staged:
         F.col("n_name").alias("libelleCommuneEtablissement"),
         F.col("enseigne").alias("enseigne1Etablissement"),
         F.concat(F.lit("25."), F.col("cp")).alias("activitePrincipaleNAF25Etablissement"),
-    ).write.mode("overwrite").parquet(f"{root}/stocketablissement")
+    ).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/stocketablissement")
     units = legal_units(spark, sf)
-    units.drop("c_custkey", "c_nationkey").write.mode("overwrite").parquet(f"{root}/stockunitelegale")
-    name_list(units).write.mode("overwrite").parquet(f"{root}/names.parquet")
-    links(etab).write.mode("overwrite").parquet(f"{root}/links")
-    history(source(spark, sf, "lineitem"), etab).write.mode("overwrite").parquet(f"{root}/history")
-    user_list(etab).write.mode("overwrite").parquet(f"{root}/list.parquet")
+    units.drop("c_custkey", "c_nationkey").write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/stockunitelegale")
+    name_list(units).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/names.parquet")
+    links(etab).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/links")
+    history(source(spark, sf, "lineitem"), etab).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/history")
+    user_list(etab).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/list.parquet")
     _STAGED[key] = Staged(
         RegistryPaths(f"{root}/stocketablissement", f"{root}/stockunitelegale", f"{root}/links", f"{root}/history"),
         f"{root}/list.csv", f"{root}/list.parquet", f"{root}/names.parquet",
