@@ -16,11 +16,12 @@ the columns named are read.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -52,13 +53,19 @@ _LETTER, _DIGIT, _OTHER, _LATIN, _OPEN = range(1, 6)
 _KIND = np.array([_OPEN if b >= 0x80 or b == 0x27 else _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _OTHER for b in range(256)], dtype=np.uint8)
 
 
+# The byte-level pre-tokeniser's sign for each byte: itself if it can be seen, else one from 100 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SIGNS = np.arange(256, dtype="<u2")
+_SIGNS[[b for b in range(256) if b not in _SEEN]] = np.arange(0x100, 0x200 - len(_SEEN))
+
+
 def _joined(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
     return np.fromiter(chain.from_iterable(found), dtype=np.uint16, count=int(lengths.sum())), lengths
 
 
-def cut_words(words: Words) -> Words:
-    """Words cut further where the vocabulary's pre-tokeniser cuts too: between letters, single digits and other ASCII.
+def cut_words(words: Words) -> tuple[Words, np.ndarray]:
+    """Words cut further where the vocabulary's pre-tokeniser cuts too, between letters, single digits and other ASCII; and which are all letters.
 
     Words with an apostrophe, or with characters that are neither ASCII nor Latin letters, stay whole: what they join or
     cut is left to the library.
@@ -86,16 +93,22 @@ def cut_words(words: Words) -> Words:
     cuts = np.flatnonzero(edge)
     start = np.sort(np.concatenate([words.start, cuts]))
     end = np.sort(np.concatenate([words.end, cuts]))
-    return Words(data, words.bounds, np.searchsorted(start, words.bounds), start, end)
+    letters = np.concatenate([[0], np.cumsum(kind == _LETTER, dtype=np.int32)])
+    return Words(data, words.bounds, np.searchsorted(start, words.bounds), start, end), letters[end] - letters[start] == end - start
 
 
 class WordEncoder:
     """Ids of one task's texts: each distinct word goes to the library once."""
 
     def __init__(self, path: str) -> None:
+        # The library's own threads keep memory that grows from task to task, next to one task a core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         if self.encode(["A b,\t\nç12.-a"])[0] != sum(self.encode(["a", "b", ",", "ç", "1", "2", ".-", "a"]), []):
             raise ValueError(f"{path}: this vocabulary does not encode words on their own")
+        spelt = ["latin", "ñandú", "ǅɏǰ", "ßÿ"]
+        if self.encode(spelt) != self._of_letters([w.encode() for w in spelt]):
+            raise ValueError(f"{path}: this vocabulary does not spell words by the bytes of their lower-case letters")
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         if self.size > context_coder.IDS:
             raise ValueError(f"{path}: {self.size} ids are more than 16 bits hold")
@@ -109,21 +122,34 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words and the number of each; plain ones (lower-case ASCII letters) go to the library's model at once."""
+    def _of_letters(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words of ASCII and Latin letters: what the normaliser and the pre-tokeniser make of them goes to the library's model at once."""
+        lowered = np.frombuffer(b"\n".join(words).decode().lower().encode(), dtype=np.uint8)
+        signs = _SIGNS[lowered].tobytes().decode("utf-16-le")
         tokenize = self.tokenizer.model.tokenize
-        rest = iter(self.encode([w.decode() for w, p in zip(words, plain.tolist(), strict=True) if not p]))
-        found = [[t.id for t in tokenize(w.decode())] if p else next(rest) for w, p in zip(words, plain.tolist(), strict=True)]
-        return _joined(found)
-
-    def _remember(self, hashes: np.ndarray, words: list[bytes], plain: np.ndarray) -> None:
-        ids, lengths = self._words(words, plain)
+        return [[t.id for t in tokenize(w)] for w in signs.split(chr(_SIGNS[0x0A]))] if words else []
+
+    def _words(self, words: list[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and the number of each; `letters` marks those of `_of_letters`, without upper-case ASCII ones."""
+        marks = letters.tolist()
+        some = iter(self._of_letters(list(compress(words, marks))))
+        rest = iter(self.encode([w.decode() for w, m in zip(words, marks, strict=True) if not m]))
+        return _joined([next(some) if m else next(rest) for m in marks])
+
+    def _remember(self, hashes: np.ndarray, words: list[bytes], letters: np.ndarray) -> None:
+        """Take in new words, in ascending order of their hashes."""
+        ids, lengths = self._words(words, letters)
         number = np.arange(len(words)) + len(self.start) - 1
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, ids])
-        every = np.concatenate([self.hashes, hashes])
-        order = np.argsort(every, kind="stable")
-        self.hashes, self.number = every[order], np.concatenate([self.number, number])[order]
+        # Both sides are in order: each new word goes behind the lower ones of both.
+        at = np.searchsorted(self.hashes, hashes) + np.arange(len(hashes))
+        old = np.ones(len(self.hashes) + len(hashes), dtype=bool)
+        old[at] = False
+        every, numbers = np.empty(len(old), dtype=np.uint64), np.empty(len(old), dtype=np.int64)
+        every[at], numbers[at] = hashes, number
+        every[old], numbers[old] = self.hashes, self.number
+        self.hashes, self.number = every, numbers
 
     def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of words, and whether each is remembered."""
@@ -139,7 +165,7 @@ class WordEncoder:
             # Special strings are found before words are; such slices go to the library whole.
             return _joined(self.encode([raw[a:b].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]))
         # A-Z are lower-cased first, as the normaliser would do.
-        words = cut_words(find_words(bounds, data, WHITE_SPACE, lower=True))
+        words, letters = cut_words(find_words(bounds, data, WHITE_SPACE, lower=True))
         if not len(words):
             return np.zeros(0, dtype=np.uint16), np.zeros(len(bounds) - 1, dtype=np.int64)
         sizes = words.end - words.start
@@ -153,9 +179,7 @@ class WordEncoder:
         def spelt(places: np.ndarray) -> list[bytes]:
             return [folded[a:b] for a, b in zip(words.start[places].tolist(), words.end[places].tolist(), strict=True)]
 
-        letters = np.concatenate([[0], np.cumsum(_KIND[words.data] == _LETTER)])
-        plain = letters[words.end[first[new]]] - letters[words.start[first[new]]] == sizes[first[new]]
-        self._remember(distinct[new], spelt(first[new]), plain)
+        self._remember(distinct[new], spelt(first[new]), letters[first[new]])
         number = self._known(distinct)[0][back]
         ids = self.ids
         if len(self.start) > 1:

@@ -1,8 +1,12 @@
 """Token files: blocks, groups and files against plain copies of their ids."""
 
 import io
+import os
+import subprocess
+import sys
 import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -135,3 +139,29 @@ def test_texts_are_encoded_in_little_memory():
         tracemalloc.stop()
     assert len(counts) == len(texts) and int(counts.sum()) == len(ids)
     assert peak < 200 << 20, peak
+
+
+def test_latin_letters_as_the_library_does():
+    """Each letter that goes to the model without the library's normaliser, alone and inside a word."""
+    letters = [chr(c) for c in range(0xC0, 0x250)]
+    words = [w for c in letters for w in (c, f"x{c}y", f"A{c}{c}", f"{c},{c}", f"1{c}'")]
+    encoder, library = token_file.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    ids, counts = encoder.batch(pa.array(words), 2)
+    want = [[*library.encode(w, add_special_tokens=False).ids, 2] for w in words]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+def test_a_worker_does_not_grow():
+    """Encoders one after another, as in a worker that is kept for many tasks: the library starts no threads, each of which would keep memory."""
+    code = f"""
+import os
+import pyarrow as pa
+from registra.llm.token_file import WordEncoder
+before = len(os.listdir("/proc/self/task"))
+for n in range(2):
+    WordEncoder({PATH!r}).batch(pa.array(["don't " * 9 + f"\u3042{{n}} {{i}}" for i in range(2000)]), 2)
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    free = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS", "RAYON_RS_NUM_THREADS")}
+    done = subprocess.run([sys.executable, "-c", code], env=free, cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=60, check=True)
+    assert done.stdout.strip() == "0"
