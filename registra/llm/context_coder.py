@@ -33,8 +33,10 @@ _STEP, _NEW = 4, 3
 #: Scale of cumulative frequencies (bits), of chances, and of log-odds (units of 1/256).
 _TOTAL, _ONE, _EDGE = 15, 1 << 16, 2047
 _LEARN = 9
-_ROWS = 256
+_ROWS = 32
 _SQUASH = np.array([round(_ONE / (1 + math.exp(-x / 256))) for x in range(-_EDGE, _EDGE + 1)], dtype=np.int64)
+#: What the same candidate once more adds to its state of a first time, by the difference between its state and that; nothing for another candidate.
+_SURER = np.array([min(x + 1, SURE - 1) if x < SURE else 0 for x in range(1 << 16)], dtype=np.uint16)
 #: Class of a frequency: its length in bits.
 _CLASS = np.array([min(15, x.bit_length()) for x in range(1 << 16)], dtype=np.int64)
 
@@ -54,7 +56,9 @@ class _Model:
         self.order2 = np.zeros(SLOTS * lanes, dtype=np.uint16)
         # Log-odds by confidence of order 2 (16), confidence and agreement of order 1 (32), frequency class (16), scaled by 64.
         sure = (np.arange(16) - 8) * 3000
-        self.odds = np.repeat(np.concatenate([sure, sure - 12000, sure + 4000, sure * 0]), lanes).astype(np.int64)
+        self.odds = np.tile(np.concatenate([sure, sure - 12000, sure + 4000, sure * 0]), lanes).astype(np.int64)
+        self.cell = self.lane * 64
+        self.cell_one, self.cell_count = self.cell + 16, self.cell + 48
         self.last, self.hashed, self.part = self.lane.copy(), np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
         self.flat_count, self.flat_upto = self.count.ravel(), self.upto.ravel()
         self.next = 0
@@ -66,13 +70,17 @@ class _Model:
         self.next = step + max(8, step >> 3)
         self.ready = self.known.copy()
         used = int(self.ready[:active].max())
-        upto = np.cumsum(self.count[:used, :active], axis=0, dtype=np.uint16)
-        # Divided last: a block's own top is exact, whatever the others have seen.
+        upto = self.upto[1 : used + 1, :active]
+        np.cumsum(self.count[:used, :active], axis=0, dtype=np.uint16, out=upto)
+        top = upto[-1].astype(np.float64)
         self.upto[0, :active] = 0
         # A part of the rows at a time, for the sake of the wide numbers in between.
+        wide = np.empty((_ROWS, active))
         for low in range(0, used - 1, _ROWS):
-            high = min(used - 1, low + _ROWS)
-            self.upto[low + 1 : high + 1, :active] = upto[low:high] * float(1 << _TOTAL) / upto[-1]
+            rows = upto[low : min(used - 1, low + _ROWS)]
+            part = np.multiply(rows, float(1 << _TOTAL), out=wide[: len(rows)])
+            # Divided last: a block's own top is exact, whatever the others have seen.
+            rows[:] = np.divide(part, top, out=part)
         self.upto[used, :active] = 1 << _TOTAL
         self.half = 1 << (used.bit_length() - 1)
 
@@ -80,13 +88,14 @@ class _Model:
         """Candidate and its chance (of 65536) in each block."""
         lanes, lane = self.lanes, self.lane[:active]
         self.slot = (self.hashed[:active] & (SLOTS - 1)) * lanes + lane
-        self.one, self.two = self.order1.take(self.last[:active]).astype(np.int64), self.order2.take(self.slot).astype(np.int64)
-        sure = self.two & SURE
-        chosen = np.where(sure, self.two, self.one)
+        self.one, self.two = self.order1.take(self.last[:active]), self.order2.take(self.slot)
+        one = self.one.astype(np.int64)
+        chosen = np.where(self.two, self.two, self.one).astype(np.int64)
+        sure = (self.two & SURE).astype(np.int64)
         candidate = chosen >> 4
-        same = (self.one ^ chosen) < 16
+        same = (one ^ chosen) < 16
         seen = _CLASS.take(self.flat_count.take(candidate * lanes + lane))
-        self.cells = (sure * lanes + lane, ((self.one & SURE) + (same * 16 + 16)) * lanes + lane, (seen + 48) * lanes + lane)
+        self.cells = (sure + self.cell[:active], (one & SURE) + same * 16 + self.cell_one[:active], seen + self.cell_count[:active])
         self.values = [self.odds.take(c) for c in self.cells]
         self.mixed = (self.values[0] + self.values[1] + self.values[2]) >> 6
         return candidate, _SQUASH.take(self.mixed + _EDGE, mode="clip")
@@ -96,10 +105,10 @@ class _Model:
         change = ((hit * _ONE) - chance) >> 5
         for cells, value in zip(self.cells, self.values, strict=True):
             self.odds[cells] = value + change
-        fresh = (place << 4) + 1
+        fresh = ((place << 4) + 1).astype(np.uint16)
         for table, at, seen in ((self.order1, self.last[:active], self.one), (self.order2, self.slot, self.two)):
             # Right: surer. Wrong: the new id takes over.
-            table[at] = np.where((seen ^ fresh) < 16, np.minimum(seen + 1, fresh + 14), fresh)
+            table[at] = fresh + _SURER.take(seen - fresh)
         at = place * self.lanes + self.lane[:active]
         self.flat_count[at] += _STEP
         self.hashed[:active] = self.part[:active] + place * 643
@@ -239,8 +248,10 @@ class _Decoder:
 def _find(model: _Model, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Place whose order-0 interval holds a value, by halving; rows not in use are above all values."""
     cell, step = lanes.copy(), model.half * model.lanes
+    value = value.astype(np.uint16)
     while step >= model.lanes:
-        cell += (model.flat_upto.take(cell + step) <= value) * step
+        above = cell + step
+        np.putmask(cell, model.flat_upto.take(above) <= value, above)
         step >>= 1
     return cell // model.lanes
 
