@@ -60,6 +60,17 @@ def test_predictable_ids_take_little_room():
     assert sum(len(c) for _, c in coded) * 8 < 2 * len(ids)
 
 
+def test_a_small_group_takes_few_steps():
+    """What is left for a file's last group is coded in shorter blocks, full groups in whole ones."""
+    none = np.zeros(0, dtype=np.int64)
+    for n, longest in ((900, 900), (20000, 1000), (token_file.GROUP_BLOCKS * 1500, 1500)):
+        ids = skewed(n, 900)
+        group = token_file.pack_group(ids, none, none, none)
+        blocks = int.from_bytes(group[:4], "little")
+        assert max(int.from_bytes(group[16 + 12 * i : 20 + 12 * i], "little") for i in range(blocks)) == longest
+        assert (next(token_file.read_groups(io.BytesIO(b"tokens01" + group)))[0] == ids).all()
+
+
 def test_damage_is_found():
     ids = skewed(9000, 500)
     keys = np.arange(90)
