@@ -16,6 +16,7 @@ from registra.sources.pruned import OTHER, RANGE, _range_of_row, read_pruned, sa
 from registra.sources.registry import Registry, read_bucketed, registry_from_frames, save_bucketed
 from tests.samples import est as row
 from tests.samples import registry, rows, siren, siret
+from workload.derive import history
 
 
 def plan(df) -> str:
@@ -290,3 +291,25 @@ def test_held_table_keeps_schema_and_rows(spark):
     kept = held(frame, "t")
     assert kept.schema == frame.schema and rows(kept, "*") == rows(frame, "*")
     assert isinstance(registry(spark, [row(1, 1)]), Registry)
+
+
+def test_sides_small_as_files_and_large_as_rows_are_not_broadcast(spark, tmp_path):
+    """Key and SIRET of a wide, well compressed table: 5 MB of rows, a share of some 60 KB of its file."""
+    other = [F.lit("the same").alias(f"column_{i}") for i in range(20)]
+    spark.range(200_000).select(F.col("id").alias("o_orderkey"), (F.col("id") + 30_000_000_000_000).cast("string").alias("siret"), *other).write.parquet(f"{tmp_path}/wide")
+    spark.range(200_000).select(
+        F.col("id").alias("l_orderkey"), F.lit("O").alias("l_linestatus"), F.timestamp_seconds("id").alias("l_shipdate"), *other
+    ).write.parquet(f"{tmp_path}/lines")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        wide, lines = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("wide", "lines"))
+        for frame, rows_ in ((history(lines, wide), 200_000), (held(wide.select("siret"), "sirets").join(wide, "siret").select("o_orderkey"), 200_000)):
+            assert len(frame.collect()) == rows_
+            assert "Join" in plan(frame) and "Broadcast" not in plan(frame)
+        # Rows that are few are broadcast still, once they have been counted.
+        few = lines.join(wide.filter("o_orderkey < 10"), F.col("l_orderkey") == F.col("o_orderkey")).select("siret")
+        assert len(few.collect()) == 10
+        assert "BroadcastHashJoin" in plan(few)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
